@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trendspark.llm.common import as_batch, bounded_batches, crc_bucket
 
@@ -217,8 +218,8 @@ def identify(docs: DataFrame, model: tuple[list[str], list[np.ndarray], Codes],
             pred, score, bits = _predict(b.column(at).to_pylist(), languages, automata, tables[0])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred), pa.array(score), pa.array(bits)], names=[*b.schema.names, "lang_pred", "lang_score", "lang_bits"])
 
-    schema = kept.schema.add("lang_pred", "string").add("lang_score", "double").add("lang_bits", "double")
-    return kept.mapInArrow(work, schema)
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_bits", T.DoubleType())]
+    return kept.mapInArrow(work, T.StructType([*kept.schema.fields, *added]))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
