@@ -28,8 +28,9 @@ BUDGET = 2
 SHINGLE = 3
 SEED = 42
 TOP_BITS = 16
-#: Fingerprints of a subtree that one task may hold.
-SUBTREE = 32_768
+#: Fingerprints of a subtree that one task may hold, and the subtrees that even a small trie is cut into, so that each
+#: fingerprint meets as many subtrees on a small input as on one of SPREAD * SUBTREE fingerprints.
+SUBTREE, SPREAD = 65_536, 32
 #: A pair of nodes with so few pairs of fingerprints is compared at once.
 FEW = 64
 #: Pairs of fingerprints compared in one step.
@@ -156,7 +157,8 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, subtree: int =
     counts = distinct.groupBy(F.shiftrightunsigned("fp", 64 - TOP_BITS).alias("p")).count().collect()  # at most 2**TOP_BITS rows
     counts = sorted((r["p"], r["count"]) for r in counts)
     prefix, count = (np.array([c[i] for c in counts], dtype=np.int64) for i in (0, 1))
-    starts, blocks, pairs = top_of_trie(prefix, count, subtree, budget)
+    most = max(1, min(subtree, -(-int(count.sum()) // SPREAD)))
+    starts, blocks, pairs = top_of_trie(prefix, count, most, budget)
     first = np.concatenate([[0], np.cumsum(blocks)]) if len(blocks) else np.zeros(1, dtype=np.int64)
     uses: list[list[int]] = [[] for _ in range(int(first[-1]))]  # of each block: 2 * pair + side
     for k, (x, i, y, j) in enumerate(pairs):
