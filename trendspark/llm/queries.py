@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trendspark.llm.decontaminate import op6_decontaminate
+from trendspark.llm.embedding_dedup import op3_embedding_dedup
 from trendspark.llm.language_id import op1_language_id
+from trendspark.llm.lm_scoring import op7_lm_scoring
 from trendspark.llm.simhash_dedup import op10_simhash_dedup
+from trendspark.llm.token_output import op4_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op3_embedding_dedup, op4_token_output, op6_decontaminate, op7_lm_scoring, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
