@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspark.llm import language_id, simhash_dedup
+from trendspark.llm import decontaminate, language_id, simhash_dedup, source_mixing, token_output
 from trendspark.session import materialize
 
 
@@ -22,7 +22,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_dedup.dedup(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("language_id", languages), ("simhash_dedup", near_duplicates)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents of whose words at least a twentieth lie in a window of a benchmark item."""
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~decontaminate.contaminated()).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws each document with the rate that mixes the domains of `labels` to their target shares."""
+    labels = source_mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return source_mixing.draw(docs, source_mixing.fit_domains(docs, labels), source_mixing.TARGETS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token shards, and returns what reading them back gives for each document."""
+    return token_output.token_digest(spark, docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", languages),
+    ("simhash_dedup", near_duplicates),
+    ("decontaminate", decontaminated),
+    ("source_mixing", mixed),
+    ("token_output", tokens),
+]
 
 #: Models and hash joins decide here, which SQL can't express; tests/llm holds each stage against a plain version.
 ORACLE_SQL = None

@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from trendspark.llm.decontaminate import op6_decontaminate
 from trendspark.llm.embedding_dedup import op3_embedding_dedup
 from trendspark.llm.language_id import op1_language_id
+from trendspark.llm.license_scan import op5_license_scan
 from trendspark.llm.lm_scoring import op7_lm_scoring
+from trendspark.llm.pii import op2_pii
+from trendspark.llm.quality_mil import op9_quality_mil
 from trendspark.llm.simhash_dedup import op10_simhash_dedup
+from trendspark.llm.source_mixing import op8_source_mixing
 from trendspark.llm.token_output import op4_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_embedding_dedup, op4_token_output, op6_decontaminate, op7_lm_scoring, op10_simhash_dedup)}
+    ops = (op1_language_id, op2_pii, op3_embedding_dedup, op4_token_output, op5_license_scan, op6_decontaminate, op7_lm_scoring, op8_source_mixing, op9_quality_mil, op10_simhash_dedup)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
