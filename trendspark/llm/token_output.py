@@ -14,10 +14,12 @@ Shards are written next to their final place and renamed, so a lost or repeated
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +36,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Documents of a range of ids, and ids of a shard, at most (one document may be longer).
 RANGE_DOCS, SHARD_IDS = 8192, 8 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
+BETWEEN = "\x01"
 SAMPLE = 256
 
 
@@ -124,7 +127,7 @@ class Encoder:
     """Ids of texts. Words between spaces and line ends are encoded once and remembered, CACHED_WORDS at most.
 
     That gives the ids of whole texts for tokenizers that drop white space and never look across it; `whole` doesn't
-    rely on it.
+    rely on it. New words are encoded many at a time, with a control character between them whose id is found again.
     """
 
     def __init__(self, path: str, whole: bool = False) -> None:
@@ -133,21 +136,55 @@ class Encoder:
 
         self.tokenizer, self.whole = Tokenizer.from_file(path), whole
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, np.ndarray] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
+        self.known: dict[str, bytes] = {}
+        # For ASCII texts this normaliser only folds A-Z, which str.lower does sooner and for whole texts at once.
+        plain = json.loads(self.tokenizer.to_str())
+        folds = [n["type"] for n in (plain.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.ascii = Tokenizer.from_str(json.dumps(plain | {"normalizer": None})) if folds else None
+        self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> None:
+        alone = [w for w in words if BETWEEN in w] if len(self.between) == 1 else words
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, dtype=self.dtype).tobytes()
+        rest = [w for w in words if BETWEEN not in w] if len(self.between) == 1 else []
+        low = [w for w in rest if w.isascii() and w == w.lower()] if self.ascii else []
+        self._learn_groups(self.ascii, low)
+        self._learn_groups(self.tokenizer, list(set(rest).difference(low)))
+
+    def _learn_groups(self, tokenizer, words: list[str]) -> None:  # noqa: ANN001
+        groups = [words[i : i + 32] for i in range(0, len(words), 32)]
+        if not groups:
+            return
+        for group, e in zip(groups, tokenizer.encode_batch_fast([f" {BETWEEN} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
+            ends = [*np.flatnonzero(ids == self.between[0]).tolist(), len(ids)]
+            data, width, a = ids.tobytes(), self.dtype.itemsize, 0
+            for w, z in zip(group, ends, strict=True):
+                self.known[w] = data[a * width : z * width]
+                a = z + 1
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
         if self.whole:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
-        words = text.replace("\n", " ").split(" ")
-        if new := list(dict.fromkeys(w for w in words if w not in self.known)):
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known = {}
-                new = list(dict.fromkeys(words))
-            for lo in range(0, len(new), 10_000):
-                some = new[lo : lo + 10_000]
-                for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=self.dtype)
+            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for lo in range(0, len(texts), 64):
+            some = texts[lo : lo + 64]
+            if self.ascii:
+                some = [t.lower() if t.isascii() and "<|" not in t else t for t in some]  # special tokens are told by case
+            words = [t.replace("\n", " ").split(" ") for t in some]
+            new = set().union(*words).difference(self.known)
+            if len(self.known) + len(new) > CACHED_WORDS:  # what came first is the commonest, by and large
+                self.known = dict(islice(self.known.items(), CACHED_WORDS // 2))
+                new = set().union(*words).difference(self.known)
+            self._learn(list(new))
+            out += [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        return out
+
+
+#: A worker's encoders, kept from task to task.
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, whole: bool = False) -> list[dict]:
@@ -164,12 +201,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     edges = spark.sparkContext.broadcast(np.array(cuts, dtype=np.int64))  # one for RANGE_DOCS documents
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, whole)
+        if (tokenizer, whole) not in _encoders:
+            _encoders[tokenizer, whole] = Encoder(tokenizer, whole)
+        encoder = _encoders[tokenizer, whole]
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for b in batches:
             doc = b.column(0)
             part = np.searchsorted(edges.value, doc.fill_null(-(2**63)).to_numpy(), side="right")
-            ids = [encoder(t or "").tobytes() + end for t in b.column(1).to_pylist()]
+            ids = [x + end for x in encoder([t or "" for t in b.column(1).to_pylist()])]
             yield as_batch({"part": part.astype(np.int32), "doc_id": doc, "ids": pa.array(ids, pa.binary())})
 
     width = Encoder(tokenizer).dtype.itemsize
