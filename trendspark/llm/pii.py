@@ -4,8 +4,8 @@ All of it is DataFrame functions. The patterns give the base spans. The method i
 distinct address or number is a protected entity e, whose information is -log2 p(e); a term t beside it discloses the
 part PMI(t; e) / -log2 p(e) of it, with probabilities from documents of the whole corpus. A term that discloses at least
 LEAST of an entity is a span wherever it occurs, and `sanitized` generalises it to its class or removes it. Candidates
-are the words within NEAR characters of an entity in at least SUPPORT different contexts, so copies and near copies of
-one document are one piece of evidence, not many.
+are the words within NEAR characters of an entity in at least SUPPORT contexts that differ within CONTEXT characters, so
+copies and near copies of one document are one piece of evidence, not many.
 
 The patterns are rewritten without changing what they match, so that long runs cost no more than their length: a match
 may only start where the run before it starts (or where the last match ended), and quantifiers that never need to give
@@ -35,7 +35,7 @@ SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 _WORD = r"[\p{L}\p{M}\p{N}]"
 _A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-NEAR, SUPPORT, LEAST_LENGTH = 60, 3, 3
+NEAR, CONTEXT, SUPPORT, LEAST_LENGTH = 60, 200, 3, 3
 LEAST = 0.85
 #: Terms up to which the table of terms is broadcast (some 60 bytes each); beyond it the join shuffles.
 BROADCAST_TERMS = 100_000
@@ -116,26 +116,33 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUP
         after = F.substring(F.col("t"), (s["end"] + 1).cast("int"), F.lit(NEAR))
         # Without what holds data itself, and without words that the cut may have shortened.
         parts = [F.regexp_replace(F.regexp_replace(x, r"\S*[@0-9]\S*", " "), edge, "") for x, edge in ((before, rf"^{_WORD}+"), (after, rf"{_WORD}+$"))]
-        return F.struct(_entity(s).alias("e"), F.concat(parts[0], F.lit(" | "), parts[1]).alias("near"))
+        around = F.substring(F.col("t"), F.greatest(F.lit(1), s["start"] - CONTEXT + 1).cast("int"), (F.least(F.lit(CONTEXT), s["start"]) + s["end"] - s["start"] + CONTEXT).cast("int"))
+        return F.struct(_entity(s).alias("e"), F.xxhash64(around).alias("ctx"), F.concat(parts[0], F.lit(" | "), parts[1]).alias("near"))
 
     beside = marked.select("h", F.explode(F.array_distinct(F.transform("spans", beside_span))).alias("x"))
-    beside = beside.select("h", "x.e", F.xxhash64("x.near").alias("ctx"), F.array_distinct(words(F.col("x.near"))).alias("w"))
+    beside = beside.select("h", "x.e", "x.ctx", F.array_distinct(words(F.col("x.near"))).alias("w"))
     beside = materialize(beside.groupBy("h", "e", "ctx").agg(F.first("w").alias("w")), "pii-beside")
     known = beside.groupBy("e", "h").count().groupBy("e").agg(F.count("*").alias("e_docs")).where(F.col("e_docs") >= support)
     pairs = beside.select("h", "e", "ctx", F.explode("w").alias("term")).where((F.length("term") >= LEAST_LENGTH) & ~F.col("term").rlike("^[0-9]+$"))
     contexts = pairs.groupBy("e", "term", "ctx").count().groupBy("e", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
     together = pairs.groupBy("e", "term", "h").count().groupBy("e", "term").agg(F.count("*").alias("both"))
-    pairs = materialize(contexts.join(together, ["e", "term"]).join(known, "e"), "pii-pairs")
+    total = float(docs.select(F.xxhash64(text).alias("h")).groupBy("h").count().count())
+
+    def share(term_docs: Column) -> Column:
+        information = F.log2(F.lit(total) / F.col("e_docs"))
+        pmi = F.log2(F.col("both") * F.lit(total) / (term_docs * F.col("e_docs")))
+        return F.when(information > 0, F.least(F.lit(1.0), pmi / information)).otherwise(0.0)
+
+    # A term has at least as many documents as those where it stands beside any entity. One that fails by these alone, as
+    # common words do, need not be counted in the corpus.
+    beside_any = pairs.groupBy("term", "h").count().groupBy("term").agg(F.count("*").alias("near_docs"))
+    likely = contexts.join(together, ["e", "term"]).join(known, "e").join(beside_any, "term").where(share(F.col("near_docs")) >= least - 1e-9)
+    pairs = materialize(likely.select("e", "term", "both", "e_docs"), "pii-pairs")
     terms = materialize(pairs.select("term").distinct(), "pii-candidates")
     few = terms.count() <= BROADCAST_TERMS
     seen = docs.select(text.alias("t")).select(F.xxhash64("t").alias("h"), F.explode(F.array_distinct(words(F.col("t")))).alias("term"))
     seen = seen.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term", "h").count().groupBy("term").agg(F.count("*").alias("t_docs"))
-    total = float(docs.select(F.xxhash64(text).alias("h")).groupBy("h").count().count())
-    joined = pairs.join(seen, "term")
-    information = F.log2(F.lit(total) / F.col("e_docs"))
-    pmi = F.log2(F.col("both") * F.lit(total) / (F.col("t_docs") * F.col("e_docs")))
-    share = F.when(information > 0, F.least(F.lit(1.0), pmi / information)).otherwise(0.0)
-    told = joined.select("term", "e", share.alias("share")).where(F.col("share") >= least)
+    told = pairs.join(seen, "term").select("term", "e", share(F.col("t_docs")).alias("share")).where(F.col("share") >= least)
     return materialize(told.groupBy("term").agg(F.max("share").alias("disclosure"), F.count("*").alias("entities")), "pii-terms")
 
 
