@@ -7,7 +7,7 @@ place of each SAMPLE-th one kept, from which a value is selected without a table
 
 Shard: MAGIC, then little-endian unsigned 64-bit n_docs, n_null (documents without id, first), n_ids, width of an id in
 bytes, least doc_id (signed), and the byte lengths of five parts: ids, and low, high of offsets, low, high of doc_ids;
-then the parts. The places of the sampled ones are rebuilt when a shard is opened.
+then the parts. The low bits start with a byte that holds their number for each value. The places of the sampled ones are rebuilt when a shard is opened.
 
 Shards are written next to their final place and renamed, so a lost or repeated task leaves whole files only.
 """
@@ -45,8 +45,8 @@ class EliasFano:
     """A non-decreasing sequence of integers from 0 below 2**63; get(i) selects one value, all() decodes all."""
 
     def __init__(self, n: int, low: np.ndarray, high: np.ndarray) -> None:
-        self.n, self.low, self.high = n, low, high
-        self.bits = len(low) * 8 // n if n else 0
+        self.n, self.low, self.high = n, low[1:], high
+        self.bits = int(low[0]) if n else 0
         ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))
         self.places = ones[::SAMPLE].astype(np.uint32)
 
@@ -61,6 +61,7 @@ class EliasFano:
         if width:
             low = np.concatenate([np.packbits(((v[a : a + 65_536, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little") for a in range(0, n, 65_536)])
             # Each value's bits are contiguous; 65,536 values of any width end on a byte.
+        low = np.concatenate([np.array([width], dtype=np.uint8), low])
         high = np.zeros((int(v[-1]) >> width) + n, dtype=np.uint8)
         high[(v >> np.uint64(width)).astype(np.int64) + np.arange(n)] = 1
         return low, np.packbits(high, bitorder="little")
