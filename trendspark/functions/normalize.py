@@ -88,7 +88,8 @@ def coerce_ids(ids: Column) -> Column:
 
 def relevance(raw: Column) -> Column:
     """A number of 1 to 10, halves to even; 5 for what is no number."""
-    return F.coalesce(F.least(F.lit(10), F.greatest(F.lit(1), F.bround(raw.try_cast("double"), 0).cast("int"))), F.lit(5))
+    number = F.bround(raw.try_cast("double"), 0)
+    return F.when(number.isNull() | F.isnan(number), 5).otherwise(F.least(F.lit(10.0), F.greatest(F.lit(1.0), number)).cast("int"))
 
 
 def unit_vector(v: Column) -> Column:

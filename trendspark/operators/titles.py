@@ -10,7 +10,7 @@ from trendspark.functions import normalize as N
 
 
 def title_reason(df: DataFrame) -> DataFrame:
-    """df with the normal title, clipped to 350, and the reason of the first title rule that fires; null where none does."""
+    """df with the normal title and the reason of the first title rule that fires; null where none does."""
     df = df.withColumn("clean_title", N.normalize_text(F.col("title")))
     source, title = F.col("source"), F.col("clean_title")
     tag = F.lower(F.regexp_replace(title, "[# ]", ""))

@@ -27,6 +27,9 @@ _ITEMS = f"""items AS (
          CAST(n_chars AS DOUBLE) AS raw_score, n_chars % 97 AS comment_count FROM documents)"""
 _KEY = "regexp_replace(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), '^the ', '')"
 _SIG = f"list_distinct(list_filter(regexp_extract_all(lower(title), '{_TOKEN}'), lambda t: length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$') AND NOT list_contains([{_list(sorted(set(STOP_WORDS)))}], t)))"
+REASON = f"""CASE WHEN source = 'reddit' AND (raw_score < 20 OR comment_count < 5) THEN 'reddit_low_engagement' WHEN source = 'hackernews' AND raw_score < 10 THEN 'hn_low_points'
+  WHEN source = 'github' AND raw_score < 20 THEN 'github_low_stars' WHEN length(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')) < 2 OR regexp_matches(regexp_replace(title, '[^A-Za-z0-9]', '', 'g'), '^[0-9]+$') THEN 'too_short_or_non_ascii'
+  WHEN source IN ({_list(SOCIAL)}) AND len({_SIG}) = 0 AND NOT regexp_matches(title, '[A-Z]') THEN 'no_signal_tokens' END"""
 _GROUPS = f"""{_ITEMS}, keyed AS (SELECT *, {_KEY} AS title_key FROM items),
 best AS (SELECT *, row_number() OVER (PARTITION BY title_key ORDER BY raw_score DESC, item_id) AS nth,
          count(*) OVER (PARTITION BY title_key) AS duplicate_count, min(item_id) OVER (PARTITION BY title_key) AS first_id FROM keyed),
@@ -78,9 +81,7 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "source_cap": (lambda s, d: I.source_cap(I.items(s, d)).select("item_id", "source", "position"), f"WITH {_ITEMS} SELECT item_id, source, row_number() OVER (PARTITION BY source ORDER BY item_id) AS position FROM items QUALIFY position <= {I.SOURCE_CAP}"),
         "discard_reason_counts": (
             lambda s, d: I.discard_reason(I.items(s, d)).groupBy("source", "discard_reason").agg(F.count("*").alias("n")),
-            f"""WITH {_ITEMS} SELECT source, CASE WHEN source = 'reddit' AND (raw_score < 20 OR comment_count < 5) THEN 'reddit_low_engagement' WHEN source = 'hackernews' AND raw_score < 10 THEN 'hn_low_points'
-            WHEN source = 'github' AND raw_score < 20 THEN 'github_low_stars' WHEN length(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')) < 2 OR regexp_matches(regexp_replace(title, '[^A-Za-z0-9]', '', 'g'), '^[0-9]+$') THEN 'too_short_or_non_ascii'
-            WHEN source IN ({_list(SOCIAL)}) AND len({_SIG}) = 0 AND NOT regexp_matches(title, '[A-Z]') THEN 'no_signal_tokens' END AS discard_reason, count(*) AS n FROM items GROUP BY ALL""",
+            f"WITH {_ITEMS} SELECT source, {REASON} AS discard_reason, count(*) AS n FROM items GROUP BY ALL",
         ),
         "dedupe_exact_representative": (
             lambda s, d: I.exact_groups(I.items(s, d)).select("title_key", "item_id", "raw_score", "duplicate_count", "first_id", "sources"),

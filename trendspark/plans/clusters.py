@@ -14,8 +14,9 @@ from trendspark.operators import drafts as D
 from trendspark.operators import history as H
 from trendspark.operators import items as I
 from trendspark.operators import titles as T
-from trendspark.plans.catalogue import _ITEMS, _SIG, _list
+from trendspark.plans.catalogue import _GROUPS, _ITEMS, _SIG, REASON, _list
 from trendspark.session import table
+from trendspark.streaming.loop import closed_hours
 
 
 def _q(s: str) -> str:
@@ -125,7 +126,14 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
             """SELECT p_partkey AS item_id, CASE WHEN bool_or(l_returnflag = 'R') THEN 'discarded' WHEN bool_or(l_returnflag = 'A') THEN 'clustered' ELSE 'unsupported_grouping' END AS claim
             FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 25 AND l_returnflag IN ('A', 'R')) ON l_partkey = p_partkey GROUP BY 1""",
         ),
-        "discard_weights": (_discard_weights, None),
+        "discard_weights": (
+            _discard_weights,
+            f"WITH {_GROUPS}, gone AS (SELECT item_id, {REASON} AS discard_reason FROM items) SELECT discard_reason, count(*) AS items, CAST(sum(coalesce(duplicate_count, 1)) AS BIGINT) AS raw_items FROM gone LEFT JOIN grouped USING (item_id) WHERE discard_reason IS NOT NULL GROUP BY 1",
+        ),
+        "stream_closed_hours": (
+            closed_hours,
+            "SELECT CAST(floor(epoch_us(ts) / 3600000000) * 3600 AS BIGINT) AS run_id, event_type AS entity, count(*) AS freq FROM events GROUP BY 1, 2 HAVING (run_id + 3600) * 1000 <= (SELECT floor(max(epoch_us(ts)) / 1000) FROM events)",
+        ),
         "run_count": (lambda s, d: H.runs(s, d).agg(F.count_if("finished").alias("runs")), "SELECT count(DISTINCT floor(epoch_us(ts) / 3600000000)) - 1 AS runs FROM events"),
     }
 
