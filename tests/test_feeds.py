@@ -59,6 +59,13 @@ def test_papers(payload):
     assert found(feeds.weekly_papers(payload(text, year=[2026])), "title", "raw_score", "url", "description", "ts") == [("One", 2.0, "https://arxiv.org/abs/2609.00001", "About", dt.datetime(2026, 9, 20)), ("Two", 1.0, "https://b", "About", dt.datetime(2026, 9, 20))]
 
 
+def test_sources_come_together(payload):
+    news = feeds.google_news(payload("<rss><channel><item><title>N</title></item></channel></rss>"))
+    posts = feeds.reddit_listing(payload(json.dumps({"data": {"children": [{"data": {"title": "P"}}]}}), None, feed=["x", "y"]))
+    got = feeds.all_items([news, posts])
+    assert got.columns == feeds.ITEM and sorted(r.title for r in got.collect()) == ["N", "P"]
+
+
 def test_normal_forms(spark):
     df = spark.createDataFrame([(" – Café &amp; bar!!!! https://a.b/c x… ", "#JordanLove", "#GBvsATL", "Thu, 24 Sep 2026 10:00:00 +0000", ["1", "#2", "x"], "7.5")], ["t", "h", "g", "d", "i", "r"])
     got = df.select(N.normalize_text(F.col("t")), N.split_hashtag(F.col("h")), N.split_hashtag(F.col("g")), N.parse_datetime(F.col("d"), F.lit(NOW)), N.coerce_ids(F.col("i")), N.relevance(F.col("r")), N.relevance(F.lit("much"))).first()
