@@ -112,3 +112,62 @@ CATEGORY_ALIASES = {
     "Internet Culture": ["internet culture", "internet", "culture", "memes", "meme", "social media", "viral", "lifestyle"],
     "Science & AI": ["science & ai", "science and ai", "science/ai", "science", "ai", "artificial intelligence", "research", "space", "machine learning"],
 }
+
+# Names of sources as shown.
+SOURCE_DISPLAY = {
+    "x_trends24": "X",
+    "reddit": "Reddit",
+    "tiktok": "TikTok",
+    "google_trends": "Google Trends",
+    "google_news": "Google News",
+    "wikipedia": "Wikipedia",
+    "arxiv": "arXiv",
+    "ai_papers": "AI Papers of the Week",
+    "hackernews": "Hacker News",
+    "github": "GitHub",
+    "producthunt": "Product Hunt",
+}
+
+# Patterns taken out of titles, headlines and summaries.
+CLICKBAIT = (
+    r"^\s*(?:breaking(?: news)?|just in|watch|update|updated|exclusive|developing|live|video|photos?|"
+    r"must[- ]see|viral|shocking|omg|wow)\s*[:\-|!]+\s*"
+    r"|\[(?:oc|video|photo|pic|pics|serious|nsfw|meta|update|removed)\]"
+    r"|\((?:video|photos?|watch|pics?|oc)\)"
+    r"|\b(?:you won'?t believe|will blow your mind|goes viral|gone viral|jaw[- ]dropping|must[- ]see|"
+    r"what happened next|here'?s why|this is why|the internet is losing it|broke the internet|"
+    r"can'?t stop watching|mind[- ]blowing|insane|unbelievable)\b[:!.,]*"
+)
+MD_LINK = r"\[([^\]]{1,200})\]\((?:https?://|www\.)[^)]*\)"
+SAFE_URL = r"(?:https?://|www\.)[^\s<>\"]*[^\s<>\".,;:!?)\]]"
+BARE_URL = r"(?:https?://|www\.)\S+|\b[\w-]+\.(?:com|org|net|io|ai|dev|app|co)(?:/\S*)?"
+TRAILING_URL = r"[\s(\[<:-]*(?:(?:https?://|www\.)\S+[\s)\]>.,;]*)+$"
+HANDLE = r"(?<![\w@])@([A-Za-z0-9_]{2,30})\b"
+JSON_KEY = r'"?\b(?:headline|summary|category|item_ids|primary_entities|relevance_score|clusters|discarded_item_ids)\b"?\s*:\s*'
+JSON_FRAGMENT = r'"\s*,\s*"[^"]{0,60}"?|"\s*:\s*"?'
+JSON_JUNK = r'\\[nrt"]|[{}\[\]`]|(?<=\s)"\s*,\s*"|^\s*"|"\s*,?\s*$'
+SMALL_WORDS = "a an and as at but by for from in into nor of on or over per the to up via vs vs. with".split()
+PROPER_WORDS = """Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July
+August September October November December""".split()
+FILLER = (
+    r"\b(?:no (?:specific|further|additional|detailed) (?:information|details)|details (?:are|remain) (?:scarce|unclear|limited)|"
+    r"(?:not|in)sufficient (?:information|context|data|details)|not enough (?:information|context|details)|"
+    r"limited information|information is limited|unclear why|it is unclear (?:what|why)|cannot (?:be )?determine[d]?|"
+    r"no (?:clear|further) context|without (?:more|further|additional) (?:information|context))\b"
+)
+
+# Names in titles, words that are no names, and last words too common to stand for one.
+PROPER_NOUN = r"\b([A-Z][A-Za-z0-9&'.-]+(?:\s+(?:of|the|de|&)?\s*[A-Z][A-Za-z0-9&'.-]+){0,3})"
+ENTITY_BLOCKLIST = ["The", "A", "An", "This", "That", "New", "Why", "How", "What", "Show", "Ask", "Launch", "HN"]
+GENERIC_ENTITY_TOKENS = """nfl nba mlb nhl ai news game team city state united states world
+new york north south east west university national international open""".split()
+
+# Paragraphs of pages that say nothing, the shortest that counts, and where sources have their context.
+BOILERPLATE = (
+    r"(cookie|subscribe|sign up|sign in|log in|newsletter|javascript|enable js|accept all|privacy policy|"
+    r"all rights reserved|advertisement|skip to (main )?content|you have been blocked|access denied|"
+    r"are you a robot|captcha|checking your browser)"
+)
+MIN_PARAGRAPH = 60
+NO_PAGE_SOURCES = ["x_trends24", "tiktok"]
+FEED_CONTEXT_SOURCES = ["arxiv", "ai_papers", "producthunt"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trendspark.functions import text as X
-from trendspark.functions.lexicon import CATEGORIES, CATEGORY_ALIASES, CATEGORY_PREFIX, GENERIC_HEADLINE_WORDS
+from trendspark.functions.lexicon import CATEGORIES, CATEGORY_ALIASES, CATEGORY_PREFIX, GENERIC_HEADLINE_WORDS, SOURCE_DISPLAY
 
 #: Entities and signs with what stands for them, in order.
 SIGNS = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"), ("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", " - "), ("…", "...")]
@@ -58,8 +58,9 @@ def is_generic_headline(headline: Column) -> Column:
 
 
 def display_sources(names: Column) -> Column:
-    """`a, b and c`; `one source` for none."""
-    n = F.size(names)
+    """`A, B and C` by the names as shown; `one source` for none."""
+    shown = F.create_map(*[F.lit(x) for kv in SOURCE_DISPLAY.items() for x in kv])
+    names, n = F.transform(names, lambda s: F.coalesce(F.try_element_at(shown, s), s)), F.size(names)
     head = F.array_join(F.slice(names, F.lit(1), F.greatest(n - 1, F.lit(0))), ", ")
     return F.when(n <= 0, "one source").when(n == 1, F.get(names, F.lit(0))).otherwise(F.concat(head, F.lit(" and "), F.get(names, n - 1)))
 

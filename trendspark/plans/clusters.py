@@ -106,7 +106,7 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
             lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(F.element_at(N.unit_vector(F.col("embedding")), 1), 6).alias("first"), F.round(X.dot(N.unit_vector(F.col("embedding")), N.unit_vector(F.col("embedding"))), 6).alias("norm")),
             "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / CASE n WHEN 0 THEN 1 ELSE n END, 6) AS first, round(CASE n WHEN 0 THEN 0e0 ELSE 1e0 END, 6) AS norm FROM (SELECT *, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)",
         ),
-        "cluster_rollup": (_display, f"WITH {_ROLLUP} SELECT draft_id, CASE len(sources) WHEN 1 THEN sources[1] ELSE array_to_string(sources[1:-2], ', ') || ' and ' || sources[-1] END AS shown, array_to_string(urls, ' ') AS urls FROM rollup"),
+        "cluster_rollup": (_display, f"WITH {_ROLLUP}, named AS (SELECT draft_id, urls, list_transform(sources, lambda s: MAP {{{', '.join(f'{_q(k)}: {_q(v)}' for k, v in L.SOURCE_DISPLAY.items())}}}[s]) AS sources FROM rollup) SELECT draft_id, CASE len(sources) WHEN 1 THEN sources[1] ELSE array_to_string(sources[1:-2], ', ') || ' and ' || sources[-1] END AS shown, array_to_string(urls, ' ') AS urls FROM named"),
         "heuristic_relevance": (lambda s, d: _drafts(s, d).select("draft_id", "members", "raw_items", "heuristic_relevance"), f"WITH {_DRAFTS} SELECT draft_id, members, raw_items, heuristic_relevance FROM scored"),
         "cold_start_scores": (lambda s, d: _drafts(s, d).select("draft_id", "relevance", "velocity", "combined"), f"WITH {_DRAFTS} SELECT draft_id, relevance, velocity, combined FROM scored"),
         "draft_drop_reason": (
