@@ -171,3 +171,9 @@ BOILERPLATE = (
 MIN_PARAGRAPH = 60
 NO_PAGE_SOURCES = ["x_trends24", "tiktok"]
 FEED_CONTEXT_SOURCES = ["arxiv", "ai_papers", "producthunt"]
+
+# The order in which categories are preferred on equal votes, references to ranks, and tickets.
+PREFERRED = ["Sports", "Science & AI", "Tech", "Entertainment", "News", "Internet Culture"]
+TREND_REF = r"(?:#\s*|\btrend\s+|\bnumber\s+|\bno\.\s*)(\d{1,2})\b"
+CLAIMABLE = ["todo", "in_progress"]
+PRIORITIES = {"critical": 0, "high": 1, "medium": 2, "low": 3}
