@@ -104,6 +104,13 @@ def _cluster_velocity(s: SparkSession, d: str) -> DataFrame:
     return V.cluster_velocity(v.select(F.col("run_id").alias("cluster_id"), F.col("entity").alias("entity_key"), ord_.alias("ord"), "freq", "velocity", (F.col("momentum") == "NEW").alias("is_new")))
 
 
+def _near_groups(s: SparkSession, d: str) -> DataFrame:
+    """Titles of each run: as many items in a row as the caps of all sources let through are one."""
+    run = F.floor((F.col("item_id") - 1) / (I.SOURCE_CAP * len(L.SOURCES)))
+    keys = I.items(s, d).groupBy(run.alias("run_id"), X.dedupe_key(F.col("title")).alias("title_key")).agg(F.min("item_id").alias("first_id"), F.count("*").alias("items"))
+    return G.near_groups(keys).select("run_id", "first_id", "title_key", "items", "root_id")
+
+
 def _questions(s: SparkSession, d: str) -> DataFrame:
     """User turns as questions about the fifteen best-scored titles."""
     top = members(s, d).orderBy(F.desc("score"), "item_id").limit(15)
@@ -119,7 +126,7 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
     return {
         "lexical_components": (lambda s, d: K.lexical_groups(members(s, d)), f"WITH RECURSIVE {_TOK}, {_pairs('AND a.df <= a.join_cap', _LEXICAL)}, {_REACH} SELECT item AS item_id, min(root) AS group_id FROM reach GROUP BY 1"),
         "linked_pairs_in_drafts": (lambda s, d: K.linked(K.shared_tokens(members(s, d), within="draft_id")).select("left_id", "right_id"), f"WITH {_TOK}, {_pairs('AND a.draft_id = b.draft_id', _LINKED)} SELECT l AS left_id, r AS right_id FROM edges"),
-        "near_duplicate_groups": (lambda s, d: G.near_groups(I.exact_groups(I.items(s, d))).select("first_id", "title_key", "root_id"), None),
+        "near_duplicate_groups": (_near_groups, None),
         "density_groups": (lambda s, d: G.vector_groups(table(s, d, "embeddings"), "label"), None),
         "threshold_groups": (lambda s, d: G.vector_groups(table(s, d, "embeddings"), "label", "threshold"), None),
         "cosine_gate_iterative": (lambda s, d: G.vector_groups(table(s, d, "embeddings"), "label", "given", 0.1), None),
