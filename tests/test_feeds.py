@@ -59,6 +59,21 @@ def test_papers(payload):
     assert found(feeds.weekly_papers(payload(text, year=[2026])), "title", "raw_score", "url", "description", "ts") == [("One", 2.0, "https://arxiv.org/abs/2609.00001", "About", dt.datetime(2026, 9, 20)), ("Two", 1.0, "https://b", "About", dt.datetime(2026, 9, 20))]
 
 
+def test_pages_of_trends(payload):
+    page = '<ol class="trend-card__list"><li><a class="trend-link" href="#">#One &amp; only</a><span class="tweet-count" data-count="12K">12K</span></li><li>no link</li><li><a href="#">Two</a></li></ol><ol class="trend-card__list"><li><a>Late</a></li></ol>'
+    assert found(feeds.x_trends(payload(page)), "title", "raw_score", "rank") == [("#One & only", 12000.0, 1), ("Two", 1.0, 2)]
+    links = '<a href="https://x.com/search?q=a">Alpha</a><a href="https://twitter.com/search?q=a">ALPHA</a><a href="https://x.com/search?q=b">Be ta</a><a href="https://z.org">No</a>'
+    assert found(feeds.x_trends(payload(links)), "title", "raw_score", "url") == [("Alpha", 2.0, "https://x.com/search?q=Alpha"), ("Be ta", 1.0, "https://x.com/search?q=Be%20ta")]
+    assert feeds.x_trends(payload("nothing", None)).collect() == []
+
+
+def test_repositories_and_products(payload):
+    page = '<article class="Box-row"><h2><a href="/a/b-c">x</a></h2><p> Makes <b>tea</b></p><span itemprop="programmingLanguage">Rust</span><span>1.2k stars today</span></article><article class="Box-row"><h2><a href="/a/d_e">x</a></h2></article>'
+    assert found(feeds.github_trending(payload(page)), "title", "raw_score", "url", "language") == [("a/b-c: Makes tea", 1200.0, "https://github.com/a/b-c", "Rust"), ("a/d_e (d e)", 0.0, "https://github.com/a/d_e", None)]
+    feed = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Cup</title><link href="https://p/1"/><content type="html">&lt;p&gt;Holds tea&lt;/p&gt; Discussion | Link</content></entry><entry><title>Bare</title><link href="https://p/2"/></entry></feed>'
+    assert found(feeds.product_hunt(payload(feed)), "title", "raw_score", "url", "description") == [("Cup: Holds tea", 2.0, "https://p/1", "Holds tea"), ("Bare", 1.0, "https://p/2", None)]
+
+
 def test_sources_come_together(payload):
     news = feeds.google_news(payload("<rss><channel><item><title>N</title></item></channel></rss>"))
     posts = feeds.reddit_listing(payload(json.dumps({"data": {"children": [{"data": {"title": "P"}}]}}), None, feed=["x", "y"]))

@@ -131,6 +131,58 @@ def weekly_papers(df: DataFrame) -> DataFrame:
     return _items(rows, "ai_papers", plain(part(2)), _by_place(), url, F.col("ends"), description=plain(F.get(F.split(part(3), r"(?i)<br\s*/?>", 2), F.lit(0))))
 
 
+def _plain(html: Column) -> Column:
+    """What HTML says, on one line, the entities of `normalize.SIGNS` replaced."""
+    out = F.regexp_replace(html, "<[^>]*>", " ")
+    for sign, plain in N.SIGNS:
+        out = F.replace(out, F.lit(sign), F.lit(plain)) if sign.startswith("&") else out
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def x_trends(df: DataFrame) -> DataFrame:
+    """Names of the first trend list of a page with their number of posts; without a list the names of its search links.
+
+    Of names that differ in case only the first search link counts. A name without a number gets n - rank + 1.
+    """
+    listed = F.regexp_extract("payload", r"(?is)<ol[^>]*trend-card__list[^>]*>(.*?)</ol>", 1)
+    rows = F.filter(F.regexp_extract_all(listed, F.lit(r"(?is)(<li\b.*?</li>)"), F.lit(1)), lambda r: r.rlike(r"(?i)<a\b"))
+    links = F.regexp_extract_all("payload", F.lit(r"(?is)(<a\b[^>]*href\s*=\s*[\"'][^\"']*(?:twitter|x)\.com/search[^>]*>.*?</a>)"), F.lit(1))
+    names = F.transform(links, lambda a: F.lower(_plain(a)))
+    links = F.filter(links, lambda a, i: (_plain(a) != "") & (F.array_position(names, F.lower(_plain(a))) == i + 1))
+    seen = _entries(df, F.when(F.size(rows) > 0, rows).otherwise(links))
+    own = F.regexp_extract("e", r"(?is)(<a\b[^>]*class\s*=\s*[\"'][^\"']*\btrend-link\b[^>]*>.*?</a>)", 1)
+    name = _plain(F.coalesce(F.nullif(own, F.lit("")), F.regexp_extract("e", r"(?is)(<a\b.*?</a>)", 1)))
+    box = F.regexp_extract("e", r"(?is)(<[^>]*class\s*=\s*[\"'][^\"']*\btweet-count\b[^>]*>[^<]*)", 1)
+    count = X.parse_count(F.coalesce(F.nullif(F.regexp_extract(box, r"(?i)data-count\s*=\s*[\"']([^\"']*)", 1), F.lit("")), _plain(box)))
+    url = F.concat(F.lit("https://x.com/search?q="), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")))
+    return _items(seen, "x_trends24", name, F.coalesce(count, _by_place()), url, more={"tweet_volume": count})
+
+
+def github_trending(df: DataFrame) -> DataFrame:
+    """Repositories of a trending page: `owner/name: description`, or the name in words; today's stars, else 0."""
+    rows = F.regexp_extract_all("payload", F.lit(r"(?is)(<article\b[^>]*Box-row.*?</article>)"), F.lit(1))
+    seen = _entries(df, rows)
+    head = F.regexp_extract("e", r"(?is)<h[12]\b[^>]*>(.*?)</h[12]>", 1)
+    repo = F.btrim(F.regexp_extract(head, r"(?is)<a\b[^>]*href\s*=\s*[\"']([^\"']+)", 1), F.lit("/"))
+    about = _plain(F.regexp_extract("e", r"(?is)<p\b[^>]*>(.*?)</p>", 1))
+    words = F.regexp_replace(F.regexp_extract(repo, "/(.*)$", 1), "[-_]", " ")
+    title = F.substring(F.when(about != "", F.concat(repo, F.lit(": "), about)).otherwise(F.concat(repo, F.lit(" ("), words, F.lit(")"))), 1, 300)
+    stars = X.parse_count(F.regexp_extract(_plain(F.col("e")), r"(?i)([0-9,.]+k?)\s+stars?\s+(?:today|this week|this month)", 1))
+    found = seen.where(repo != "")
+    more = {"repo": repo, "language": F.nullif(_plain(F.regexp_extract("e", r"(?is)(<[^>]*programmingLanguage[^>]*>[^<]*)", 1)), F.lit(""))}
+    return _items(found, "github", title, F.coalesce(stars, F.lit(0.0)), F.concat(F.lit("https://github.com/"), repo), description=F.nullif(about, F.lit("")), more=more)
+
+
+def product_hunt(df: DataFrame) -> DataFrame:
+    """Entries of the products feed: `name: tagline` for names shorter than 60 characters."""
+    seen = _entries(df, F.from_xml("payload", f"entry array<struct<title:string,link:{_LINKS},content:string,published:string>>", _LENIENT)["entry"])
+    tagline = F.substring(_plain(F.coalesce("e.content", F.lit(""))), 1, 300)
+    tagline = F.trim(F.regexp_replace(tagline, r"\s*(?:Discussion|Link)\s*\|?\s*", " "))
+    name = F.trim(F.coalesce("e.title", F.lit("")))
+    title = F.when((tagline != "") & (F.length(name) < 60), F.concat(name, F.lit(": "), tagline)).otherwise(name)
+    return _items(seen, "producthunt", title, _by_place(), F.element_at("e.link", -1)["_href"], N.parse_datetime(F.col("e.published"), F.col("run_ts")), description=F.nullif(tagline, F.lit("")))
+
+
 def all_items(frames: list[DataFrame]) -> DataFrame:
     """Items of all sources, with the columns that all have."""
     out = frames[0].select(*ITEM)
