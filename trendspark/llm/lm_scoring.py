@@ -1,16 +1,19 @@
-"""Language-model scores by a weighted backoff automaton.
-
-Tokens are counted over all training texts. A token with at least CORE of all tokens is a core word: there are at most
-1 / CORE of them, at any size. n-grams (up to ORDER) with at least COMMON of all tokens are kept, at most 1 / COMMON of an
-order. They become an automaton: a state for each context that some n-gram continues, an arc for each n-gram, which
-carries its log-probability and the next state, and a failure arc from each context to the next shorter one, which
-carries the backoff weight. A text is read once from left to right; where a state has no arc for a word its failure arcs
-are taken and their weights added.
-
-Estimates are by absolute discounting: what is taken from seen n-grams is spread over the rest by the shorter context; for
-single tokens it is the probability of the unseen token. The failure arcs' weights make each context's probabilities sum
-to one. Every other token falls back to the root, and its count, of which there may be any number, comes by a join: exact
-counts for all tokens, with no table of all of them in one place. Core words are never joined, so no hot key is shuffled.
+"""Language-model scores by weighted backoff, with tables of n-grams that grow with the corpus.
+
+Tokens are counted over all training texts, and so are their n-grams up to ORDER, whatever words they hold; every n-gram
+that occurs LEAST times is kept. Estimates are by absolute discounting: what is taken from seen n-grams is spread over the
+rest by the shorter context; for single tokens it is the probability of the unseen token. The weights of the shorter
+contexts make each context's probabilities sum to one.
+
+The log-probability of a word after its context is a sum over the n-grams that end at it: the word's own, for each context
+the weight of backing off from it, and for each kept n-gram what it has above backing off. So a text's score is the sum of
+one value for each n-gram in it, and values come by one join: no table of all words or n-grams is in one place. A token
+with at least CORE of all tokens (at most 1 / CORE) and an n-gram with at least COMMON of them has its value broadcast too,
+the same value, so that no hot key is shuffled. n-grams are named by 64-bit hashes; tokens are compared as they are.
+
+A caller who wants a bounded model gives `common`: n-grams of core words with that share of all tokens become an automaton
+with a state for each context that some n-gram continues, an arc for each n-gram, which carries its log-probability and
+the next state, and a failure arc from each context to the next shorter one, which carries the backoff weight.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +32,12 @@ from trendspark.llm.common import as_batch, bounded_batches, crc_bucket, text_by
 from trendspark.session import materialize
 
 CORE, COMMON, ORDER = 2e-6, 1e-5, 3
-DISCOUNT = 0.75
+DISCOUNT, LEAST = 0.75, 2
+#: The seed of Spark's xxhash64.
+SEED = 42
 #: No word is a line end, so it can stand for the end of a text.
 END = b"\n"
-HELD_TYPES, HELD_CODES, BLOCK = 400_000, 4 << 20, 256
+HELD_TYPES, HELD_CODES, HELD_GRAMS, HELD_ASKED, BLOCK = 400_000, 4 << 20, 3 << 20, 1 << 20, 256
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -62,6 +68,92 @@ def word_ids(texts: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray,
     return flat, np.array([len(w) for w in words], dtype=np.int64), words
 
 
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Names of the n-grams of the hash a followed by the word b."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.view(np.uint64) ^ (b.view(np.uint64) >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def hashed(ids: np.ndarray, words: list[list[bytes]], core: np.ndarray) -> np.ndarray:
+    """Hashes of all tokens one after the other; core: those of the core words."""
+    out = core[ids] if len(core) else np.zeros(len(ids), dtype=np.int64)
+    rest = np.flatnonzero(ids < 0)
+    flat = [w for ws in words for w in ws]
+    out[rest] = np.fromiter((xxhash.xxh64_intdigest(flat[i], SEED) for i in rest.tolist()), dtype=np.uint64, count=len(rest)).view(np.int64)
+    return out
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
+
+
+def grams_of(h: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 2: the positions where an n-gram ends, its name, and those of it without its last and its first word."""
+    nth = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    now = h
+    for n in range(2, order + 1):
+        at = np.flatnonzero(nth >= n - 1)
+        longer = np.zeros(len(h), dtype=np.int64)
+        longer[at] = pair(now[at - 1], h[at])
+        yield at, longer[at], now[at - 1], now[at]
+        now = longer
+
+
+def count_all_grams(texts: DataFrame, number: dict[bytes, int], core: np.ndarray, order: int) -> DataFrame:
+    """(gram, head, tail, n, c): the n-grams of orders 2 to `order` that occur LEAST times, those one shorter, and counts."""
+    shared = texts.sparkSession.sparkContext.broadcast((number, core))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, core = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def add_up() -> pa.RecordBatch:
+            gram, head, tail, n = (np.concatenate([np.zeros(0, dtype=np.int64), *(x[k] for x in held)]) for k in range(4))
+            gram, at, c = np.unique(gram, return_index=True, return_counts=True)
+            return as_batch({"gram": gram, "head": head[at], "tail": tail[at], "n": n[at].astype(np.int32), "c": c.astype(np.int64)})
+
+        for b in batches:
+            ids, sizes, words = word_ids(text_bytes(b.column(0)), number)
+            for n, (at, gram, head, tail) in enumerate(grams_of(hashed(ids, words, core), sizes, order), 2):
+                held.append((gram, head, tail, np.full(len(at), n, dtype=np.int8)))
+                size += len(at)
+            if size > HELD_GRAMS:
+                yield add_up()
+                held, size = [], 0
+        yield add_up()
+
+    found = texts.mapInArrow(work, "gram long, head long, tail long, n int, c long").groupBy("gram")
+    return found.agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.first("n").alias("n"), F.sum("c").alias("c")).where(F.col("c") >= LEAST)
+
+
+def gram_values(counts: DataFrame, grams: DataFrame, total: int, d1: float, order: int) -> tuple[DataFrame, DataFrame]:
+    """(token, c, gram, value) of all tokens and (gram, c, value) of all n-grams; values as the module says, a token's without its own."""
+    words = counts.withColumn("gram", F.xxhash64("token"))
+    # A context's words have counts of at least LEAST; two tokens of one hash would count as one context.
+    lower = materialize(words.where(F.col("c") >= LEAST).groupBy("gram").agg(F.sum("c").alias("c"), F.sum((F.col("c") - d1) / max(1, total)).alias("p")).withColumn("above", F.lit(0.0)), "lm-lower")
+    levels = []
+    for n in range(2, order + 1):
+        own = grams.where(F.col("n") == n).select("gram", "head", "tail", "c")
+        own = materialize(own.join(lower.select(F.col("gram").alias("tail"), F.col("p").alias("low")), "tail"), "lm-own")
+        left = own.groupBy("head").agg(F.sum(F.col("c") - DISCOUNT).alias("taken"), F.sum("low").alias("low_taken"))
+        left = left.join(lower.select(F.col("gram").alias("head"), F.col("c").alias("of")), "head")
+        back = F.log10(F.greatest(1 - F.col("taken") / F.col("of"), F.lit(1e-12)) / F.greatest(1 - F.col("low_taken"), F.lit(1e-12)))
+        left = materialize(left.select("head", "of", back.alias("back")), "lm-contexts")
+        levels.append(lower.join(left.select(F.col("head").alias("gram"), "back"), "gram", "left").select("gram", "c", (F.col("above") + F.coalesce("back", F.lit(0.0))).alias("value")))
+        p = (F.col("c") - DISCOUNT) / F.col("of")
+        lower = own.join(left, "head").select("gram", "c", p.alias("p"), (F.log10(p) - F.col("back") - F.log10("low")).alias("above"))
+        if n < order:
+            lower = materialize(lower, "lm-lower")
+    levels.append(lower.select("gram", "c", F.col("above").alias("value")))
+    first, *rest = levels
+    table = rest[0]
+    for x in rest[1:]:
+        table = table.union(x)
+    return words.join(first.select("gram", "value"), "gram", "left").select("token", "c", "gram", F.coalesce("value", F.lit(0.0)).alias("value")), table
+
+
 def grams_at(ids: np.ndarray, sizes: np.ndarray, kept: list[np.ndarray], base: int) -> np.ndarray:
     """For each position the number of the kept n-gram of the highest order in `kept` that ends there, or -1.
 
@@ -200,8 +292,11 @@ class Backoff:
         return np.bincount(of, total, minlength=len(sizes))
 
 
-def fit(texts: DataFrame, core: float = CORE, common: float = COMMON, order: int = ORDER) -> tuple[DataFrame, dict]:
-    """The counts of all tokens (token, c), written out, and the model: core words and automaton."""
+def fit(texts: DataFrame, core: float = CORE, common: float | None = None, order: int = ORDER) -> tuple[DataFrame, dict]:
+    """The counts of all tokens (token, c, gram, value), written out, and the model.
+
+    Without `common` the model holds all n-grams as a table; with it those of core words with that share, as an automaton.
+    """
     counts = materialize(count_tokens(texts), "lm-counts")
     total, types, n1, n2 = (x or 0 for x in counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
     d1 = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
@@ -209,6 +304,16 @@ def fit(texts: DataFrame, core: float = CORE, common: float = COMMON, order: int
     words = sorted(((bytes(r["token"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
     number = {w: i for i, (w, _) in enumerate(words)}
     c = np.array([n for _, n in words], dtype=np.float64)
+    unseen = float(np.log10(d1 * types / total)) if total and types else 0.0
+    model = {"core": core * total, "number": number, "c": c, "total": total, "types": types, "d1": d1, "unseen": unseen, "order": order}
+    if common is None:
+        names = hash_words([w for w, _ in words])
+        grams = materialize(count_all_grams(texts, number, names, order), "lm-grams")
+        valued, table = (materialize(x, "lm-values") for x in gram_values(counts, grams, total, d1, order))
+        value = {bytes(r["token"]): r["value"] for r in valued.where(F.col("c") >= core * total).collect()}
+        hot = sorted((r["gram"], r["value"]) for r in table.where(F.col("c") >= max(LEAST, COMMON * total)).collect()) if COMMON * total >= LEAST else []  # at most 1 / COMMON of an order
+        local = {"names": names, "after": np.array([value[w] for w, _ in words]), "hot": np.array([g for g, _ in hot], dtype=np.int64), "hot_value": np.array([v for _, v in hot])}
+        return valued, model | {"table": table, "local": local}
     least = max(2.0, common * total)
     base = max(1, int((c >= least).sum()))
     grams: list[dict[int, int]] = []
@@ -217,57 +322,122 @@ def fit(texts: DataFrame, core: float = CORE, common: float = COMMON, order: int
         if not found:
             break
         grams.append(found)
-    return counts, {"core": core * total, "number": number, "c": c, "total": total, "types": types, "d1": d1, "automaton": Backoff(c, total, types, d1, base, grams)}
+    counts = counts.select("token", "c", F.xxhash64("token").alias("gram"), F.lit(0.0).alias("value"))
+    return counts, model | {"automaton": Backoff(c, total, types, d1, base, grams)}
 
 
 def score_texts(docs: DataFrame, counts: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score): one row for each row of docs.
 
     A null text is empty: the end alone. Rows that repeat id and text come back as often. With nothing learned both scores
-    are 0 for each token. Other columns don't matter.
+    are 0 for each token. Other columns don't matter. Rows are numbered by partition and place, so docs must come in the
+    same order if a task is repeated, as a table does. A batch asks once for each token and n-gram and names the rows it is in.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by 1 / CORE words and 1 / COMMON n-grams of an order
+    shared = spark.sparkContext.broadcast({k: v for k, v in model.items() if k != "table"})  # bounded by 1 / CORE words and 1 / COMMON n-grams of an order
     total, types, d1 = model["total"], model["types"], model["d1"]
     log_all = float(np.log10(total + 0.1 * (types + 1)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        number, automaton = m["number"], m["automaton"]
+        number, automaton, local = m["number"], m.get("automaton"), m.get("local")
         base = np.append(np.log10(m["c"] + 0.1) - log_all, 0.0)
+        nth = 0
+        if local:
+            own = np.append(np.log10(np.maximum(m["c"] - d1, 1e-300) / max(1, total)) + local["after"], 0.0)
         for b in batches:
             texts = text_bytes(b.column(1))
             ids, sizes, words = word_ids(texts, number)
             of = np.repeat(np.arange(len(texts)), sizes)
             core = np.bincount(of, ids >= 0, minlength=len(texts)).astype(np.int64)
             sums = np.bincount(of, base[ids], minlength=len(texts))
-            score = automaton.score(ids, sizes)
-            keys = np.array([xxhash.xxh64_intdigest(t) for t in texts], dtype=np.uint64).view(np.int64)
-            doc = b.column(0)
-            # The row of a text: its token is no word (it starts with a space), so the join finds nothing and spreads it.
-            yield as_batch({"doc_id": doc, "key": keys, "token": pa.array([b" %d" % k for k in keys.tolist()], pa.binary()), "tf": np.zeros(len(texts), dtype=np.int64), "n": sizes, "known": core, "base": sums, "score": score, "copies": np.ones(len(texts), dtype=np.int64)})
+            asked: list[tuple[np.ndarray, np.ndarray]] = []
+            if local:
+                score = np.bincount(of, own[ids], minlength=len(texts))
+                for at, gram, _, _ in grams_of(hashed(ids, words, local["names"]), sizes, m["order"]):
+                    if len(local["hot"]):
+                        k = np.minimum(np.searchsorted(local["hot"], gram), len(local["hot"]) - 1)
+                        hit = local["hot"][k] == gram
+                        score += np.bincount(of[at[hit]], local["hot_value"][k[hit]], minlength=len(texts))
+                        at, gram = at[~hit], gram[~hit]
+                    asked.append((of[at], gram))
+            else:
+                score = automaton.score(ids, sizes)
+            tag = (TaskContext.get().partitionId() << 40) + (nth << 16)
+            nth += 1
+            # The rows of the texts themselves: their token is no word (it is a space), so the join finds nothing; hashes spread them.
+            spread = np.array([xxhash.xxh64_intdigest(t) for t in texts], dtype=np.uint64).view(np.int64)
+            yield as_batch({"tag": np.full(len(texts), tag), "gram": spread, "token": pa.array([b" "] * len(texts), pa.binary()), "at": places(np.arange(len(texts)), np.arange(len(texts) + 1)), "doc_id": b.column(0), "n": sizes, "known": core, "base": sums, "score": score})
+
+            def rows(gram: np.ndarray, token: pa.Array, at: pa.Array) -> pa.RecordBatch:
+                none, zero = np.zeros(len(gram), dtype=np.int64), np.zeros(len(gram))
+                return as_batch({"tag": np.full(len(gram), tag), "gram": gram, "token": token, "at": at, "doc_id": pa.nulls(len(gram), pa.int64()), "n": none, "known": none, "base": zero, "score": zero})
+
             rest = np.flatnonzero(ids < 0)
-            if not len(rest):
-                continue
-            begin = np.cumsum(sizes) - sizes
-            others = Counter(zip(of[rest].tolist(), (words[d][i] for d, i in zip(of[rest].tolist(), (rest - begin[of[rest]]).tolist(), strict=True)), strict=True))
-            at = np.fromiter((d for d, _ in others), dtype=np.int64, count=len(others))
-            none, zero = np.zeros(len(others), dtype=np.int64), np.zeros(len(others))
-            yield as_batch({"doc_id": doc.take(pa.array(at)), "key": keys[at], "token": pa.array([w for _, w in others], pa.binary()), "tf": np.fromiter(others.values(), dtype=np.int64, count=len(others)), "n": none, "known": none, "base": zero, "score": zero, "copies": none})
+            if len(rest):
+                flat = [w for ws in words for w in ws]
+                codes: dict[bytes, int] = {}
+                which = np.fromiter((codes.setdefault(flat[i], len(codes)) for i in rest.tolist()), dtype=np.int64, count=len(rest))
+                by = np.argsort(which, kind="stable")
+                yield rows(hash_words(list(codes)), pa.array(list(codes), pa.binary()), places(of[rest[by]], np.searchsorted(which[by], np.arange(len(codes) + 1))))
+            for at, gram in asked:
+                by = np.argsort(gram, kind="stable")
+                at, gram = at[by], gram[by]
+                new = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+                yield rows(gram[new], pa.nulls(len(new), pa.binary()), places(at, np.append(new, len(at))))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.mapInArrow(work, "doc_id long, key long, token binary, tf long, n long, known long, base double, score double, copies long")
-    joined = rows.join(counts.where(F.col("c") < model["core"]), "token", "left")
-    seen = F.col("c").isNotNull()
-    base = F.col("tf") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - log_all)
-    own = F.col("tf") * F.when(seen, F.log10((F.col("c") - d1) / max(1, total))).otherwise(model["automaton"].unseen)
-    sums = joined.groupBy("doc_id", "key").agg(
-        F.sum("copies").alias("copies"), F.sum("n").alias("n"), F.sum(F.col("known") + F.when(seen, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("base") + base).alias("base"), F.sum(F.col("score") + own).alias("score")
-    )
-    each = lambda c: F.col(c) / F.col("copies")
-    out = sums.select("doc_id", each("n").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), each("base").alias("base_score"), each("score").alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return out.drop("copy")
+    rows = rows.mapInArrow(work, "tag long, gram long, token binary, at binary, doc_id long, n long, known long, base double, score double")
+    told = counts.where(F.col("c") < model["core"]).select("gram", F.col("token").alias("word"), "c", "value")
+    if "table" in model:
+        cold = model["table"].where(F.col("c") < max(LEAST, COMMON * total)) if COMMON * total >= LEAST else model["table"]
+        told = told.union(cold.select("gram", F.lit(None).cast("binary"), F.lit(None).cast("long"), "value"))
+    joined = rows.join(told, (rows["gram"] == told["gram"]) & F.col("token").eqNullSafe(F.col("word")), "left")
+    joined = joined.where(F.col("token").isNotNull() | F.col("value").isNotNull())
+    seen, asks = F.col("c").isNotNull(), F.col("token").isNotNull() & (F.col("n") == 0)
+    known = F.col("known") + F.when(seen, 1).otherwise(0)
+    base = F.col("base") + F.when(asks, F.log10(F.coalesce("c", F.lit(0)) + 0.1) - log_all).otherwise(0.0)
+    own = F.when(seen, F.log10((F.col("c") - d1) / max(1, total))).when(asks, model["unseen"]).otherwise(0.0)
+    each = joined.select("tag", "at", "doc_id", "n", known.alias("known"), base.alias("base"), (F.col("score") + own + F.coalesce("value", F.lit(0.0))).alias("score"))
+    sums = each.mapInArrow(add_places, "row long, doc_id long, n long, known long, base double, score double").groupBy("row")
+    sums = sums.agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    return sums.select("doc_id", "n_tokens", "n_known", "base_score", "score")
+
+
+def places(at: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """at[cuts[i]:cuts[i + 1]] as two bytes each; a batch has fewer rows than 65,536."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((2 * cuts).astype(np.int32).tobytes()), pa.py_buffer(at.astype(np.uint16).tobytes())])
+
+
+def add_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over the rows that `at` names, of HELD_ASKED places at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def add_up() -> pa.RecordBatch:
+        row, doc, has, n, known, base, score = (np.concatenate(x) for x in zip(*held, strict=True))
+        own, of = np.unique(row, return_inverse=True)
+        ids, there = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=bool)
+        ids[of[has]], there[of[has]] = doc[has], True
+        total = [np.bincount(of, x, minlength=len(own)) for x in (n, known, base, score)]
+        return as_batch({"row": own, "doc_id": pa.array(ids, mask=~there), "n": total[0].astype(np.int64), "known": total[1].astype(np.int64), "base": total[2], "score": total[3]})
+
+    for b in batches:
+        at = b.column(1).cast(pa.binary())
+        said = [np.frombuffer(x, dtype=np.uint16) for x in at.to_pylist()]
+        if not said:
+            continue
+        k = np.array([len(x) for x in said])
+        doc = b.column(2)
+        cols = [doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_valid().to_numpy(zero_copy_only=False), *(b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6))]
+        held.append((np.repeat(b.column(0).to_numpy(), k) + np.concatenate(said), *(np.repeat(c, k) for c in cols)))
+        size += int(k.sum())
+        if size > HELD_ASKED:
+            yield add_up()
+            held, size = [], 0
+    if held:
+        yield add_up()
 
 
 def held_out() -> Column:
