@@ -3,9 +3,10 @@
 Filter directions form a structured random product code: after a random rotation the space is cut into two halves, each
 with its own random unit codewords, and every pair of codewords is a direction. A vector is list-decoded to all
 directions within the cap: the halves' inner products are pruned against the threshold, so the full list of directions is
-never walked for it. Vectors that share a filter (and label and dimension) are compared exactly. The cap is set so that a
-vector meets TARGET filters on average; one with fewer takes its FLOOR best. The number of directions grows with the
-number of vectors, so the expected size of a bucket does not.
+never walked for it. Vectors that share a filter (and label and dimension) are compared exactly. The number of directions
+grows with the number of vectors, so a bucket grows only with the filters of a vector. The cap is set so that a vector meets as many
+filters on average as two vectors at the least cosine need to share one with a chance of RECALL at that number of
+directions, TARGET at least; one with fewer takes its best ones. Where no cap does (in few dimensions), all pairs are compared.
 
 Copies collapse to one class first. A bucket over BLOCK vectors is dealt in blocks, all pairs of blocks. A pair found in
 several filters counts in the smallest they share. Tasks return one row for each vector of a block: the sum of its links
@@ -14,6 +15,7 @@ there and one link to the smallest vector of its set, so rows never grow with th
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from statistics import NormalDist
@@ -29,6 +31,9 @@ from trendspark.session import materialize
 
 COSINE = 0.93
 TARGET, FLOOR = 16, 10
+#: The chance that a pair at the least cosine is found; it is tried on TRIALS random pairs, of which MISSES at most may be
+#: missed: were the chance below RECALL, so few would be missed in 1 of 20 trials at most.
+RECALL, TRIALS, MISSES = 0.999, 8000, 3
 #: Vectors for each filter direction, and the least number of codewords of a half.
 PER_FILTER, LEAST_WORDS = 12, 16
 BLOCK = 512
@@ -62,6 +67,40 @@ def decode(x: np.ndarray, words: int, target: float = TARGET, floor: int = FLOOR
     return row[hit], w1[hit] * words + w2
 
 
+def found(dim: int, words: int, target: float, least: float, trials: int = TRIALS, misses: int | None = None) -> tuple[int, int]:
+    """(pairs that share a filter, pairs tried) of random unit vectors at cosine `least`; ends early beyond `misses` missed."""
+    rng = np.random.default_rng([23, dim, words])
+    hits, tried, step = 0, 0, max(1, min(500, (1 << 20) // words))
+    while tried < trials and (misses is None or tried - hits <= misses):
+        n = min(step, trials - tried)
+        a, b = rng.standard_normal((2, n, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+        keys = [row * words**2 + f for row, f in (decode(x, words, target, floor_of(target)) for x in (a, least * a + math.sqrt(1 - least**2) * b))]
+        hits += len(np.unique(np.intersect1d(*keys, assume_unique=True) // words**2))
+        tried += n
+    return hits, tried
+
+
+def floor_of(target: float) -> int:
+    return math.ceil(target * FLOOR / TARGET)
+
+
+@functools.cache
+def filters_needed(dim: int, words: int, least: float) -> int | None:
+    """Filters of a vector on average so that a pair at cosine `least` is found with a chance of RECALL; None if all pairs must meet."""
+    if dim < 4 or least >= 1 or least <= -1:
+        return None  # a half of one dimension has two directions only
+    target = TARGET
+    while target < words**2 / 2:
+        hits, tried = found(dim, words, target, least, misses=MISSES)
+        if tried - hits <= MISSES:
+            return target
+        target = math.ceil(target * 1.2)
+    return None
+
+
 def compare(va, wa, fa, vb, wb, fb, here: int, least: float, own: bool):  # noqa: ANN001, ANN201
     """Sums of the weights linked to each row of va and of vb at filter `here`, and the linked pairs (all of them).
 
@@ -110,6 +149,20 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = materialize(classes, "vectors")
     total = classes.count()
     words = _words(total)
+    targets = {r["dim"]: filters_needed(r["dim"], words, least) for r in classes.select(F.size("embedding").alias("dim")).distinct().collect()}
+
+    def meet(label, n, cls, flat, offsets, at, dim, target) -> pa.RecordBatch:  # noqa: ANN001
+        x = flat[offsets[at][:, None] + np.arange(dim)]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        row, held_in = decode(x, words, target, floor_of(target)) if target else (np.arange(len(x)), np.zeros(len(x), dtype=np.int64))
+        k = np.bincount(row, minlength=len(at))
+        held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]).astype(np.int32)), pa.array(held_in.astype(np.int32)))
+        vec = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), dim).cast(pa.list_(pa.float64()))
+        take = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(label[at][row]), pa.array(np.full(len(row), dim, dtype=np.int32)), pa.array(held_in.astype(np.int32)), pa.array(cls[at][row]), pa.array(n[at][row]), vec.take(take), held.take(take)],
+            names=["label", "dim", "filter", "cls", "n", "vec", "filters"],
+        )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,18 +172,10 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
             sizes = np.diff(offsets)
             for dim in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == dim)
-                x = flat[offsets[at][:, None] + np.arange(dim)]
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                row, found = decode(x, words)
-                k = np.bincount(row, minlength=len(at))
-                held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]).astype(np.int32)), pa.array(found.astype(np.int32)))
-                vec = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), dim).cast(pa.list_(pa.float64()))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(label[at][row]), pa.array(np.full(len(row), dim, dtype=np.int32)), pa.array(found.astype(np.int32)), pa.array(cls[at][row]), pa.array(n[at][row]), vec.take(take), held.take(take)],
-                    names=["label", "dim", "filter", "cls", "n", "vec", "filters"],
-                )
+                target = targets[dim]
+                every, step = np.flatnonzero(sizes == dim), max(1, 2000 * TARGET // (target or TARGET))
+                for k in range(0, len(every), step):
+                    yield meet(label, n, cls, flat, offsets, every[k : k + step], dim, target)
 
     dealt = classes.select("cls", "label", "n", "embedding").mapInArrow(deal, "label long, dim int, filter int, cls long, n long, vec array<double>, filters array<int>")
     sizes = materialize(dealt.groupBy("label", "dim", "filter").count().where(f"count > {BLOCK}").select("label", "dim", "filter", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "vector-buckets")
