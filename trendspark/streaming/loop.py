@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from trendspark.session import scratch_path
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 100) -> DataFrame:
-    """The events table as a stream of its files."""
+def event_stream(spark: SparkSession, sf_dir: str, files_a_batch: int | None = 100) -> DataFrame:
+    """The events table as a stream of its files; None: all there are in one batch."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A pattern, since the table may be a folder or one file, and a stream takes a plain path for a folder.
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{sf_dir}/events.parque[t]")
+    reader = spark.readStream.schema(schema)
+    if files_a_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    return reader.parquet(f"{sf_dir}/events.parque[t]")
 
 
 def hourly_counts(events: DataFrame, late: str = "0 seconds") -> DataFrame:
@@ -32,8 +35,11 @@ def append_history(counts: DataFrame, path: str, checkpoint: str, every: str | N
 
 
 def closed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the stream over all events leaves in the history: the hours that ended by its last event."""
+    """What the stream over all events leaves in the history: the hours that ended by its last event.
+
+    A table's files are in no order of time, so they are one batch: of several, later ones would count as late.
+    """
     path = scratch_path(spark, "history")
-    counts = hourly_counts(event_stream(spark, sf_dir))
+    counts = hourly_counts(event_stream(spark, sf_dir, None))
     append_history(counts, path, scratch_path(spark, "history-checkpoint")).awaitTermination()
     return spark.read.schema(counts.schema).parquet(path)
