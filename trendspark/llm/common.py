@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: long texts must not fill a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: Bytes of texts, and texts, that array operations take at once.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 256
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -31,6 +33,31 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(texts: list[bytes], most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[list[bytes]]:
+    """The texts in order, in lists of at most `rows` texts and `most` bytes or of one text; at least one list, if only an empty one."""
+    some: list[bytes] = []
+    size = 0
+    for t in texts:
+        if some and (size + len(t) > most or len(some) >= rows):
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    yield some
+
+
 def as_batch(arrays: dict[str, pa.Array | np.ndarray | list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays.values()], names=list(arrays))
 

@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendspark.llm.common import as_batch, bounded_batches, crc_bucket
+from trendspark.llm.common import as_batch, bounded_batches, crc_bucket, free_names
 
-#: The classifier is fitted on at most so many letters of each language, of at most so many languages and rows.
-SAMPLE_LETTERS = 24_000
-MAX_LANGUAGES = 64
-SAMPLE_ROWS = 400
+#: The classifier is fitted on at most so many letters of each language, from about so many of its rows. Every language
+#: with labelled text is learned: beyond TOTAL_LETTERS / SAMPLE_LETTERS of them each has an equal part of TOTAL_LETTERS,
+#: LEAST_LETTERS at least, so that the automata (some 700 bytes a letter) stay bounded.
+SAMPLE_LETTERS, SAMPLE_ROWS = 24_000, 400
+TOTAL_LETTERS, LEAST_LETTERS = 192_000, 500
 BLOCK = 1024
 #: The commonest letters of the samples have a code each; all others share OTHER codes by hash. Code 0 is the space.
 COMMON, OTHER = 104, 23
@@ -129,28 +130,34 @@ def phrases(to: np.ndarray, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarr
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", letters_each: int = SAMPLE_LETTERS) -> tuple[list[str], list[np.ndarray], Codes]:
     """Languages, their automata and the letter codes, learned from the rows with a text and a label.
 
-    The sample of a language: its rows in the order of a hash of the id, as many as give `letters_each` letters; rows are
-    drawn by a hash threshold that expects SAMPLE_ROWS of each, and at most MAX_LANGUAGES, the commonest, are learned.
+    The sample of a language: its rows in the order of a hash of the id, as many as give `letters_each` letters (fewer
+    each if the languages are many, see TOTAL_LETTERS); rows are drawn by a hash threshold that expects SAMPLE_ROWS of each.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("h"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    wanted = F.lit(False)
-    for r in sizes:
-        rate = min(1.0, SAMPLE_ROWS / r["count"])
-        wanted |= (F.col("lang") == r["lang"]) & (F.pmod("h", F.lit(1 << 40)) <= int(rate * (1 << 40)))
+    spark, span = docs.sparkSession, 1 << 40
+    bounded_batches(spark)
+    lang, h = F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("h")
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(lang, h, F.col(text_col).cast("string").alias("text"))
+    sizes = rows.groupBy("lang").count().collect()  # a row for each language
+    each = min(letters_each, max(LEAST_LETTERS, TOTAL_LETTERS // max(1, len(sizes))))
+    limits = [(r["lang"], int(min(1.0, SAMPLE_ROWS / r["count"]) * span)) for r in sizes]
+    chosen = rows.join(F.broadcast(spark.createDataFrame(limits, "lang string, most long")), "lang").where(F.pmod("h", F.lit(span)) <= F.col("most"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield as_batch({"lang": b.column(0), "h": b.column(1), "x": pa.array([letters(t)[:each].tobytes() for t in b.column(2).to_pylist()], pa.binary())})
+
     got: dict[str, list] = {r["lang"]: [] for r in sizes}
-    # Whole texts stream by; at most MAX_LANGUAGES times SAMPLE_ROWS or so samples of letters_each letters are held.
-    for r in rows.where(wanted).select("lang", "h", "text").toLocalIterator():
-        got[r["lang"]].append((r["h"], letters(r["text"])[:letters_each]))
+    for r in chosen.select("lang", "h", "text").mapInArrow(cut, "lang string, h long, x binary").toLocalIterator():
+        got[r["lang"]].append((r["h"], np.frombuffer(bytes(r["x"]), dtype=np.uint32)))
     samples = {}
     for lang in sorted(got):
         parts, n = [], 0
         for _, x in sorted(got[lang], key=lambda hx: (hx[0], hx[1].tobytes())):
             parts.append(np.append(x, np.uint32(0)))
             n += len(x)
-            if n >= letters_each:
+            if n >= each:
                 break
-        joined = np.concatenate(parts)[:letters_each] if parts else np.zeros(0, dtype=np.uint32)
+        joined = np.concatenate(parts)[:each] if parts else np.zeros(0, dtype=np.uint32)
         if (joined != 0).any():
             samples[lang] = joined
     everything = np.concatenate(list(samples.values())) if samples else np.zeros(0, dtype=np.uint32)
@@ -195,8 +202,20 @@ def _predict(texts: list[str | None], languages: list[str], automata: list[np.nd
     return [languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], score, np.where(some, low, 0.0)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], list[np.ndarray], Codes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs and the columns lang_pred, lang_score and lang_bits (cost in bits a letter); one row for each row.
+#: A text of at least FOREIGN_LETTERS characters that costs over FOREIGN_BITS a letter in every language is in none of them:
+#: random letters cost 6 and more, texts of a learned language 2 to 4.
+FOREIGN_BITS, FOREIGN_LETTERS = 5.0, 200
+ADDED = ("lang_pred", "lang_score", "lang_bits")
+
+
+def identify(
+    docs: DataFrame,
+    model: tuple[list[str], list[np.ndarray], Codes],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    names: tuple[str, str, str] = ADDED,
+) -> DataFrame:
+    """docs and the columns lang_pred, lang_score and lang_bits (cost in bits a letter), or `names`; one row for each row.
 
     lang_pred is `und` with the score 0 where the text is null, has no letter or nothing was learned. The score is
     1 - best / (2 * second best), so 1/2 where two languages tie (the first name wins) and 1 if only one was learned.
@@ -205,8 +224,8 @@ def identify(docs: DataFrame, model: tuple[list[str], list[np.ndarray], Codes],
     spark = docs.sparkSession
     bounded_batches(spark)
     languages, automata, codes = model
-    shared = spark.sparkContext.broadcast((languages, automata, codes))  # bounded by SAMPLE_LETTERS and MAX_LANGUAGES
-    kept = docs.drop("lang_pred", "lang_score", "lang_bits")
+    shared = spark.sparkContext.broadcast((languages, automata, codes))  # bounded by TOTAL_LETTERS
+    kept = docs.drop(*names)
     at = kept.columns.index(text_col)
     tables: dict[int, np.ndarray] = {}
 
@@ -215,11 +234,24 @@ def identify(docs: DataFrame, model: tuple[list[str], list[np.ndarray], Codes],
         if not tables:
             tables[0] = codes.table()
         for b in batches:
-            pred, score, bits = _predict(b.column(at).to_pylist(), languages, automata, tables[0])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred), pa.array(score), pa.array(bits)], names=[*b.schema.names, "lang_pred", "lang_score", "lang_bits"])
+            found = _predict(b.column(at).to_pylist(), languages, automata, tables[0])
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, found)], names=[*b.schema.names, *names])
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_bits", T.DoubleType())]
-    return kept.mapInArrow(work, T.StructType([*kept.schema.fields, *added]))
+    types = (T.StringType(), T.DoubleType(), T.DoubleType())
+    return kept.mapInArrow(work, T.StructType([*kept.schema.fields, *(T.StructField(k, t) for k, t in zip(names, types, strict=True))]))
+
+
+def accepted(docs: DataFrame, model: tuple[list[str], list[np.ndarray], Codes], languages: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs in one of the languages (None: any that was learned); columns as they are, whatever their names.
+
+    Rejected: null texts, texts without a letter, and long ones that every language finds as costly as noise.
+    """
+    names = tuple(free_names(docs, *ADDED))
+    found = identify(docs, model, text_col=text_col, names=names)
+    pred, _, bits = (F.col(k) for k in names)
+    foreign = (bits > FOREIGN_BITS) & (F.length(text_col) >= FOREIGN_LETTERS)
+    keep = pred.isin(languages) if languages is not None else pred != UNKNOWN
+    return found.where(keep & ~foreign).select(*docs.columns)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

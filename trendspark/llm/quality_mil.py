@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import as_batch, bounded_batches, crc_bucket, text_bytes
+from trendspark.llm.common import as_batch, bounded_batches, crc_bucket, slices, text_bytes
 from trendspark.llm.textstats import CLASSES, words_of
 
 PASSAGE, BUCKETS, FINE = 128, 128, 512
-#: The model is fitted on at most so many labelled rows, a hash of whose ids is lowest.
-SAMPLE_DOCS = 3000
+#: The model is fitted on at most so many labelled rows, a hash of whose ids is lowest, and on so many passages of each,
+#: evenly spaced over its text; every passage of every text is scored.
+SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 512
 HIDDEN, GATES, STEPS, BAG_BATCH, RATE = 24, 12, 400, 256, 0.01
 THRESHOLD = 0.3
 WIDTH = BUCKETS + CLASSES + 5
@@ -38,8 +39,11 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((p, WIDTH), dtype=np.float32)
     bag = np.bincount(of * BUCKETS + (w.hash >> np.uint64(57)).astype(np.int64), minlength=p * BUCKETS).reshape(p, BUCKETS)
     out[:, :BUCKETS] = np.sqrt(bag * per[:, None])
-    byte_of = of[w.bytes_word] if len(of) else np.zeros(0, dtype=np.int64)
-    kinds = np.bincount(byte_of * CLASSES + w.bytes_class, minlength=p * CLASSES).reshape(p, CLASSES)
+    kinds = np.zeros((p, CLASSES), dtype=np.int64)
+    if len(of):  # a passage's bytes are contiguous
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        for k in range(1, CLASSES):
+            kinds[of[first], k] = np.add.reduceat((w.bytes_class == k).view(np.uint8), w.bytes_start[first], dtype=np.int64)
     length = kinds.sum(axis=1)
     out[:, BUCKETS : BUCKETS + CLASSES] = kinds / np.maximum(1, length)[:, None]
     fine = np.bincount(of * FINE + (w.hash >> np.uint64(48)).astype(np.int64) % FINE, minlength=p * FINE).reshape(p, FINE)
@@ -113,9 +117,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, n = passages(text_bytes(b.column(0)))
-            cut = np.split(x.reshape(-1), np.cumsum(n)[:-1] * WIDTH)
-            yield as_batch({"y": b.column(1), "h": b.column(2), "x": pa.array([c.tobytes() for c in cut], pa.binary())})
+            bags: list[bytes] = []
+            for some in slices(text_bytes(b.column(0))):
+                x, n = passages(some)
+                for c in np.split(x, np.cumsum(n)[:-1])[: len(some)]:
+                    at = np.unique(np.linspace(0, len(c) - 1, min(len(c), SAMPLE_PASSAGES)).astype(np.int64))
+                    bags.append(c[at].tobytes())
+            yield as_batch({"y": b.column(1), "h": b.column(2), "x": pa.array(bags, pa.binary())})
 
     got = sorted(((r["h"], bytes(r["x"]), r["y"]) for r in rows.mapInArrow(work, "y int, h long, x binary").toLocalIterator()))[:sample]
     if not got:
@@ -136,7 +144,7 @@ def score_quality(docs: DataFrame, model: AttentionMIL | None, id_col: str = "do
         for b in batches:
             score = np.full(b.num_rows, 0.5)
             if shared.value is not None and b.num_rows:
-                score = shared.value.forward(*passages(text_bytes(b.column(1))))[0]
+                score = np.concatenate([shared.value.forward(*passages(some))[0] for some in slices(text_bytes(b.column(1)))])
             yield as_batch({"doc_id": b.column(0), "score": score})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id long, score double")

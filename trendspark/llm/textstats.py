@@ -16,6 +16,9 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]  # case doesn't count in hashes
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
+#: Bytes of words that are hashed at once; a longer word is hashed whole.
+PIECE = 1 << 18
+
 
 @dataclass
 class Words:
@@ -28,9 +31,9 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    #: Classes of all bytes of words, and the word of each.
+    #: Classes of all bytes of words, and where each word's bytes begin among them.
     bytes_class: np.ndarray
-    bytes_word: np.ndarray
+    bytes_start: np.ndarray
     #: Where each text starts in the joined bytes.
     offsets: np.ndarray
 
@@ -42,6 +45,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def words_of(texts: list[bytes]) -> Words:
+    """Some ten bytes are held for each byte of the texts; hashes are taken for about PIECE bytes at a time."""
     x = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
     kind = _CLASS[x]
@@ -50,10 +54,25 @@ def words_of(texts: list[bytes]) -> Words:
     start, end = edge[::2], edge[1::2]
     size = end - start
     head = np.cumsum(size) - size
-    y = x[word]
-    of = np.repeat(np.arange(len(start)), size)
-    place = np.arange(len(y)) - head[of]
-    h = np.add.reduceat(_BYTE[y] * _PLACE[place & 63], head) if len(y) else np.zeros(0, dtype=np.uint64)
+    y, kinds = x[word], kind[word]
+    sums = np.zeros(len(start), dtype=np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(head, head[lo] + PIECE)))
+        a, z = int(head[lo]), int(head[hi - 1] + size[hi - 1])
+        place = np.arange(a, z, dtype=np.int64) - np.repeat(head[lo:hi], size[lo:hi])
+        sums[lo:hi] = np.add.reduceat(_BYTE[y[a:z]] * _PLACE[place & 63], head[lo:hi] - a)
+        lo = hi
     text = np.searchsorted(offsets, start, side="right") - 1
-    kinds = kind[word]
-    return Words(np.bincount(text, minlength=len(texts)), mix(h + size.astype(np.uint64)), text, start, end, kinds[head] if len(head) else kinds, kinds[head + size - 1] if len(head) else kinds, kinds, of, offsets)
+    return Words(
+        n=np.bincount(text, minlength=len(texts)),
+        hash=mix(sums + size.astype(np.uint64)),
+        text=text,
+        start=start,
+        end=end,
+        first=kinds[head] if len(head) else kinds,
+        last=kinds[head + size - 1] if len(head) else kinds,
+        bytes_class=kinds,
+        bytes_start=head,
+        offsets=offsets,
+    )

@@ -25,30 +25,39 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendspark.llm.common import as_batch, bounded_batches, runs
-from trendspark.session import scratch_path
+from trendspark.session import materialize, scratch_path
 
 MAGIC = b"EFTOK\x01\x00\x00"
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Documents of a range of ids, and ids of a shard, at most (one document may be longer).
 RANGE_DOCS, SHARD_IDS = 8192, 8 << 20
-CACHED_WORDS = 500_000
+#: Words an encoder remembers, and their characters: some 25 MB of a worker with what they stand in.
+CACHED_WORDS, CACHED_BYTES = 120_000, 6 << 20
 BETWEEN = "\x01"
-SAMPLE = 256
+#: Bits of the high part for each number of the select directory, and documents whose offsets are selected at once.
+BLOCK, SELECT_DOCS = 512, 4096
+#: Ranges of ids at most, so that cuts and totals of ranges stay bounded; a larger table has larger ranges.
+MAX_RANGES = 20_000
 
 
 class EliasFano:
-    """A non-decreasing sequence of integers from 0 below 2**63; get(i) selects one value, all() decodes all."""
+    """A non-decreasing sequence of integers from 0 below 2**63: get(i) selects one value, some(a, b) selects a stretch.
+
+    Select looks up the number of ones before each block of BLOCK bits of the high part (a 32-bit number for each block), so
+    only the blocks that hold the wanted ones are unpacked.
+    """
 
     def __init__(self, n: int, low: np.ndarray, high: np.ndarray) -> None:
         self.n, self.low, self.high = n, low[1:], high
         self.bits = int(low[0]) if n else 0
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))
-        self.places = ones[::SAMPLE].astype(np.uint32)
+        step = BLOCK // 8
+        whole = np.pad(np.bitwise_count(high), (0, -len(high) % step)).reshape(-1, step)
+        self.before = np.concatenate([[0], np.cumsum(whole.sum(axis=1, dtype=np.int64))]).astype(np.uint32)
 
     @staticmethod
     def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +68,10 @@ class EliasFano:
         width = max(0, (int(v[-1]) // n).bit_length() - 1)
         low = np.zeros(0, dtype=np.uint8)
         if width:
-            low = np.concatenate([np.packbits(((v[a : a + 65_536, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little") for a in range(0, n, 65_536)])
+            places = np.arange(width, dtype=np.uint64)
+            pieces = [((v[a : a + 65_536, None] >> places) & np.uint64(1)).astype(np.uint8) for a in range(0, n, 65_536)]
             # Each value's bits are contiguous; 65,536 values of any width end on a byte.
+            low = np.concatenate([np.packbits(p.reshape(-1), bitorder="little") for p in pieces])
         low = np.concatenate([np.array([width], dtype=np.uint8), low])
         high = np.zeros((int(v[-1]) >> width) + n, dtype=np.uint8)
         high[(v >> np.uint64(width)).astype(np.int64) + np.arange(n)] = 1
@@ -74,22 +85,18 @@ class EliasFano:
         raw = np.unpackbits(self.low[first : -(-b * w // 8)], bitorder="little")[a * w - first * 8 :][: (b - a) * w]
         return (raw.reshape(-1, w).astype(np.uint64) << np.arange(w, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
+    def some(self, a: int, b: int) -> np.ndarray:
+        """The values from the a-th to before the b-th."""
+        if a >= b:
+            return np.zeros(0, dtype=np.int64)
+        first, last = np.searchsorted(self.before, [a, b - 1], side="right") - 1
+        ones = np.flatnonzero(np.unpackbits(self.high[first * BLOCK // 8 : (last + 1) * BLOCK // 8], bitorder="little"))
+        skip = a - int(self.before[first])
+        place = ones[skip : skip + b - a] + int(first) * BLOCK
+        return (((place - np.arange(a, b)).astype(np.uint64) << np.uint64(self.bits)) | self._low(a, b)).astype(np.int64)
+
     def get(self, i: int) -> int:
-        start = int(self.places[i // SAMPLE])
-        seen, at = i % SAMPLE, start // 8
-        bits = np.unpackbits(self.high[at : at + 64], bitorder="little")
-        bits[: start - at * 8] = 0
-        while (k := int(bits.sum())) <= seen:
-            seen -= k
-            at += len(bits) // 8
-            bits = np.unpackbits(self.high[at : at + 64], bitorder="little")
-        place = at * 8 + int(np.flatnonzero(bits)[seen])
-        return ((place - i) << self.bits) | int(self._low(i, i + 1)[0])
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.bits)
-        return (high | np.concatenate([np.zeros(0, np.uint64), *(self._low(a, min(self.n, a + 65_536)) for a in range(0, self.n, 65_536))])).astype(np.int64)
+        return int(self.some(i, i + 1)[0])
 
 
 def shard_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -111,17 +118,23 @@ class Shard:
             raise ValueError("not a token shard")
         head = np.frombuffer(data, "<u8", 10, 8)
         self.n_docs, self.n_null, self.n_ids, width = map(int, head[:4])
-        least, at, parts = int(head[4:5].view("<i8")[0]), 88, []
+        self.least, at, parts = int(head[4:5].view("<i8")[0]), 88, []
         for k in head[5:].tolist():
             parts.append(np.frombuffer(data, np.uint8, k, at))
             at += k
         self.flat = parts[0].view(f"<u{width}")
         self.offsets = EliasFano(self.n_docs + 1, parts[1], parts[2])
-        known = self.n_docs - self.n_null
-        self.doc_ids = [None] * self.n_null + ((EliasFano(known, parts[3], parts[4]).all() + least).tolist() if known else [])
+        self.known = EliasFano(self.n_docs - self.n_null, parts[3], parts[4])
 
     def ids(self, i: int) -> np.ndarray:
-        return self.flat[self.offsets.get(i) : self.offsets.get(i + 1)]
+        a, z = self.offsets.some(i, i + 2).tolist()
+        return self.flat[a:z]
+
+    def doc_ids(self, a: int, b: int) -> pa.Array:
+        """The ids of the documents from the a-th to before the b-th, nulls first."""
+        nulls = max(0, min(b, self.n_null) - a)
+        known = self.known.some(max(0, a - self.n_null), max(0, b - self.n_null)) + self.least
+        return pa.array(np.concatenate([np.zeros(nulls, dtype=np.int64), known]), mask=np.arange(b - a) < nulls)
 
 
 class Encoder:
@@ -138,6 +151,7 @@ class Encoder:
         self.tokenizer, self.whole = Tokenizer.from_file(path), whole
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.held = 0  # characters of known words
         # For ASCII texts this normaliser only folds A-Z, which str.lower does sooner and for whole texts at once.
         plain = json.loads(self.tokenizer.to_str())
         folds = [n["type"] for n in (plain.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
@@ -176,11 +190,12 @@ class Encoder:
                 some = [t.lower() if t.isascii() and "<|" not in t else t for t in some]  # special tokens are told by case
             words = [t.replace("\n", " ").split(" ") for t in some]
             new = set().union(*words).difference(self.known)
-            if len(self.known) + len(new) > CACHED_WORDS:  # what came first is the commonest, by and large
-                self.known = dict(islice(self.known.items(), CACHED_WORDS // 2))
-                new = set().union(*words).difference(self.known)
             self._learn(list(new))
             out += [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+            self.held += sum(map(len, new))
+            if len(self.known) > CACHED_WORDS or self.held > CACHED_BYTES:  # what came first is the commonest, by and large
+                self.known = dict(islice(((w, x) for w, x in self.known.items() if len(w) <= 40), CACHED_WORDS // 2))
+                self.held = sum(map(len, self.known))
         return out
 
 
@@ -188,23 +203,38 @@ class Encoder:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, whole: bool = False) -> list[dict]:
-    """Writes the shards of docs to the folder; returns path, n_docs, n_ids and start (ids in earlier shards) of each, in order.
+def encoder_of(path: str, whole: bool) -> Encoder:
+    if (path, whole) not in _encoders:
+        _encoders[path, whole] = Encoder(path, whole)
+    return _encoders[path, whole]
+
+
+def write_tokens(
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str,
+    end_id: int = END_ID,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shard_ids: int = SHARD_IDS,
+    whole: bool = False,
+) -> DataFrame:
+    """Writes the shards of docs to the folder; returns (part, seq, path, n_docs, n_ids, start), start: ids in earlier shards.
 
     A null text is empty: its document has the end id alone. Null ids come first. Repeated ids are documents of their own, in the
-    order of their ids' bytes. Other columns are not written. No document, no shard. `whole`: see Encoder.
+    order of their ids' bytes. Other columns are not written. No document, no shard. `whole`: see Encoder. Ranges of ids hold
+    RANGE_DOCS documents, or more beyond MAX_RANGES of them; the list of shards is a table, and only the totals of ranges
+    pass through the driver.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = max(1, -(-rows.count() // RANGE_DOCS))
+    n = min(MAX_RANGES, max(1, -(-rows.count() // RANGE_DOCS)))
     cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or [])) if n > 1 else []
-    edges = spark.sparkContext.broadcast(np.array(cuts, dtype=np.int64))  # one for RANGE_DOCS documents
+    edges = spark.sparkContext.broadcast(np.array(cuts, dtype=np.int64))  # MAX_RANGES at most
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (tokenizer, whole) not in _encoders:
-            _encoders[tokenizer, whole] = Encoder(tokenizer, whole)
-        encoder = _encoders[tokenizer, whole]
+        encoder = encoder_of(tokenizer, whole)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for b in batches:
             doc = b.column(0)
@@ -244,14 +274,21 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             flush(last, seq, doc_ids, chunks)
         yield as_batch({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate((("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())))})
 
-    dealt = rows.mapInArrow(tokenise, "part int, doc_id long, ids binary").repartition(len(cuts) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
-    shards = sorted(dealt.mapInArrow(write, "part int, seq int, path string, n_docs long, n_ids long").collect())  # a row for each file
-    starts = np.concatenate([[0], np.cumsum([s["n_ids"] for s in shards])]).tolist()
-    return [s.asDict() | {"start": at} for s, at in zip(shards, starts, strict=False)]
+    dealt = rows.mapInArrow(tokenise, "part int, doc_id long, ids binary").repartitionById(len(cuts) + 1, F.col("part"))
+    dealt = dealt.sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
+    shards = materialize(dealt.mapInArrow(write, "part int, seq int, path string, n_docs long, n_ids long"), "shards")
+    sums = sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # MAX_RANGES at most
+    before = np.concatenate([[0], np.cumsum([k for _, k in sums], dtype=np.int64)]).tolist()
+    starts = spark.createDataFrame([(p, at) for (p, _), at in zip(sums, before, strict=False)], "part int, before long")
+    earlier = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return shards.join(F.broadcast(starts), "part").withColumn("start", F.col("before") + earlier).drop("before")
 
 
-def read_tokens(spark: SparkSession, shards: list[dict], with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; with_ids: and ids as array<int>."""
+def read_tokens(spark: SparkSession, shards: DataFrame, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; with_ids: and ids as array<int>.
+
+    Offsets and doc_ids are selected from their Elias-Fano sequences, SELECT_DOCS documents at a time.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,14 +296,18 @@ def read_tokens(spark: SparkSession, shards: list[dict], with_ids: bool = False)
                 store, name = fs.FileSystem.from_uri(path)
                 with store.open_input_stream(name) as f:
                     shard = Shard(f.read())
-                at = shard.offsets.all()
-                crc = [zlib.crc32(shard.flat[a:z].astype("<u4")) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                made = {"doc_id": pa.array(shard.doc_ids, pa.int64()), "start": start + at[:-1], "n_tokens": np.diff(at), "ids_crc32": pa.array(crc, pa.int64())}
-                yield as_batch(made | ({"ids": pa.ListArray.from_arrays(at.astype(np.int32), shard.flat.astype(np.int32))} if with_ids else {}))
+                for a in range(0, shard.n_docs, SELECT_DOCS):
+                    z = min(a + SELECT_DOCS, shard.n_docs)
+                    at = shard.offsets.some(a, z + 1)
+                    ids = shard.flat[at[0] : at[-1]].astype("<u4")
+                    cuts = (at - at[0]).tolist()
+                    crc = [zlib.crc32(ids[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+                    made = {"doc_id": shard.doc_ids(a, z), "start": start + at[:-1], "n_tokens": np.diff(at), "ids_crc32": pa.array(crc, pa.int64())}
+                    yield as_batch(made | ({"ids": pa.ListArray.from_arrays(np.array(cuts, dtype=np.int32), ids.astype(np.int32))} if with_ids else {}))
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    listed = spark.createDataFrame([(s["path"], s["start"]) for s in shards], "path string, start long")
-    return listed.repartition(max(1, len(shards))).mapInArrow(work, schema)
+    listed = shards.select("path", "start")
+    return listed.repartition(max(1, min(shards.count(), MAX_RANGES))).mapInArrow(work, schema)
 
 
 def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
