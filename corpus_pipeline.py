@@ -11,10 +11,8 @@ from trendspark.session import materialize
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents without a language: no text, or no letter in it."""
-    model = language_id.fit(language_id.training_rows(docs))
-    found = language_id.identify(docs, model)
-    return found.where(found["lang_pred"] != language_id.UNKNOWN).select(*docs.columns)
+    """Keeps the documents in a language that the labelled ones teach: not those without a letter, nor noise."""
+    return language_id.accepted(docs, language_id.fit(language_id.training_rows(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +22,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents of whose words at least a twentieth lie in a window of a benchmark item."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~decontaminate.contaminated()).select(*docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws each document with the rate that mixes the domains of `labels` to their target shares."""
+    """Draws each document with the rate, of at most one, that mixes the domains of `labels` to their target shares."""
     labels = source_mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return source_mixing.draw(docs, source_mixing.fit_domains(docs, labels), source_mixing.TARGETS)
+    return source_mixing.draw(docs, source_mixing.fit_domains(docs, labels), source_mixing.DRAW_TARGETS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
