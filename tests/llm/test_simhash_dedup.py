@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from trendspark.llm.simhash_dedup import dedup, fingerprint_links, op10_simhash_dedup, simhash_groups, top_of_trie, walk_pair
+from trendspark.llm.simhash_dedup import dedup, fingerprint_links, op10_simhash_dedup, simhash_groups, turned, walk
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,7 +59,7 @@ def test_trie_join_finds_all_pairs(spark, subtree):
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     near = [b ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64))) for b in np.repeat(base, 6)]
     fps = np.unique(np.concatenate([base, np.array(near, dtype=np.uint64), np.arange(64, dtype=np.uint64), [np.uint64(2**64 - 1)]]))
-    i, j = (np.concatenate(x) for x in zip(*walk_pair(fps, None, 2), strict=True))
+    i, j = (np.concatenate(x) for x in zip(*walk(fps, np.array([0]), np.array([len(fps)]), 0, 2), strict=True))
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 2, 1)), strict=True)}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
     links = fingerprint_links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), 2, subtree).collect()
@@ -78,6 +78,9 @@ def test_trie_join_finds_all_pairs(spark, subtree):
     assert components([(index[r["src"]], index[r["dst"]]) for r in links]) == components(want)
 
 
-def test_a_crowded_prefix_is_cut_into_blocks():
-    starts, blocks, pairs = top_of_trie(np.array([5]), np.array([100]), 10, 2)
-    assert len(starts) == 1 and blocks.tolist() == [10] and len(pairs) == 55
+def test_each_trie_turns_another_block_to_the_front():
+    fps = np.random.default_rng(5).integers(0, 2**63, 50, dtype=np.uint64)
+    for trie, depth in ((1, 21), (2, 21), (3, 21), (1 + 4 * 2, 35), (3 + 4 * 3 + 16 * 2, 44)):
+        x, bits = turned(fps, trie, 2)
+        assert bits == depth and sorted(np.bitwise_count(x)) == sorted(np.bitwise_count(fps)) and len(np.unique(x)) == 50
+    assert (turned(fps, 2, 2)[0] >> np.uint64(43) == (fps >> np.uint64(22)) & np.uint64(2**21 - 1)).all()

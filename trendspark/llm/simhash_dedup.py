@@ -1,10 +1,14 @@
-"""SimHash near-duplicates: a self-join of the binary trie of fingerprints under a Hamming budget.
+"""SimHash near-duplicates: self-joins of binary tries of fingerprints under a Hamming budget.
 
-The trie of all fingerprints is walked against itself, a pair of nodes at a time. A pair carries the bits in which
-its two prefixes differ; a pair over the budget is dropped with all below it. The top of the trie (at most TOP_BITS
-levels, whose counts are a bounded table) is walked on the driver and yields pairs of subtrees, which are dealt to
-tasks; each task walks its pair of subtrees on sorted arrays of fingerprints. A subtree that stays too large at the
-last top level is dealt in blocks, all pairs of blocks, so no task gets an unbounded group.
+A trie of fingerprints is walked against itself, a pair of nodes at a time. A pair carries the bits in which its two
+prefixes differ; a pair over the budget is dropped with all below it. One trie over all fingerprints would pair each subtree
+with every other one within the budget, which repeats a fingerprint the more often the deeper the subtrees lie. So BUDGET + 1
+tries are kept, the i-th over the fingerprints turned so that they begin with their i-th block of bits: two fingerprints
+within the budget agree in a whole block, so some trie has both below one node at the depth of a block, and its walk starts
+from such nodes, each with itself. A fingerprint is dealt once for each trie, at any size of the table.
+
+A node with more than SUBTREE fingerprints below it is cut by the same argument over the bits that are left, and again, until
+few enough bits are left (LEFT_BITS) that no node can hold more than 2 ** LEFT_BITS distinct fingerprints.
 
 Copies collapse to one fingerprint before the join. A task returns at most one link per fingerprint it read (stars of
 the sets it found), so links never grow with the square of a group.
@@ -20,17 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import as_batch, bounded_batches, in_groups, link, runs, shuffle_partitions, text_bytes
+from trendspark.llm.common import as_batch, bounded_batches, in_groups, link, shuffle_partitions, text_bytes
 from trendspark.operators.graph import connected_components
 from trendspark.session import materialize
 
 BUDGET = 2
 SHINGLE = 3
 SEED = 42
-TOP_BITS = 16
-#: Fingerprints of a subtree that one task may hold, and the subtrees that even a small trie is cut into, so that each
-#: fingerprint meets as many subtrees on a small input as on one of SPREAD * SUBTREE fingerprints.
-SUBTREE, SPREAD = 65_536, 32
+#: Fingerprints below a node that is not cut further, and bits under which no node needs to be.
+SUBTREE, LEFT_BITS = 65_536, 18
+#: Fingerprints that a task walks at once (whole nodes), and nodes to cut that are broadcast at most.
+WALKED, BROADCAST_NODES = 1 << 20, 100_000
 #: A pair of nodes with so few pairs of fingerprints is compared at once.
 FEW = 64
 #: Pairs of fingerprints compared in one step.
@@ -65,74 +69,50 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
 
 
-def top_of_trie(prefix: np.ndarray, count: np.ndarray, most: int, budget: int, bits: int = TOP_BITS) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
-    """First prefixes and numbers of blocks of the subtrees, and the pairs (a, block of a, b, block of b) to compare.
+def turned(fp: np.ndarray, trie: int, budget: int) -> tuple[np.ndarray, int]:
+    """The fingerprints with the blocks that lead in their trie first, and the bits of these blocks.
 
-    prefix, count: the fingerprints under each prefix of `bits` bits, ascending. At most 2**bits rows.
+    trie: a number whose digits to the base budget + 2, from the last, are 1 + the block that leads at each cut.
     """
-    sums = np.concatenate([[0], np.cumsum(count)])
-    below = lambda lo, hi: int(sums[np.searchsorted(prefix, hi)] - sums[np.searchsorted(prefix, lo)])
-    leaf: dict[tuple[int, int], int] = {}
-    size: dict[tuple[int, int], int] = {}
-
-    def cut(depth: int, p: int) -> None:
-        lo, hi = p << (bits - depth), (p + 1) << (bits - depth)
-        size[depth, p] = n = below(lo, hi)
-        if n and (n <= most or depth == bits):
-            leaf[depth, p] = len(leaf)
-        elif n:
-            cut(depth + 1, 2 * p)
-            cut(depth + 1, 2 * p + 1)
-
-    cut(0, 0)
-    pairs: list[tuple[int, int, int, int]] = []
-    stack = [((0, 0), (0, 0))]
-    blocks = {k: -(-size[k] // most) for k in leaf}
-    while stack:
-        x, y = stack.pop()
-        (dx, px), (dy, py) = x, y
-        shared = min(dx, dy)
-        if not size.get(x) or not size.get(y) or ((px >> (dx - shared)) ^ (py >> (dy - shared))).bit_count() > budget:
-            continue
-        if x in leaf and y in leaf:
-            pairs += [(leaf[x], i, leaf[y], j) for i in range(blocks[x]) for j in range(i if x == y else 0, blocks[y])]
-        elif x == y:
-            a, b = (dx + 1, 2 * px), (dx + 1, 2 * px + 1)
-            stack += [(a, a), (a, b), (b, b)]
-        elif y in leaf or (x not in leaf and dx <= dy):
-            stack += [((dx + 1, 2 * px), y), ((dx + 1, 2 * px + 1), y)]
-        else:
-            stack += [(x, (dy + 1, 2 * py)), (x, (dy + 1, 2 * py + 1))]
-    starts = np.array([p << (bits - d) for d, p in leaf], dtype=np.int64)
-    return starts, np.array([blocks[k] for k in leaf], dtype=np.int64), pairs
-
-
-def walk_pair(a: np.ndarray, b: np.ndarray | None, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes of the pairs within the budget, of sorted unsigned fingerprints a against b; b None: a against itself."""
-    own = b is None
-    right = a if own else b
-    if not len(a) or not len(right):
-        return
-    al, ah, bl, bh = (np.array([x], dtype=np.int64) for x in (0, len(a), 0, len(right)))
-    err = np.zeros(1, dtype=np.int64)
-    for bit in range(63, -2, -1):
+    x, done, base = fp.astype(np.uint64), 0, budget + 2
+    while trie:
+        trie, which = divmod(trie, base)
+        left = 64 - done
+        size = left // (budget + 1)
+        low = x & np.uint64((1 << left) - 1)
+        by = (which - 1) * size
+        if by:
+            low = ((low << np.uint64(by)) | (low >> np.uint64(left - by))) & np.uint64((1 << left) - 1)
+        x = (x & ~np.uint64((1 << left) - 1)) | low
+        done += size
+    return x, done
+
+
+def walk(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes of the pairs within the budget, i < j, of the sorted unsigned a within each stretch [start, end).
+
+    A stretch is a node: its values agree in their first `depth` bits.
+    """
+    al, ah, bl, bh = starts, ends, starts, ends
+    err = np.zeros(len(starts), dtype=np.int64)
+    for bit in range(63 - depth, -2, -1):
         small = (ah - al) * (bh - bl) <= FEW if bit >= 0 else np.ones(len(al), dtype=bool)
         if small.any():
-            yield from _compare(a, right, al[small], ah[small], bl[small], bh[small], own, budget)
+            yield from _compare(a, al[small], ah[small], bl[small], bh[small], budget)
             al, ah, bl, bh, err = (x[~small] for x in (al, ah, bl, bh, err))
         if not len(al):
             return
         at = np.uint64(1 << bit)
         head = ~np.uint64((1 << (bit + 1)) - 1)
-        am, bm = np.searchsorted(a, (a[al] & head) | at), np.searchsorted(right, (right[bl] & head) | at)
-        same = (al == bl) & (ah == bh) if own else np.zeros(len(al), dtype=bool)
-        parts = [(al, am, bl, bm, err), (am, ah, bm, bh, err), (al, am, bm, bh, err + 1), *([tuple(x[~same] for x in (am, ah, bl, bm, err + 1))])]
+        am, bm = np.searchsorted(a, (a[al] & head) | at), np.searchsorted(a, (a[bl] & head) | at)
+        same = (al == bl) & (ah == bh)
+        parts = [(al, am, bl, bm, err), (am, ah, bm, bh, err), (al, am, bm, bh, err + 1), tuple(x[~same] for x in (am, ah, bl, bm, err + 1))]
         al, ah, bl, bh, err = (np.concatenate(x) for x in zip(*parts, strict=True))
         keep = (err <= budget) & (ah > al) & (bh > bl)
         al, ah, bl, bh, err = (x[keep] for x in (al, ah, bl, bh, err))
 
 
-def _compare(a, right, al, ah, bl, bh, own: bool, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
+def _compare(a, al, ah, bl, bh, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
     n = (ah - al) * (bh - bl)
     ends = np.cumsum(n)
     lo = 0
@@ -143,60 +123,90 @@ def _compare(a, right, al, ah, bl, bh, own: bool, budget: int) -> Iterator[tuple
         at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
         width = (bh - bl)[of]
         i, j = al[of] + at // width, bl[of] + at % width
-        near = np.bitwise_count(a[i] ^ right[j]) <= budget
-        if own:
-            near &= i < j
+        near = (np.bitwise_count(a[i] ^ a[j]) <= budget) & (i < j)
         yield i[near], j[near]
         lo = hi
 
 
+def node_links(fp: np.ndarray, trie: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """(src, dst) stars over the distinct fingerprints of one trie; only those under one node meet."""
+    x, depth = turned(fp, trie, budget)
+    order = np.argsort(x)
+    x, fp = x[order], fp[order]
+    cut = np.flatnonzero(np.append(True, (x[1:] ^ x[:-1]) >> np.uint64(64 - depth) != 0))
+    ends = np.append(cut[1:], len(x))
+    some = ends - cut > 1
+    labels = np.arange(len(x))
+    for i, j in walk(x, cut[some], ends[some], depth, budget):
+        link(labels, i, j)
+    moved = np.flatnonzero(labels != np.arange(len(x)))
+    return fp[moved].view(np.int64), fp[labels[moved]].view(np.int64)
+
+
 def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
-    """(src, dst) stars over distinct fingerprints (column fp): their components are those of all pairs within the budget."""
+    """(src, dst) stars over distinct fingerprints (column fp): their components are those of all pairs within the budget.
+
+    A row of a trie is (trie, node, fp): node is the fingerprint's leading blocks there. Each row of a node that is to be cut
+    is replaced by one for each block of the bits left.
+    """
     spark = distinct.sparkSession
     bounded_batches(spark)
-    counts = distinct.groupBy(F.shiftrightunsigned("fp", 64 - TOP_BITS).alias("p")).count().collect()  # at most 2**TOP_BITS rows
-    counts = sorted((r["p"], r["count"]) for r in counts)
-    prefix, count = (np.array([c[i] for c in counts], dtype=np.int64) for i in (0, 1))
-    most = max(1, min(subtree, -(-int(count.sum()) // SPREAD)))
-    starts, blocks, pairs = top_of_trie(prefix, count, most, budget)
-    first = np.concatenate([[0], np.cumsum(blocks)]) if len(blocks) else np.zeros(1, dtype=np.int64)
-    uses: list[list[int]] = [[] for _ in range(int(first[-1]))]  # of each block: 2 * pair + side
-    for k, (x, i, y, j) in enumerate(pairs):
-        uses[first[x] + i].append(2 * k)
-        if (x, i) != (y, j):
-            uses[first[y] + j].append(2 * k + 1)
-    flat = np.array([u for us in uses for u in us], dtype=np.int64)
-    offset = np.concatenate([[0], np.cumsum([len(us) for us in uses])]).astype(np.int64)
-    shared = spark.sparkContext.broadcast((starts, blocks, first, flat, offset))  # bounded by the top of the trie
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, blocks, first, flat, offset = shared.value
+    base = budget + 2
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy().view(np.uint64)
-            leaf = np.searchsorted(starts, (fp >> np.uint64(64 - TOP_BITS)).astype(np.int64), side="right") - 1
-            block = first[leaf] + ((fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks[leaf]
-            n = offset[block + 1] - offset[block]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            use = flat[np.repeat(offset[block], n) + at]
-            yield as_batch({"pair": use >> 1, "side": (use & 1).astype(np.int8), "fp": np.repeat(fp, n).view(np.int64)})
+            trie, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            for above in np.unique(trie).tolist():
+                own = fp[trie == above]
+                digits = 0
+                while above >= base**digits:
+                    digits += 1
+                for block in range(1, base):
+                    name = above + block * base**digits
+                    x, depth = turned(own, name, budget)
+                    yield as_batch({"trie": np.full(len(x), name, dtype=np.int32), "node": (x >> np.uint64(64 - depth)).view(np.int64), "fp": own.view(np.int64)})
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        trie, fp = t["trie"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+        for name in np.unique(trie).tolist():
+            src, dst = node_links(fp[trie == name], name, budget)
+            if len(src):
+                yield as_batch({"src": src, "dst": dst})
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["pair"]):
-            fp, side = t["fp"].to_numpy().view(np.uint64), t["side"].to_numpy()
-            a, b = np.sort(fp[side == 0]), np.sort(fp[side == 1])
-            own = not pairs_own[int(t["pair"][0].as_py())]
-            labels = np.arange(len(a) + len(b))
-            for i, j in walk_pair(a, None if own else b, budget):
-                link(labels, i, j if own else j + len(a))
-            both = np.concatenate([a, b]).view(np.int64)
-            moved = np.flatnonzero(labels != np.arange(len(labels)))
-            if len(moved):
-                yield as_batch({"src": both[moved], "dst": both[labels[moved]]})
-
-    pairs_own = np.array([(x, i) != (y, j) for x, i, y, j in pairs], dtype=bool)
-    dealt = distinct.select("fp").mapInArrow(deal, "pair long, side byte, fp long")
-    partitions = max(1, min(max(shuffle_partitions(spark), len(pairs) // 64), len(pairs)))
-    return in_groups(dealt, ["pair"], partitions, join, "src long, dst long")
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) > WALKED:  # up to where the last node begins
+                t = pa.Table.from_batches(held)
+                trie, node = t["trie"].to_numpy(), t["node"].to_numpy()
+                cuts = np.flatnonzero((trie[1:] != trie[:-1]) | (node[1:] != node[:-1])) + 1
+                if len(cuts):
+                    yield from work(t.slice(0, int(cuts[-1])))
+                    held = t.slice(int(cuts[-1])).to_batches()
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    schema = "trie int, node long, fp long"
+    now = distinct.select(F.lit(0).alias("trie"), "fp").mapInArrow(cut, schema)
+    done, bits = None, 64 - 64 // (budget + 1)
+    while True:
+        large = None
+        if bits > LEFT_BITS:
+            large = materialize(now.groupBy("trie", "node").count().where(F.col("count") > subtree).select("trie", "node"), "simhash-large")
+            if not (n := large.count()):
+                large = None
+        if large is None:
+            ready = now
+        else:
+            side = F.broadcast(large) if n <= BROADCAST_NODES else large
+            ready = now.join(side, ["trie", "node"], "left_anti").select("trie", "node", "fp")
+        done = ready if done is None else done.unionByName(ready)
+        if large is None:
+            break
+        now = now.join(side, ["trie", "node"], "left_semi").select("trie", "fp").mapInArrow(cut, schema)
+        bits -= bits // (budget + 1)
+    return in_groups(done, ["trie", "node"], shuffle_partitions(spark), join, "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:

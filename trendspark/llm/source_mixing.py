@@ -32,7 +32,7 @@ SAMPLE_DOCS, LEAST_DOCS = 4000, 40
 FIT_STEPS, FIT_BATCH, DECAY = 250, 512, 1e-4
 #: Shares of tokens by quality and toxicity: of the query, and of the pipeline's mixing, which draws each document once at most.
 TARGETS = {"quality1_toxic0": 0.70, "quality0_toxic0": 0.20, "quality1_toxic1": 0.07, "quality0_toxic1": 0.03}
-DRAW_TARGETS = {"quality1_toxic0": 0.857, "quality0_toxic0": 0.10, "quality1_toxic1": 0.035, "quality0_toxic1": 0.008}
+DRAW_TARGETS = {"quality1_toxic0": 0.892, "quality0_toxic0": 0.07, "quality1_toxic1": 0.032, "quality0_toxic1": 0.006}
 #: All tokens of the mixture as a share of those of the input, and the highest rate: of the query, and of the pipeline.
 KEEP, MAX_RATE = 1.0, 8.0
 DRAW_KEEP, DRAW_RATE = 0.85, 1.0
