@@ -4,7 +4,7 @@ import hashlib
 import math
 import re
 
-from trendspark.llm.pii import disclosing_terms, find_pii, op2_pii, sanitized
+from trendspark.llm.pii import LEAST, SMOOTH, disclosing_terms, examined, find_pii, op2_pii, sanitized
 
 SF = "/root/testdata/sf0.01"
 PATTERNS = {
@@ -53,17 +53,50 @@ def test_odd_texts(spark):
     assert find_pii(df.where("false")).collect() == []
 
 
-def test_terms_beside_an_entity_are_found_and_common_words_are_not(spark):
-    fill = [f"plain text number{i} of the day with the common words" for i in range(200)]
+def slow_terms(texts):
+    """Terms and disclosure by plain counts over distinct texts; ASCII words only."""
+    texts = sorted({t or "" for t in texts})
+    secret = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}"
+    capital = r"[A-Z][a-z]{2,}(?![A-Za-z0-9])"
+    words = [set(re.findall(rf"{secret}|(?<![A-Za-z0-9]){capital}", t)) for t in texts]
+    found = [{(k, re.sub("[^0-9]", "", t[a:z]) if k in ("card", "phone") else t[a:z].lower()) for k, p in slow(t).items() for a, z in p} for t in texts]
+    names = [set(re.findall(rf"(?<=[A-Za-z0-9,()] ){capital}", t)) if e else set() for t, e in zip(texts, found, strict=True)]
+    n, out = len(texts), {}
+
+    def tell(term, both, docs, of):
+        info = math.log2(n / of)
+        share = 1 + math.log2(both / (docs + SMOOTH)) / info if info > 0 else 0
+        if share >= LEAST:
+            out[term] = max(out.get(term, 0), share)
+
+    count = lambda term: sum(term in w for w in words)
+    for t in texts:
+        for s in re.findall(secret, t):
+            tell(s, count(s), count(s), count(s))
+    for term in set().union(*names):
+        for e in set().union(*found):
+            both = sum(term in w and e in f for w, f in zip(names, found, strict=True))
+            if both:
+                tell(term, both, count(term), sum(e in f for f in found))
+    return out
+
+
+def test_terms_equal_a_plain_count(spark):
+    fill = [f"plain text number{i} of the day with the common Words" for i in range(60)]
     told = [f"day{i} the surgeon Quillon wrote{i} from q@mail.example.com about{i} it" for i in range(6)]
-    copied = ["Zeta only here with z@mail.example.com nearby"] * 9
-    rows = [(i, t) for i, t in enumerate(fill + told + copied + ["Quillon alone"])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    terms = {r["term"]: r["disclosure"] for r in disclosing_terms(df).collect()}
-    assert "quillon" in terms and "the" not in terms and "zeta" not in terms
-    n, e, t, both = 200 + 6 + 1 + 1, 6, 7, 6
-    assert abs(terms["quillon"] - math.log2(both * n / (t * e)) / math.log2(n / e)) < 1e-9
+    once = ["To ask for Brindle Oss, call +1 (234) 567-8901 at once", "Dr Brindle, of Words, has 10.0.0.7", "the Words of r@mail.example.com"] * 4
+    keys = ["key = 0a1b2c3d4e5f60718293a4b5", "again 0a1b2c3d4e5f60718293a4b5 there", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAA"]
+    rows = [(i, t) for i, t in enumerate(fill + told + once + keys + ["Quillon alone", None, "", "Quillon alone"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS h", "'x' AS term", "2 AS words")
+    terms = {r["term"]: r["disclosure"] for r in disclosing_terms(examined(df)).collect()}
+    want = slow_terms([t for _, t in rows])
+    assert set(terms) == set(want) and all(abs(terms[t] - want[t]) < 1e-9 for t in want)
+    assert {"Quillon", "Oss", "0a1b2c3d4e5f60718293a4b5"} <= set(terms) and "Words" not in terms
     found = {r["doc_id"]: r for r in sanitized(find_pii(df)).collect()}
-    assert found[len(rows) - 1]["clean_text"] == "[TERM] alone"
-    assert "[EMAIL]" in found[200]["clean_text"] and "Quillon" not in found[200]["clean_text"]
+    assert found[len(rows) - 1]["clean_text"] == "[TERM] alone" and found[len(rows) - 3]["clean_text"] == ""
+    assert "[EMAIL]" in found[60]["clean_text"] and "Quillon" not in found[60]["clean_text"]
     assert found[0]["clean_text"] == fill[0]
+
+
+def test_terms_occur_in_the_test_tables(spark):
+    assert sum(r["n_term"] for r in op2_pii(spark, SF).collect()) > 0

@@ -1,11 +1,16 @@
 """Personal data: fixed patterns, and terms that reveal the entities behind them.
 
 All of it is DataFrame functions. The patterns give the base spans. The method is information-theoretic sanitisation: each
-distinct address or number is a protected entity e, whose information is -log2 p(e); a term t beside it discloses the
-part PMI(t; e) / -log2 p(e) of it, with probabilities from documents of the whole corpus. A term that discloses at least
-LEAST of an entity is a span wherever it occurs, and `sanitized` generalises it to its class or removes it. Candidates
-are the words within NEAR characters of an entity in at least SUPPORT contexts that differ within CONTEXT characters, so
-copies and near copies of one document are one piece of evidence, not many.
+distinct address or number is a protected entity e, whose information is -log2 p(e). Candidate terms are the name-like words
+of the documents that hold an entity, wherever they stand in them: words that begin with a capital inside a sentence. Over
+the whole corpus of distinct texts, a term t in n(t) of them, n(t, e) of which hold e, tells e with the probability
+n(t, e) / (n(t) + SMOOTH), smoothed so that one text is weaker evidence than many; it discloses the part
+1 + log2(that) / -log2 p(e) of e's information. A secret (a long word of letters and digits) is an entity of its own, of n(t)
+texts. A term that discloses at least LEAST is a span wherever it occurs, and `sanitized` generalises it to its class or
+removes it.
+
+Candidate words are taken from each text once and written with its base spans; a term of one text alone needs no pairs with
+that text's entities, only the most informative of them, and pairs are formed for the other terms that could pass at all.
 
 The patterns are rewritten without changing what they match, so that long runs cost no more than their length: a match
 may only start where the run before it starts (or where the last match ended), and quantifiers that never need to give
@@ -33,12 +38,15 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 TERM = "term"
 SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 _WORD = r"[\p{L}\p{M}\p{N}]"
-_A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SECRET = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+"
+_CAPITAL = rf"\p{{Lu}}[\p{{Ll}}\p{{M}}]{{2,}}+(?!{_WORD})"
+#: Words that may be terms; those of them that are names inside a sentence, after a word, a comma or a bracket.
+WORDS = rf"{_SECRET}|(?<!{_WORD}){_CAPITAL}"
+INSIDE = rf"(?<=[\p{{L}}\p{{N}},()] ){_CAPITAL}"
 
-NEAR, CONTEXT, SUPPORT, LEAST_LENGTH = 60, 200, 3, 3
-LEAST = 0.85
-#: Terms up to which the table of terms is broadcast (some 60 bytes each); beyond it the join shuffles.
-BROADCAST_TERMS = 100_000
+SMOOTH, LEAST = 0.5, 0.85
+#: Rows up to which a table of terms or of texts with terms is broadcast (some 60 bytes each); beyond it the join shuffles.
+BROADCAST_ROWS = 100_000
 
 
 def _luhn(digits: Column) -> Column:
@@ -82,95 +90,105 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(has, F.filter(located(text, pattern, kind), lambda s: valid(kind, s["value"]))).otherwise(F.array().cast(SPAN))
 
 
-def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a column for each kind: its spans. A null text has none."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select("*", *[base_spans(text, k).alias(f"__{k}") for k in PATTERNS])
-
+def _entity(span: Column) -> Column:
+    value = F.when(span["kind"].isin("card", "phone"), F.regexp_replace(span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"]))
+    return F.concat(span["kind"], F.lit(":"), value)
 
-def folded(text: Column) -> Column:
-    """A-Z in lower case; lengths stay."""
-    return F.translate(text, _A_TO_Z, _A_TO_Z.lower())
 
+def examined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, email, ip, card, phone, words, secrets, names), a row for each row of docs, written out; h stands for the text.
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(folded(text), F.lit(rf"{_WORD}++"), F.lit(0))
+    words: the distinct words that may be terms; secrets; names: those inside a sentence, of texts that hold an entity.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
+    rows = rows.select("doc_id", "t", F.xxhash64("t").alias("h"), *[base_spans(F.col("t"), k).alias(k) for k in PATTERNS])
+    some = F.lit(False)
+    for k in PATTERNS:
+        some = some | (F.size(k) > 0)
+    each = lambda pattern: F.array_distinct(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)))
+    none = F.array().cast("array<string>")
+    has_digit = F.col("t").rlike("[0-9]")
+    rows = rows.select("doc_id", "h", *PATTERNS, each(WORDS).alias("words"), F.when(has_digit, each(_SECRET)).otherwise(none).alias("secrets"), F.when(some, each(INSIDE)).otherwise(none).alias("names"))
+    return materialize(rows, "pii-examined")
 
 
-def _entity(span: Column) -> Column:
-    value = F.when(span["kind"].isin("card", "phone"), F.regexp_replace(span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"]))
-    return F.concat(span["kind"], F.lit(":"), value)
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows; df must be a written table."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, least: float = LEAST) -> DataFrame:
-    """(term, disclosure, entities): the terms that disclose at least `least` of some entity, by all of docs.
+def disclosing_terms(seen: DataFrame, least: float = LEAST) -> DataFrame:
+    """(term, disclosure) of the terms that disclose at least `least` of some entity, by all rows of `examined`; written out.
 
-    Documents with the same text count once. Written out.
+    Documents with the same text count once.
     """
+    entities = F.array_distinct(F.transform(F.concat(*PATTERNS), _entity))
+    whole = seen.groupBy("h").count().count()  # distinct texts
+    total = float(max(1, whole))
+    held = seen.where(F.size(F.concat(*PATTERNS)) > 0).select("h", F.explode(entities).alias("e"))
+    held = materialize(held.distinct(), "pii-entities")
+    e_docs = held.groupBy("e").agg(F.count("*").alias("e_docs")).withColumn("info", F.log2(F.lit(total) / F.col("e_docs")))
+    e_docs = materialize(e_docs, "pii-information")
+    most = e_docs.agg(F.max("e_docs")).first()[0] or 0
+    named = materialize(seen.select("h", F.explode("names").alias("term")).distinct(), "pii-names")
+    candidates = seen.select(F.explode("secrets").alias("term")).union(named.select("term")).distinct()
+    candidates = materialize(candidates, "pii-candidates")
+    occurs = seen.select("h", F.explode("words").alias("term")).join(_small(candidates), "term", "left_semi").distinct()
+    t_docs = occurs.groupBy("term").agg(F.count("*").alias("t_docs"), F.min("h").alias("alone"))
+    t_docs = materialize(t_docs, "pii-counts")
+
+    def share(both: Column | str, info: Column) -> Column:
+        told = 1 + F.log2(F.expr(str(both)) / (F.col("t_docs") + SMOOTH)) / info
+        return F.when(info > 0, told).otherwise(0.0)
+
+    secret = seen.select(F.explode("secrets").alias("term")).distinct().join(t_docs, "term")
+    secret = secret.select("term", share("t_docs", F.log2(F.lit(total) / F.col("t_docs"))).alias("share"))
+    # A term of one text: the entity of that text with the most information tells the most.
+    top = held.join(e_docs, "e").groupBy("h").agg(F.max("info").alias("info"))
+    single = named.join(t_docs.where("t_docs = 1").select("term", "t_docs"), "term").join(top, "h").select("term", share("1", F.col("info")).alias("share"))
+    # Of the others only those in few enough texts can pass: n(t, e) is at most e_docs.
+    bound = float(most) ** least * total ** (1 - least)
+    several = named.join(t_docs.where((F.col("t_docs") > 1) & (F.col("t_docs") + SMOOTH <= bound + 1e-6)).select("term", "t_docs"), "term")
+    together = several.join(held, "h").groupBy("term", "e", "t_docs").agg(F.count("*").alias("both")).join(e_docs, "e")
+    together = together.select("term", share("both", F.col("info")).alias("share"))
+    told = secret.union(single).union(together).where(F.col("share") >= least)
+    return materialize(told.groupBy("term").agg(F.max("share").alias("disclosure")), "pii-terms")
+
+
+def term_spans(docs: DataFrame, seen: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, term): the spans of terms in each distinct text that has some, without those that touch a base span; written out."""
+    hits = seen.select("h", F.explode("words").alias("term")).join(_small(terms.select("term")), "term", "left_semi").distinct()
+    # A text's list is bounded by its own words, and copies of a text don't meet in one group.
+    hits = materialize(hits.groupBy("h").agg(F.collect_list("term").alias("terms")), "pii-hits")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    spans = F.concat(*[F.col(f"__{k}") for k in PATTERNS])
-    marked = with_base(docs.select(text.alias("t")), "t").select("t", F.xxhash64("t").alias("h"), spans.alias("spans")).where(F.size("spans") > 0)
-
-    def beside_span(s: Column) -> Column:
-        before = F.substring(F.col("t"), F.greatest(F.lit(1), s["start"] - NEAR + 1).cast("int"), F.least(F.lit(NEAR), s["start"]).cast("int"))
-        after = F.substring(F.col("t"), (s["end"] + 1).cast("int"), F.lit(NEAR))
-        # Without what holds data itself, and without words that the cut may have shortened.
-        parts = [F.regexp_replace(F.regexp_replace(x, r"\S*[@0-9]\S*", " "), edge, "") for x, edge in ((before, rf"^{_WORD}+"), (after, rf"{_WORD}+$"))]
-        around = F.substring(F.col("t"), F.greatest(F.lit(1), s["start"] - CONTEXT + 1).cast("int"), (F.least(F.lit(CONTEXT), s["start"]) + s["end"] - s["start"] + CONTEXT).cast("int"))
-        return F.struct(_entity(s).alias("e"), F.xxhash64(around).alias("ctx"), F.concat(parts[0], F.lit(" | "), parts[1]).alias("near"))
-
-    beside = marked.select("h", F.explode(F.array_distinct(F.transform("spans", beside_span))).alias("x"))
-    beside = beside.select("h", "x.e", "x.ctx", F.array_distinct(words(F.col("x.near"))).alias("w"))
-    beside = materialize(beside.groupBy("h", "e", "ctx").agg(F.first("w").alias("w")), "pii-beside")
-    known = beside.groupBy("e", "h").count().groupBy("e").agg(F.count("*").alias("e_docs")).where(F.col("e_docs") >= support)
-    pairs = beside.select("h", "e", "ctx", F.explode("w").alias("term")).where((F.length("term") >= LEAST_LENGTH) & ~F.col("term").rlike("^[0-9]+$"))
-    contexts = pairs.groupBy("e", "term", "ctx").count().groupBy("e", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    together = pairs.groupBy("e", "term", "h").count().groupBy("e", "term").agg(F.count("*").alias("both"))
-    total = float(docs.select(F.xxhash64(text).alias("h")).groupBy("h").count().count())
-
-    def share(term_docs: Column) -> Column:
-        information = F.log2(F.lit(total) / F.col("e_docs"))
-        pmi = F.log2(F.col("both") * F.lit(total) / (term_docs * F.col("e_docs")))
-        return F.when(information > 0, F.least(F.lit(1.0), pmi / information)).otherwise(0.0)
-
-    # A term has at least as many documents as those where it stands beside any entity. One that fails by these alone, as
-    # common words do, need not be counted in the corpus.
-    beside_any = pairs.groupBy("term", "h").count().groupBy("term").agg(F.count("*").alias("near_docs"))
-    likely = contexts.join(together, ["e", "term"]).join(known, "e").join(beside_any, "term").where(share(F.col("near_docs")) >= least - 1e-9)
-    pairs = materialize(likely.select("e", "term", "both", "e_docs"), "pii-pairs")
-    terms = materialize(pairs.select("term").distinct(), "pii-candidates")
-    few = terms.count() <= BROADCAST_TERMS
-    seen = docs.select(text.alias("t")).select(F.xxhash64("t").alias("h"), F.explode(F.array_distinct(words(F.col("t")))).alias("term"))
-    seen = seen.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term", "h").count().groupBy("term").agg(F.count("*").alias("t_docs"))
-    told = pairs.join(seen, "term").select("term", "e", share(F.col("t_docs")).alias("share")).where(F.col("share") >= least)
-    return materialize(told.groupBy("term").agg(F.max("share").alias("disclosure"), F.count("*").alias("entities")), "pii-terms")
+    texts = docs.select(text.alias("t"), F.xxhash64(text).alias("h")).join(_small(hits), "h")
+    found = F.filter(located(F.col("t"), WORDS, TERM), lambda s: F.array_contains(F.col("terms"), s["value"]))
+    spans = texts.select("h", found.alias("spans")).groupBy("h").agg(F.first("spans").alias("spans"))
+    base = seen.join(_small(hits.select("h")), "h", "left_semi").groupBy("h").agg(F.first(F.concat(*PATTERNS)).alias("base"))
+    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return materialize(spans.join(base, "h").select("h", F.filter("spans", apart).alias(TERM)), "pii-spans")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, email, ip, card, phone, term): one row for each row of docs; each kind an array of spans in order.
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, email, ip, card, phone, term): one row for each row of docs; each kind an array of spans in order.
 
     A null text is empty and has no spans. Rows that repeat are treated alike. Other columns don't matter.
     Term spans that touch a base span are left out; base spans are never changed.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    terms = disclosing_terms(rows)
-    n = terms.count()
-    hits = rows.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    hits = hits.join(F.broadcast(terms.select("term")) if n <= BROADCAST_TERMS else terms.select("term"), "term", "left_semi")
-    # Distinct first, so copies of a text don't meet in one group; a text's list is bounded by its own words.
-    hits = hits.groupBy("h", "term").count().groupBy("h").agg(F.array_sort(F.collect_list("term")).alias("terms"))
-    hits = materialize(hits, "pii-hits")
-    found = with_base(rows)
-    if n:
-        few = hits.count() <= BROADCAST_TERMS
-        found = found.withColumn("h", F.xxhash64("text")).join(F.broadcast(hits) if few else hits, "h", "left").drop("h")
-    else:
-        found = found.withColumn("terms", F.lit(None).cast("array<string>"))
-    pattern = F.concat(F.lit(rf"(?<!{_WORD})(?:"), F.array_join("terms", "|"), F.lit(rf")(?!{_WORD})"))
-    base = F.concat(*[F.col(f"__{k}") for k in PATTERNS])
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    term = F.when(F.col("terms").isNotNull(), F.filter(located(folded(F.col("text")), pattern, TERM), apart)).otherwise(F.array().cast(SPAN))
-    return found.select("doc_id", "text", *[F.col(f"__{k}").alias(k) for k in PATTERNS], term.alias(TERM))
+    seen = examined(docs, id_col, text_col)
+    found = term_spans(docs, seen, disclosing_terms(seen), text_col)
+    spans = F.coalesce(TERM, F.array().cast(SPAN)).alias(TERM)
+    return seen.select("doc_id", "h", *PATTERNS).join(_small(found), "h", "left").select("doc_id", "h", *PATTERNS, spans)
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """find_spans and the text: (doc_id, text, email, ip, card, phone, term)."""
+    kinds = (*PATTERNS, TERM)
+    each = find_spans(docs, id_col, text_col).groupBy("h").agg(*[F.first(k).alias(k) for k in kinds])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    return rows.join(materialize(each, "pii-texts"), "h").select("doc_id", "text", *kinds)
 
 
 def sanitized(found: DataFrame, remove_terms: bool = False) -> DataFrame:
@@ -194,6 +212,7 @@ def _joined(*kinds: str) -> Column:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in (*PATTERNS, TERM)]
-    return found.select("doc_id", *counts[:4], F.sha2(_joined(*PATTERNS).cast("binary"), 256).alias("base_sha256"), _joined(*PATTERNS, TERM).alias("spans"), counts[4])
+    base = F.sha2(_joined(*PATTERNS).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts[:4], base, _joined(*PATTERNS, TERM).alias("spans"), counts[4])
