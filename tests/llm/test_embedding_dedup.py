@@ -41,3 +41,10 @@ def test_links_against_all_pairs(spark):
     assert found <= there and found >= 0.99 * there  # filters may miss a pair near the threshold, never invent one
     assert sum(g == w for g, w in zip(got, want, strict=True)) >= 0.97 * len(rows)
     assert embedding_groups(df.where("false")).collect() == []
+
+
+def test_labels_of_any_type_and_double_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], "a"), (2, [1.0, 0.1, 0.0, 0.0], "a"), (3, [1.0, 0.0, 0.0, 0.0], "b"), (4, [1e-200, 0.0, 0.0, 0.0], "a"), (5, [1.0, 0.0, 0.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_groups(df).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 2, 1), (5, 0, 5)]

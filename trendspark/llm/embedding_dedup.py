@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trendspark.llm.common import as_batch, bounded_batches, in_groups, link, runs, shuffle_partitions
 from trendspark.operators.graph import connected_components
@@ -50,6 +51,12 @@ def code(dim: int, words: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray,
     return q * np.sign(np.diag(r)), halves[0], halves[1]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that no square of a component is lost or too large."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def decode(x: np.ndarray, words: int, target: float = TARGET, floor: int = FLOOR) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of all filters within the cap of each unit row of x, at least its `floor` best; rows ascend, then filters."""
     dim = x.shape[1]
@@ -141,7 +148,9 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    element = vectors.schema[vector_col].dataType.elementType
+    kept_as = "array<float>" if isinstance(element, T.FloatType) else "array<double>"  # shuffled as they are; compared in double
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(kept_as).alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
@@ -151,23 +160,9 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     words = _words(total)
     targets = {r["dim"]: filters_needed(r["dim"], words, least) for r in classes.select(F.size("embedding").alias("dim")).distinct().collect()}
 
-    def meet(label, n, cls, flat, offsets, at, dim, target) -> pa.RecordBatch:  # noqa: ANN001
-        x = flat[offsets[at][:, None] + np.arange(dim)]
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        row, held_in = decode(x, words, target, floor_of(target)) if target else (np.arange(len(x)), np.zeros(len(x), dtype=np.int64))
-        k = np.bincount(row, minlength=len(at))
-        held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]).astype(np.int32)), pa.array(held_in.astype(np.int32)))
-        vec = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), dim).cast(pa.list_(pa.float64()))
-        take = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(label[at][row]), pa.array(np.full(len(row), dim, dtype=np.int32)), pa.array(held_in.astype(np.int32)), pa.array(cls[at][row]), pa.array(n[at][row]), vec.take(take), held.take(take)],
-            names=["label", "dim", "filter", "cls", "n", "vec", "filters"],
-        )
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filters_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls, label, n = (b.column(k).to_numpy() for k in (0, 1, 2))
-            lists = b.column(3)
+            lists = b.column(1)
             offsets = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
             sizes = np.diff(offsets)
@@ -175,10 +170,19 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 target = targets[dim]
                 every, step = np.flatnonzero(sizes == dim), max(1, 2000 * TARGET // (target or TARGET))
                 for k in range(0, len(every), step):
-                    yield meet(label, n, cls, flat, offsets, every[k : k + step], dim, target)
-
-    dealt = classes.select("cls", "label", "n", "embedding").mapInArrow(deal, "label long, dim int, filter int, cls long, n long, vec array<double>, filters array<int>")
-    sizes = materialize(dealt.groupBy("label", "dim", "filter").count().where(f"count > {BLOCK}").select("label", "dim", "filter", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "vector-buckets")
+                    at = every[k : k + step]
+                    x = flat[offsets[at][:, None] + np.arange(dim)]
+                    x = unit(x)
+                    row, held = decode(x, words, target, floor_of(target)) if target else (np.arange(len(x)), np.zeros(len(x), dtype=np.int64))
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(at)))]).astype(np.int32)
+                    yield as_batch({"cls": b.column(0).take(pa.array(at)), "filters": pa.ListArray.from_arrays(pa.array(ends), pa.array(held.astype(np.int32)))})
+
+    # The list decoding is done once; its lists are small beside the vectors, which the join below brings to them.
+    lists = materialize(classes.select("cls", "embedding").mapInArrow(filters_of, "cls long, filters array<int>"), "vector-filters")
+    vectors_in = classes.select("cls", "label", "n", F.size("embedding").alias("dim"), F.col("embedding").alias("vec"))
+    dealt = lists.join(vectors_in, "cls").select("label", "dim", F.explode("filters").alias("filter"), "cls", "n", "vec", "filters")
+    held = lists.join(vectors_in.drop("vec", "n"), "cls").select("label", "dim", F.explode("filters").alias("filter"))
+    sizes = materialize(held.groupBy("label", "dim", "filter").count().where(f"count > {BLOCK}").select("label", "dim", "filter", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "vector-buckets")
     large = sizes.agg(F.count("*")).first()[0]
     sized = dealt.join(F.broadcast(sizes) if large <= 100_000 else sizes, ["label", "dim", "filter"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
@@ -193,6 +197,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             dim, here = int(t["dim"][0].as_py()), int(t["filter"][0].as_py())
             cls, n, right = t["cls"].to_numpy(), t["n"].to_numpy(), t["right"].to_numpy()
             x = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            x = unit(x.astype(np.float64))
             fs = np.empty(len(cls), dtype=object)
             held = t["filters"].combine_chunks()
             ends = np.cumsum(held.value_lengths().to_numpy())
