@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspark.plans import catalogue, clusters, context, topics
+from trendspark.plans import catalogue, clusters, context, payloads, topics
 
 FLAGSHIP = catalogue.FLAGSHIP
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return catalogue.queries() | clusters.queries() | topics.queries() | context.queries()
+    return catalogue.queries() | clusters.queries() | topics.queries() | context.queries() | payloads.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalogue.oracle_sql() | clusters.oracle_sql() | topics.oracle_sql() | context.oracle_sql()
+    return catalogue.oracle_sql() | clusters.oracle_sql() | topics.oracle_sql() | context.oracle_sql() | payloads.oracle_sql()
