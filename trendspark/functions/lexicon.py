@@ -177,3 +177,31 @@ PREFERRED = ["Sports", "Science & AI", "Tech", "Entertainment", "News", "Interne
 TREND_REF = r"(?:#\s*|\btrend\s+|\bnumber\s+|\bno\.\s*)(\d{1,2})\b"
 CLAIMABLE = ["todo", "in_progress"]
 PRIORITIES = {"critical": 0, "high": 1, "medium": 2, "low": 3}
+
+# The stage of each reason of discard, and sentences of summaries.
+DISCARD_STAGES = {
+    "reddit_low_signal_subreddit": "clean",
+    "reddit_low_engagement": "clean",
+    "reddit_unverified_metrics": "clean",
+    "hn_low_points": "clean",
+    "github_low_stars": "clean",
+    "generic_hashtag": "clean",
+    "too_short_or_non_ascii": "clean",
+    "personal_anecdote": "clean",
+    "meme_or_photo": "clean",
+    "pet_post": "clean",
+    "box_score_or_betting": "clean",
+    "no_signal_tokens": "clean",
+    "not_selected_budget": "select",
+    "density_noise": "cluster",
+    "unsupported_grouping": "cluster",
+    "insufficient_data": "cluster",
+    "low_relevance": "cluster",
+    "weak_singleton": "cluster",
+}
+INSUFFICIENT_FLAG = "[INSUFFICIENT_DATA]"
+CARRY = ("is carrying", "are carrying")
+SIGNALS = ("related signal about", "related signals about")
+OPENING = " is drawing attention across trend sources."
+CLOSING_MANY = ("The story is trending across ", " at the same time.")
+CLOSING_ONE = " is currently driving attention to the story."

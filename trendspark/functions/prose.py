@@ -102,9 +102,9 @@ def sanitize_summary(text: Column, entities: Column | None = None) -> Column:
 def two_sentences(summary: Column, sources: Column, headline: Column, entities: Column | None = None) -> Column:
     """The first two sentences of a summary, filled up by ones that name the headline and the sources."""
     said = F.filter(F.transform(F.split(sanitize_summary(summary, entities), r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])"), F.trim), lambda s: F.length(s) > 3)
-    opening = F.concat(F.rtrim(headline, F.lit(".")), F.lit(" is drawing attention across trend sources."))
+    opening = F.concat(F.rtrim(headline, F.lit(".")), F.lit(L.OPENING))
     shown = N.display_sources(sources)
-    closing = F.when(F.size(sources) > 1, F.concat(F.lit("The story is trending across "), shown, F.lit(" at the same time."))).otherwise(F.concat(shown, F.lit(" is currently driving attention to the story.")))
+    closing = F.when(F.size(sources) > 1, F.concat(F.lit(L.CLOSING_MANY[0]), shown, F.lit(L.CLOSING_MANY[1]))).otherwise(F.concat(shown, F.lit(L.CLOSING_ONE)))
     padded = F.concat(F.when(F.size(said) == 0, F.array(opening)).otherwise(said), F.array(closing))
     return sanitize_summary(F.array_join(F.slice(padded, 1, 2), " "), entities)
 

@@ -83,7 +83,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each order took in, discarded and kept, and whether it balances."""
-    taken = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("ingested"), F.count_if(F.col("l_returnflag") == "R").alias("discarded"), F.count_if(F.col("l_returnflag") != "R").alias("clustered"))
+    taken = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("ingested"), F.count_if(F.col("l_returnflag") == "R").alias("discarded"), F.count_if(F.col("l_returnflag").isin("A", "N")).alias("clustered"))
     return taken.select(F.col("l_orderkey").alias("run_id"), "ingested", "discarded", "clustered", (F.col("ingested") - F.col("discarded") - F.col("clustered")).alias("unaccounted"))
 
 

@@ -1,16 +1,21 @@
 """Run history as Parquet: items, clusters and, last, the row of the run, which makes the others visible.
 
-A run that fails before its row is written leaves files that no reader looks at; a repeated write of a run replaces them.
+Each write of a run has a name of its own, its attempt, in its row and in its items and clusters; readers take those of the
+attempt in the row, of the last one finished where a run was written more than once. So a run that fails before its row is
+written leaves files that no reader looks at, and a repeated write of a run takes the place of what was there.
 Items and clusters are partitioned by the day of the run, so that readers of a run open one day.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RUN = "run_id string, started_at double, finished_at double, ingested long, filtered long, cluster_count long, llm_mode string, exec_seconds double"
+STORED = f"{RUN}, attempt string"
 PREVIOUS_RUNS, HEADLINES = 5, 8
 
 
@@ -19,21 +24,28 @@ def _day(started_at: Column) -> Column:
 
 
 def save_run(path: str, run: DataFrame, items: DataFrame, clusters: DataFrame) -> None:
-    """Appends a run (one row of RUN) with its items (kept or not) and clusters, both with run_id."""
+    """Writes a run (one row of RUN) with its items (kept or not) and clusters, both with run_id; its row comes last."""
+    attempt = F.lit(uuid.uuid4().hex)
     when = F.broadcast(run.select("run_id", _day(F.col("started_at")).alias("run_date")))  # one row
     for name, df in (("items", items), ("clusters", clusters)):
-        df.join(when, "run_id").write.mode("append").partitionBy("run_date").parquet(f"{path}/{name}")
-    run.write.mode("append").parquet(f"{path}/runs")
+        df.join(when, "run_id").withColumn("attempt", attempt).write.mode("append").partitionBy("run_date").parquet(f"{path}/{name}")
+    run.withColumn("attempt", attempt).write.mode("append").parquet(f"{path}/runs")
+
+
+def stored_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The row of each run: of its attempts the last one finished."""
+    last = F.row_number().over(W.partitionBy("run_id").orderBy(F.desc_nulls_last("finished_at"), "attempt"))
+    return spark.read.schema(STORED).parquet(f"{path}/runs").withColumn("nth", last).where("nth = 1").drop("nth")
 
 
 def finished_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN).parquet(f"{path}/runs").where("finished_at IS NOT NULL")
+    return stored_runs(spark, path).where("finished_at IS NOT NULL")
 
 
 def of_runs(spark: SparkSession, path: str, name: str, runs: DataFrame) -> DataFrame:
-    """Items or clusters of the given runs; the days of the runs prune the partitions at run time."""
-    when = runs.select("run_id", _day(F.col("started_at")).cast("date").alias("run_date"))
-    return spark.read.parquet(f"{path}/{name}").join(F.broadcast(when), ["run_id", "run_date"]).drop("run_date")
+    """Items or clusters of the given runs (as stored); the days of the runs prune the partitions at run time."""
+    when = runs.select("run_id", "attempt", _day(F.col("started_at")).cast("date").alias("run_date"))
+    return spark.read.parquet(f"{path}/{name}").join(F.broadcast(when), ["run_id", "attempt", "run_date"]).drop("run_date", "attempt")
 
 
 def load_local(spark: SparkSession, path: str) -> DataFrame:
@@ -73,9 +85,9 @@ def age_hours(started_at: Column, now: Column) -> Column:
 
 def purge(spark: SparkSession, path: str, to: str, before: float) -> None:
     """Writes the history of runs that started at `before` or later to another place, items and clusters with their runs."""
-    kept = spark.read.schema(RUN).parquet(f"{path}/runs").where(F.col("started_at") >= before)
+    kept = stored_runs(spark, path).where(F.col("started_at") >= before)
     for name in ("items", "clusters"):
-        left = spark.read.parquet(f"{path}/{name}").join(kept.select("run_id"), "run_id", "left_semi")
+        left = spark.read.parquet(f"{path}/{name}").join(kept.select("run_id", "attempt"), ["run_id", "attempt"], "left_semi")
         left.write.partitionBy("run_date").parquet(f"{to}/{name}")
     kept.write.parquet(f"{to}/runs")
 
