@@ -171,6 +171,26 @@ def test_license_notices(spark, docs, odd):
     assert license_scan.scan_licenses(odd).collect() == []
 
 
+def test_whole_licenses_are_found_where_they_stand(spark):
+    fill = " ".join(f"word{i}" for i in range(400))
+    long = " ".join(f"clause{i * 7919 % 6007} of {i}" for i in range(2000))
+    own = license_scan.NOTICES | {"long": long}
+    rows = []
+    for name, text in own.items():
+        rows += [(name, f"{fill} {text.upper()} {fill}"), (name, f"{text}"), (name, " ".join(text.split()[: len(text.split()) // 2]))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): r for r in license_scan.scan_licenses(df, own).collect()}
+    for i, (name, text) in enumerate(rows):
+        if i % 3 == 2:
+            assert (i, name) not in got
+        else:
+            r = got[i, name]
+            assert r["containment"] == 1.0 and text[r["start"] : r["end"]].lower().split()[:3] == own[name].lower().strip(" \n<").split()[:3]
+    text = own["mit-text"].split()
+    twice = spark.createDataFrame([(1, " ".join(text[:10] + ["other"] + text[10:]))] * 2 + [(None, "\n".join(text[6:]))], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in license_scan.scan_licenses(twice).where("license = 'mit-text'").collect()) == ["1", "1", "None"]
+
+
 def test_pipeline_stages(spark, docs):
     was = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -1,10 +1,11 @@
 """License notices: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-A window of a text spans as many shingles of SHINGLE words as the templates of its class have at most; windows overlap so
-far that some window holds at least 7/8 of any place a template could be. Each of BANDS hash functions gives a window its
-least shingle hash; a window that agrees with a template on one function is a candidate. A passage that holds at least
-CONTAINMENT of a template's shingles has, in that window, a Jaccard similarity of at least 0.5 with it, and at 0.5 all of
-BANDS functions miss with the probability 2 ** -BANDS. Candidates are verified on their shingles themselves.
+A window of a text spans as many shingles of SHINGLE words as the templates of its class have at most (a power of two, so at
+most twice as many as any of them); windows overlap so far that some window holds at least 7/8 of any place a template could
+be. Each of BANDS hash functions gives a window its least shingle hash; a window that agrees with a template on one function
+is a candidate. A passage that holds at least CONTAINMENT of a template's shingles has, in that window, a Jaccard similarity
+of at least 0.3 with it, and at 0.3 all of BANDS functions miss with the probability 0.003. Places of candidate windows are
+verified by the words of their shingles, over a stretch as long as the template.
 """
 
 from __future__ import annotations
@@ -17,31 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import bounded_batches, text_bytes
+from trendspark.llm.common import bounded_batches, slices, text_bytes
 from trendspark.llm.decontaminate import _FOLD
+from trendspark.llm.license_texts import NOTICES
 from trendspark.llm.textstats import Words, mix, words_of
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 16
-#: Shingles of the classes of templates; a longer template is matched by windows of the last class at its parts.
-SIZES = (1, 4, 8, 16, 32)
-#: Common notices, by name.
-NOTICES = {
-    "mit": "Released under the MIT License.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "gpl-2": "This work is licensed under the GNU General Public License, version 2.",
-    "gpl-3": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "lgpl": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "cc-by-4.0": "Licensed under CC BY 4.0.",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-long": "This work is licensed under a Creative Commons Attribution",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
-}
+#: Shingles of the least classes of templates, each of which takes those up to it; the others are the powers of two that follow.
+LEAST_SIZES = (1, 4)
 _SALT = np.random.default_rng(31).integers(1, 2**63, BANDS, dtype=np.uint64)
 FOUND = "license string, n_shingles int, containment double, start int, end int"
 
@@ -57,82 +41,92 @@ def shingle_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return mix(h), ok
 
 
-def _least(x: np.ndarray, size: int) -> np.ndarray:
-    """Least of the `size` values from each place on (fewer at the end), by doubling."""
-    out, span = x.copy(), 1
-    while span < size:
-        k = min(span, size - span)
-        out[: len(out) - k] = np.minimum(out[: len(out) - k], out[k:].copy())
-        span += k
-    return out
+def _class(n: int) -> int:
+    return next((k for k in LEAST_SIZES if n <= k), 1 << (n - 1).bit_length())
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], containment: float = CONTAINMENT) -> None:
         names = sorted(templates)
-        w = words_of([templates[k].encode().translate(_FOLD) for k in names])
+        folded = [templates[k].encode().translate(_FOLD) for k in names]
+        w = words_of(folded)
         h, ok = shingle_hashes(w)
         self.names = [k for i, k in enumerate(names) if (ok & (w.text == i)).any()]  # a notice under SHINGLE words has no shingle
-        self.sets = {k: set(h[ok & (w.text == names.index(k))].tolist()) for k in self.names}
-        self.need = {k: containment * len(s) for k, s in self.sets.items()}
-        self.all = np.unique(np.concatenate([np.fromiter(s, dtype=np.uint64) for s in self.sets.values()])) if self.sets else np.zeros(0, dtype=np.uint64)
+        self.hashes = {k: np.unique(h[ok & (w.text == names.index(k))]) for k in self.names}
+        said = dict(zip(names, (f.split() for f in folded), strict=True))
+        self.shingles = {k: {tuple(said[k][i : i + SHINGLE]) for i in range(len(said[k]) - SHINGLE + 1)} for k in self.names}
+        self.need = {k: containment * len(s) for k, s in self.shingles.items()}
+        self.all = np.unique(np.concatenate(list(self.hashes.values()))) if self.names else np.zeros(0, dtype=np.uint64)
         self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in SIZES:
-            here = [k for k in self.names if size == next((s for s in SIZES if len(self.sets[k]) <= s), SIZES[-1])]
-            if here:
-                sign = np.stack([mix(np.fromiter(self.sets[k], dtype=np.uint64)[:, None] ^ _SALT).min(axis=0) for k in here])
-                flags = np.zeros((BANDS, 1 << 16), dtype=bool)
-                for b in range(BANDS):
-                    flags[b, (sign[:, b] & np.uint64(0xFFFF)).astype(np.int64)] = True
-                self.keys[size] = (sign, flags)
+        for size in sorted({_class(len(x)) for x in self.hashes.values()}):
+            sign = np.stack([mix(x[:, None] ^ _SALT).min(axis=0) for x in self.hashes.values() if _class(len(x)) == size])
+            flags = np.zeros((BANDS, 1 << 16), dtype=bool)
+            for b in range(BANDS):
+                flags[b, (sign[:, b] & np.uint64(0xFFFF)).astype(np.int64)] = True
+            self.keys[size] = (sign, flags)
 
     def candidates(self, h: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        """Places at which some window that agrees with some template in a band begins or ends, as a mask of shingles."""
+        """A mask of the shingles that some window holds which agrees with some template in a band."""
         mask = np.zeros(len(h) + 1, dtype=np.int64)
         for b in range(BANDS):
-            x = mix(h ^ _SALT[b])
-            x[~ok] = np.uint64(2**64 - 1)
-            for size, (sign, flags) in self.keys.items():
-                least = _least(x, size)[:: max(1, size // 8)]
-                maybe = np.flatnonzero(flags[b, (least & np.uint64(0xFFFF)).astype(np.int64)])
-                at = maybe[np.isin(least[maybe], sign[:, b])] * max(1, size // 8)
+            least, span = mix(h ^ _SALT[b]), 1
+            least[~ok] = np.uint64(2**64 - 1)
+            for size, (sign, flags) in self.keys.items():  # ascending: each window is the least of two halves
+                while span < size:
+                    least[: len(least) - span] = np.minimum(least[: len(least) - span], least[span:])
+                    span *= 2
+                here = least[:: max(1, size // 8)]
+                maybe = np.flatnonzero(flags[b, (here & np.uint64(0xFFFF)).astype(np.int64)])
+                at = maybe[np.isin(here[maybe], sign[:, b])] * max(1, size // 8)
                 np.add.at(mask, at, 1)
                 np.add.at(mask, np.minimum(len(h), at + size), -1)
         return np.cumsum(mask[:-1]) > 0
 
+    def best_place(self, name: str, places: list[int], said: list[tuple[bytes, ...]]) -> tuple[int, int, int]:
+        """(distinct shingles of the template, first and last place) of the fullest stretch of a quarter more than its length."""
+        best, lo, seen, reach = (0, 0, 0), 0, Counter(), len(self.shingles[name]) * 5 // 4 + 1
+        for hi, p in enumerate(places):
+            seen[said[hi]] += 1
+            while p - places[lo] >= reach:
+                seen[said[lo]] -= 1
+                if not seen[said[lo]]:
+                    del seen[said[lo]]
+                lo += 1
+            if len(seen) > best[0]:
+                best = (len(seen), places[lo], p)
+        return best
+
     def __call__(self, texts: list[bytes]) -> list[list[dict]]:
         """For each text the notices it holds, by name: best share of shingles and bytes of that place."""
         out: list[list[dict]] = [[] for _ in texts]
-        w = words_of([t.translate(_FOLD) for t in texts])
+        folded = [t.translate(_FOLD) for t in texts]
+        w = words_of(folded)
         if not len(w.hash) or not self.keys:
             return out
         h, ok = shingle_hashes(w)
-        near = self.candidates(h, ok) & ok
-        hit = np.flatnonzero(near)
-        hit = hit[np.isin(h[hit], self.all)]
+        known = ok & np.isin(h, self.all)
+        hit = np.flatnonzero(self.candidates(h, ok) & known)
         begins = np.cumsum(w.n) - w.n
-        for text in np.unique(w.text[hit]).tolist():
-            at = hit[w.text[hit] == text]
-            at = np.unique(np.concatenate([at, *[at + d for d in range(-3, 4)]]))
+        cuts = np.flatnonzero(np.append(True, w.text[hit][1:] != w.text[hit][:-1])[: len(hit)])
+        for at in np.split(hit, cuts[1:]) if len(hit) else []:
+            text = int(w.text[at[0]])
+            # A window may begin or end within the place: known shingles around it belong to it too.
+            at = np.unique(np.concatenate([at + d for d in range(-SHINGLE + 1, SHINGLE)]))
             at = at[(at >= begins[text]) & (at < begins[text] + w.n[text])]
-            at = at[ok[at]]
-            got = h[at].tolist()
+            at = at[known[at]]
+            base = w.offsets[text]
+            word = lambda i: folded[text][w.start[i] - base : w.end[i] - base]  # noqa: B023, E731
             for name in self.names:
-                own = self.sets[name]
-                here = [(p, x) for p, x in zip(at.tolist(), got, strict=True) if x in own]
-                best, lo, seen = (0, 0, 0), 0, Counter()
-                for hi, (p, x) in enumerate(here):
-                    seen[x] += 1
-                    while p - here[lo][0] >= len(own) * 5 // 4 + 1:
-                        seen[here[lo][1]] -= 1
-                        seen += Counter()
-                        lo += 1
-                    if len(seen) > best[0]:
-                        best = (len(seen), here[lo][0], here[hi][0])
+                own = at[np.isin(h[at], self.hashes[name])]
+                if len(own) < self.need[name]:
+                    continue
+                said = [tuple(word(p + k) for k in range(SHINGLE)) for p in own.tolist()]
+                same = [(p, x) for p, x in zip(own.tolist(), said, strict=True) if x in self.shingles[name]]
+                best = self.best_place(name, [p for p, _ in same], [x for _, x in same])
                 if best[0] and best[0] >= self.need[name]:
-                    a = int(w.start[best[1]] - w.offsets[text])
-                    z = int(w.end[min(best[2] + SHINGLE, len(w.end)) - 1] - w.offsets[text])
-                    out[text].append({"license": name, "n_shingles": best[0], "containment": best[0] / len(own), "start": a, "end": z})
+                    end = int(w.end[min(best[2] + SHINGLE, len(w.end)) - 1] - base)
+                    share = best[0] / len(self.shingles[name])
+                    out[text].append({"license": name, "n_shingles": best[0], "containment": share, "start": int(w.start[best[1]] - base), "end": end})
         return out
 
 
@@ -149,7 +143,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, rows = text_bytes(b.column(1)), []
-            for i, found in enumerate(shared.value(texts)):
+            for i, found in enumerate(found for some in slices(texts) for found in shared.value(some)):
                 for f in found:
                     points = lambda k: len(texts[i][:k].decode("utf-8", "replace"))  # noqa: B023, E731
                     rows.append((b.column(0)[i].as_py(), f["license"], f["n_shingles"], f["containment"], points(f["start"]), points(f["end"])))
