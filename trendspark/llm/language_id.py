@@ -122,8 +122,10 @@ def phrases(to: np.ndarray, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarr
         if not k:
             break
         v = flat[state[:k] * WIDTH + blocks[j, :k]]
-        count[:k] += v >= DEAD
-        state[:k] = v & (DEAD - 1)
+        dead, then = v >= DEAD, v & (DEAD - 1)
+        count[:k] += dead
+        count[:k] += dead & (then == 0) & (state[:k] > 0)  # a letter that the sample has nowhere is a phrase of its own
+        state[:k] = then
     return count + (state > 0)
 
 
@@ -203,8 +205,8 @@ def _predict(texts: list[str | None], languages: list[str], automata: list[np.nd
 
 
 #: A text of at least FOREIGN_LETTERS characters that costs over FOREIGN_BITS a letter in every language is in none of them:
-#: random letters cost 6 and more, texts of a learned language 2 to 4.
-FOREIGN_BITS, FOREIGN_LETTERS = 5.0, 200
+#: texts of a learned language cost 2 to 4, letters at random 5, letters that no sample has 10 and more.
+FOREIGN_BITS, FOREIGN_LETTERS = 8.0, 200
 ADDED = ("lang_pred", "lang_score", "lang_bits")
 
 
@@ -244,7 +246,7 @@ def identify(
 def accepted(docs: DataFrame, model: tuple[list[str], list[np.ndarray], Codes], languages: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The rows of docs in one of the languages (None: any that was learned); columns as they are, whatever their names.
 
-    Rejected: null texts, texts without a letter, and long ones that every language finds as costly as noise.
+    Rejected: null texts, texts without a letter, and long ones of letters or sequences that no language has.
     """
     names = tuple(free_names(docs, *ADDED))
     found = identify(docs, model, text_col=text_col, names=names)
