@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trendspark.functions import text as X
 from trendspark.functions.lexicon import DEFAULT_WEIGHT, SOCIAL, SOURCE_WEIGHTS, SOURCES
-from trendspark.session import table
+from trendspark.session import materialize, table
 
 SOURCE_CAP, BUDGET, FLOOR = 40, 150, 6
 
@@ -72,7 +72,8 @@ def scored(df: DataFrame) -> DataFrame:
 
     A source corroborates an item if it has another item with a token of it that at most the cap of items have.
     """
-    pct = percentile(exact_groups(df))
+    # Used four times below: written out, so that the items are scanned and grouped once.
+    pct = materialize(percentile(materialize(exact_groups(df), "groups")), "percentiles")
     words = pct.select("item_id", "source", F.explode(X.significant_tokens(F.col("title"))).alias("token"))
     n = F.broadcast(pct.agg(F.greatest(F.lit(3), F.floor(0.08 * F.count("*"))).alias("cap")))  # one row
     per = words.groupBy("token").agg(F.count("*").alias("df"), F.collect_set("source").alias("seen"))  # at most all sources

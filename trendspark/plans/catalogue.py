@@ -11,7 +11,7 @@ from trendspark.functions import text as X
 from trendspark.functions.lexicon import DEFAULT_WEIGHT, MOMENTUM, SOCIAL, SOURCE_WEIGHTS, SOURCES, STAGE_OF_REASON, STOP_WORDS, TOKEN, WINDOWS
 from trendspark.operators import history as H
 from trendspark.operators import items as I
-from trendspark.session import table
+from trendspark.session import materialize, table
 
 FLAGSHIP = "select_budgeted_topk"
 
@@ -70,7 +70,7 @@ def _kept_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _over_budget(spark: SparkSession, d: str) -> DataFrame:
-    df = I.scored(I.items(spark, d))
+    df = materialize(I.scored(I.items(spark, d)), "scored")
     left = df.join(I.select_budget(df).select("item_id"), "item_id", "left_anti")
     return left.groupBy("source").agg(F.count("*").alias("items"), F.sum(F.greatest(F.lit(1), F.col("duplicate_count"))).alias("raw_items"))
 
