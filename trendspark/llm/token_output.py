@@ -36,8 +36,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Documents of a range of ids, and ids of a shard, at most (one document may be longer).
 RANGE_DOCS, SHARD_IDS = 8192, 8 << 20
-#: Words an encoder remembers, and their characters: some 25 MB of a worker with what they stand in.
-CACHED_WORDS, CACHED_BYTES = 120_000, 6 << 20
+#: Words an encoder remembers, and their characters: some 60 MB of a worker with what they stand in.
+CACHED_WORDS, CACHED_BYTES = 400_000, 24 << 20
 BETWEEN = "\x01"
 #: Bits of the high part for each number of the select directory, and documents whose offsets are selected at once.
 BLOCK, SELECT_DOCS = 512, 4096
