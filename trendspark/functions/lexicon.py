@@ -205,3 +205,6 @@ SIGNALS = ("related signal about", "related signals about")
 OPENING = " is drawing attention across trend sources."
 CLOSING_MANY = ("The story is trending across ", " at the same time.")
 CLOSING_ONE = " is currently driving attention to the story."
+
+#: Fixed value: addresses that lead on to another page.
+REDIRECTS = "news.google.com"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +31,20 @@ def draft_votes(voted: DataFrame, hint_weight: int = 0) -> DataFrame:
     return cast.unionByName(hints).groupBy("draft_id", "category").agg(F.sum("n").alias("votes"), F.min(F.when(F.col("n") > 0, F.col("item_id"))).alias("first")).where("votes > 0")
 
 
+def draft_category(voted: DataFrame, order: Column, hint_weight: int = 2) -> DataFrame:
+    """(draft_id, category): the category of most votes, each hint of a member worth hint_weight; News without votes.
+
+    Ties go to the category met first: members in the given order, in each the categories of the word list, then its hint.
+    """
+    pos = F.array_position(F.array(*map(F.lit, PREFERRED)), F.col("category"))
+    cast = voted.select("draft_id", order.alias("at"), F.explode("votes").alias("category", "n")).select("draft_id", "at", pos.alias("pos"), "category", "n")
+    hint = voted.where("hint IS NOT NULL").select("draft_id", order.alias("at"), F.lit(len(PREFERRED) + 1).cast("long").alias("pos"), F.col("hint").alias("category"), F.lit(hint_weight).alias("n"))
+    met = F.min(F.struct("at", "pos")).alias("met")
+    votes = cast.unionByName(hint).where("n > 0").groupBy("draft_id", "category").agg(F.sum("n").alias("n"), met)
+    best = votes.groupBy("draft_id").agg(F.min_by("category", F.struct(-F.col("n"), "met")).alias("category"))
+    return voted.select("draft_id").distinct().join(best, "draft_id", "left").select("draft_id", F.coalesce("category", F.lit("News")).alias("category"))
+
+
 def guarded_category(proposed: DataFrame, voted: DataFrame) -> DataFrame:
     """(draft_id, category): the proposed category unless members speak against it.
 

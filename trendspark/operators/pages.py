@@ -105,3 +105,20 @@ def enrich(items: DataFrame, pages: DataFrame, articles: DataFrame, limit: int =
 
 def outcomes(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy("outcome").agg(F.count("*").alias("items"), F.count("context").alias("with_context"))
+
+
+def deep_reads(trends: DataFrame, limit: int = SHOWN) -> DataFrame:
+    """(rank, nth, url, headline): the first addresses of each trend (rank, headline, source_urls) that lead to a page of its own."""
+    urls = F.slice(F.filter("source_urls", lambda u: ~F.contains(u, F.lit(L.REDIRECTS))), 1, limit)
+    return trends.select("rank", "headline", F.posexplode(urls).alias("nth", "url")).select("rank", (F.col("nth") + 1).alias("nth"), "url", "headline")
+
+
+def to_fetch(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """(url, headline) of wanted addresses that the cache (url, text) lacks, each once, with the headline that asks first."""
+    missing = wanted.join(cache.select("url"), "url", "left_anti")
+    return missing.groupBy("url").agg(F.min_by("headline", F.struct("rank", "nth")).alias("headline"))
+
+
+def excerpts(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """(rank, nth, url, text) of wanted addresses whose page says something."""
+    return wanted.join(cache.where("text <> ''").select("url", "text"), "url").select("rank", "nth", "url", "text")

@@ -157,6 +157,14 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
             SELECT draft_id, CASE WHEN papers THEN 'Science & AI' WHEN proposed IN ('Tech', 'Science & AI') AND coalesce(tech_hints, 0) = 0 AND (coalesce(tech_votes, 0) = 0 OR coalesce(other_votes, 0) >= 2 * tech_votes) THEN coalesce(other, other_hint, 'News')
               WHEN proposed = 'Sports' AND coalesce(sport_votes, 0) = 0 AND coalesce(sport_hints, 0) = 0 AND coalesce(top_votes, 0) >= 2 THEN top ELSE proposed END AS category FROM p LEFT JOIN v USING (draft_id) LEFT JOIN h USING (draft_id)""",
         ),
+        "draft_category": (
+            lambda s, d: V.draft_category(_voted(s, d), F.struct(-F.col("score"), F.col("item_id"))),
+            f"""WITH {_D}, votes AS (SELECT {_VOTES} item_id, draft_id FROM mem), cast_votes AS (SELECT draft_id, item_id, category, CAST(n AS BIGINT) AS n, list_position([{_list(_VOTED)}], category) AS pos FROM ({per})
+              UNION ALL SELECT draft_id, item_id, ([{_list(L.CATEGORIES)}])[item_id % 6 + 1], 2, 99 FROM mem WHERE item_id % 3 = 0),
+            tally AS (SELECT draft_id, category, sum(n) AS n, min((-score, item_id, pos)) AS met FROM cast_votes JOIN (SELECT item_id, score FROM mem) USING (item_id) GROUP BY 1, 2),
+            best AS (SELECT draft_id, arg_min(category, (-n, met)) AS category FROM tally GROUP BY 1)
+            SELECT draft_id, coalesce(category, 'News') AS category FROM (SELECT DISTINCT draft_id FROM mem) LEFT JOIN best USING (draft_id)""",
+        ),
         "best_member_title": (
             lambda s, d: V.best_title(members(s, d).withColumn("score", F.round(F.col("score") / 20000, 4))).select("draft_id", F.lower("title").alias("title")),
             f"""WITH {_D}, top AS (SELECT draft_id, title, round(score / 20000, 4) AS score, len(tokens) AS n, row_number() OVER (PARTITION BY draft_id ORDER BY round(score / 20000, 4) DESC, item_id) AS nth FROM mem QUALIFY nth <= 6)

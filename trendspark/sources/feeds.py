@@ -6,9 +6,13 @@ places in the payload, and an item without a score of its own gets n - rank + 1,
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from trendspark.functions import normalize as N
 from trendspark.functions import text as X
@@ -21,6 +25,8 @@ NO_TOPIC = (
 WEEK_HEADING = r"(?m)^##\s+Top AI Papers of the Week\s*\(([^)]*)\)(?:\s*-\s*(\d{4}))?"
 PAPER_ROW = r"(?m)^\|\s*(\d+)\)\s*\*\*(.+?)\*\*\s*[-:]?\s*(.*?)\s*\|\s*(.*?)\s*\|\s*$"
 ARXIV_ID = r"(\d{4}\.\d{4,5})(?:v\d+)?(?:\.pdf)?/?$"
+HASHTAG_KEYS = ("hashtagName", "hashtag_name")
+BLOCKED = (403, 429)
 
 ITEM = ["source", "title", "raw_score", "comment_count", "url", "ts", "description", "rank"]
 _LENIENT = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE"}
@@ -76,17 +82,84 @@ def reddit_listing(df: DataFrame, limit: int = 40) -> DataFrame:
     kept = posts.where(~flag("stickied") & ~flag("over_18") & ~flag("promoted") & (F.trim(d("title")) != ""))
     kept = kept.withColumn("nth", F.row_number().over(W.partitionBy("feed").orderBy("rank"))).where(F.col("nth") <= limit)
     when = F.when(d("created_utc") != 0, F.timestamp_seconds(d("created_utc")))
-    more = {"subreddit": F.coalesce(d("subreddit"), F.col("feed")), "metrics_verified": F.lit(True), "external_url": d("url_overridden_by_dest")}
+    more = {"subreddit": F.coalesce(d("subreddit"), F.col("feed")), "metrics_verified": F.lit(True), "external_url": d("url_overridden_by_dest"), "feed": F.col("feed")}
     return _items(kept, "reddit", d("title"), F.coalesce(d("score"), F.lit(0.0)), F.concat(F.lit("https://www.reddit.com"), F.coalesce(d("permalink"), F.lit(""))), when, F.coalesce(d("num_comments"), F.lit(0)), F.nullif(F.substring(d("selftext"), 1, 500), F.lit("")), more)
 
 
 def reddit_rss(df: DataFrame) -> DataFrame:
     """Entries of the Atom form of a listing (feed, payload, run_ts): no score, metrics not verified."""
     seen = _entries(df, F.from_xml("payload", f"entry array<struct<title:string,link:{_LINKS},category:struct<_term:string>,updated:string>>", _LENIENT)["entry"])
-    more = {"subreddit": F.coalesce("e.category._term", "feed"), "metrics_verified": F.lit(False), "external_url": F.lit(None).cast("string")}
+    more = {"subreddit": F.coalesce("e.category._term", "feed"), "metrics_verified": F.lit(False), "external_url": F.lit(None).cast("string"), "feed": F.col("feed")}
     return _items(seen, "reddit", F.col("e.title"), F.lit(None), F.get(F.col("e.link"), F.lit(0))["_href"], N.parse_datetime(F.col("e.updated"), F.col("run_ts")), more=more)
 
 
+def reddit_feeds(listings: DataFrame, rss: DataFrame, limit: int = 40) -> DataFrame:
+    """Posts of the feeds of a run, with `nth`, their place: listings first, by score, then entries of the Atom form, by rank.
+
+    listings has a row (feed, place, status, payload, run_ts) for each feed asked, rss a row (feed, payload, run_ts). A listing
+    with a status other than 200 gives way to the Atom form of its feed; after one that was refused (403, 429) the listings
+    of all later feeds do. A feed is one row of each, and a run has some tens of feeds.
+    """
+    refused = F.min(F.when(F.col("status").isin(*BLOCKED), F.col("place"))).over(W.partitionBy("run_ts"))
+    asked = listings.withColumn("_open", (F.col("status") == 200) & F.coalesce(F.col("place") < refused, F.lit(True)))
+    places = asked.select("run_ts", "feed", F.col("place").alias("_place"), "_open")
+    by_rss = rss.join(places.where(~F.col("_open")).select("run_ts", "feed"), ["run_ts", "feed"], "left_semi")
+    posts = reddit_listing(asked.where("_open").select("feed", "payload", "run_ts"), limit).withColumn("_rank", F.lit(999))
+    entries = reddit_rss(by_rss).where(F.col("rank") <= limit).withColumn("_rank", F.col("rank"))
+    # Items carry times of their own: the run comes back by its feed.
+    found = posts.unionByName(entries).join(places.select("feed", "_place", F.col("run_ts").alias("_run")), "feed")
+    best = W.partitionBy("_run").orderBy(F.desc("metrics_verified"), F.desc(F.coalesce("raw_score", F.lit(0.0))), "_rank", "_place", "rank")
+    return found.withColumn("nth", F.row_number().over(best)).drop("_run", "_place", "_rank")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _hashtag_records(text: pd.Series) -> pd.Series:
+    """Objects that name a hashtag, at any depth of a JSON text and in its order; null where it can't be read."""
+
+    def one(t: str | None) -> list[str] | None:
+        try:
+            left = [json.loads(t)] if t else []
+        except ValueError:
+            return None
+        found = []
+        while left:
+            at = left.pop()
+            if isinstance(at, dict) and any(k in at for k in HASHTAG_KEYS):
+                found.append(json.dumps(at))
+            elif isinstance(at, dict | list):
+                left.extend(reversed(list(at.values()) if isinstance(at, dict) else at))
+        return found
+
+    return text.map(one)
+
+
+def tiktok_hashtags(df: DataFrame) -> DataFrame:
+    """Hashtags of pages (page, payload, run_ts) from the JSON that a page holds, else from texts that begin with `#`.
+
+    Of names that differ in case only the first counts, on each page; promoted ones go. The score is the number of views,
+    else of posts, else n - rank + 1. A page whose JSON can't be read yields nothing.
+    """
+    data = F.regexp_extract("payload", r"(?is)<script\b[^>]*\bid\s*=\s*[\"']__NEXT_DATA__[\"'][^>]*>(.*?)</script>", 1)
+    shown = F.regexp_extract_all("payload", F.lit(r"(?U)>(#\s?\w{2,}[^<]*)(?=<)"), F.lit(1))
+    shown = F.transform(shown, lambda x: F.to_json(F.struct(F.btrim(x, F.lit("# \n\t")).alias("hashtagName"))))
+    df = df.withColumn("_found", _hashtag_records(data))
+    names = "hashtagName hashtag_name videoViews video_views publishCnt publish_cnt isPromoted is_promoted rank".split()
+    schema = ", ".join(f"{n} string" for n in names) + ", industryInfo struct<value:string>, industry_info struct<value:string>"
+    seen = _entries(df, F.when(F.size("_found") > 0, F.col("_found")).when(F.size("_found") == 0, shown)).drop("_found")
+    seen = seen.withColumn("r", F.from_json("e", schema))
+    said = lambda k: F.when(~F.col(f"r.{k}").isin("", "0", "0.0", "false"), F.col(f"r.{k}"))
+    name = F.ltrim(F.trim(F.coalesce(*map(said, HASHTAG_KEYS))), F.lit("#"))
+    first = W.partitionBy("page", F.lower("name")).orderBy("rank")
+    kept = seen.withColumn("name", name).where("name <> ''").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    promoted = F.coalesce(said("isPromoted"), said("is_promoted")).isNotNull()
+    views = F.coalesce(said("videoViews"), said("video_views"), said("publishCnt"), F.col("r.publish_cnt")).try_cast("double")
+    url = F.url_encode("name")
+    for sign, plain in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        url = F.replace(url, F.lit(sign), F.lit(plain))
+    more = {"industry": F.coalesce("r.industryInfo.value", "r.industry_info.value"), "shown_rank": F.coalesce(F.col("r.rank").try_cast("int"), "rank")}
+    return _items(kept.where(~promoted), "tiktok", F.concat(F.lit("#"), "name"), F.coalesce(views, _by_place()), F.concat(F.lit("https://www.tiktok.com/tag/"), url), more=more)
+
+
 def google_trends(df: DataFrame) -> DataFrame:
     """Items of the trends feed: the traffic as score, up to three news titles as description, the first news link."""
     schema = "channel struct<item:array<struct<title:string,approx_traffic:string,pubDate:string,news_item:array<struct<news_item_title:string,news_item_url:string>>>>>"
@@ -116,6 +189,19 @@ def arxiv(df: DataFrame) -> DataFrame:
 
 def weekly_papers(df: DataFrame) -> DataFrame:
     """Rows of the newest week in Markdown tables (year, payload, run_ts); links to arXiv papers in their short form."""
+    return _weekly_papers(df).drop("year", "run_ts")
+
+
+def papers_of_the_year(df: DataFrame) -> DataFrame:
+    """Papers of weekly tables (year, payload, run_ts) of the year of the run, where that has none of the year before."""
+    now = F.year("run_ts")
+    found = _weekly_papers(df.where(F.col("year").between(now - 1, now)))
+    # A run reads two tables of a week's papers each.
+    newest = F.max("year").over(W.partitionBy("run_ts"))
+    return found.withColumn("_newest", newest).where("year = _newest").drop("year", "_newest", "run_ts")
+
+
+def _weekly_papers(df: DataFrame) -> DataFrame:
     week = F.regexp_extract("payload", WEEK_HEADING, 1)
     year = F.coalesce(F.nullif(F.regexp_extract("payload", WEEK_HEADING, 2), F.lit("")), F.col("year").cast("string"))
     after = F.get(F.split("payload", WEEK_HEADING, 3), F.lit(1))
@@ -128,7 +214,7 @@ def weekly_papers(df: DataFrame) -> DataFrame:
     link = F.coalesce(F.nullif(F.regexp_extract(part(4), r"(?i)\[Paper\]\((https?://[^)\s]+)\)", 1), F.lit("")), F.nullif(F.regexp_extract(part(4), r"\((https?://[^)\s]+)\)", 1), F.lit("")))
     paper = F.regexp_extract(link, ARXIV_ID, 1)
     url = F.when(paper != "", F.concat(F.lit("https://arxiv.org/abs/"), paper)).otherwise(link)
-    return _items(rows, "ai_papers", plain(part(2)), _by_place(), url, F.col("ends"), description=plain(F.get(F.split(part(3), r"(?i)<br\s*/?>", 2), F.lit(0))))
+    return _items(rows, "ai_papers", plain(part(2)), _by_place(), url, F.col("ends"), description=plain(F.get(F.split(part(3), r"(?i)<br\s*/?>", 2), F.lit(0))), more={"year": F.col("year"), "run_ts": F.col("run_ts")})
 
 
 def _plain(html: Column) -> Column:

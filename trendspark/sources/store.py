@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,6 +93,30 @@ def purge(spark: SparkSession, path: str, to: str, before: float) -> None:
     kept.write.parquet(f"{to}/runs")
 
 
+def cloud_report(spark: SparkSession, runs: DataFrame, cache: str, schema: str, folder: str = "{run}", files: str = "report-*.json") -> DataFrame:
+    """One row (cloud_run, report, note): the last report, by its path, of the newest successful run, or why there is none.
+
+    runs are rows (cloud_run, created_at, status); the reports of a run lie below its folder in the cache, one JSON object of
+    the given schema a file. Only the folder of that run is read. A report without a run_id is not valid.
+    """
+    newest = runs.where("status = 'success'").orderBy(F.desc("created_at"), F.desc("cloud_run")).select("cloud_run").first()
+    none = spark.range(1).select(F.lit(None).cast("string").alias("text"))
+    if newest is None:
+        return none.select(F.lit(None).cast("string").alias("cloud_run"), F.from_json("text", schema).alias("report"), F.lit("no successful run").alias("note"))
+    run = str(newest[0])
+    try:
+        read = spark.read.text(f"{cache}/{folder.format(run=run)}", wholetext=True, recursiveFileLookup=True, pathGlobFilter=files)
+        found = read.agg(F.max_by("value", "_metadata.file_path").alias("text"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = none
+    report = found.select("text", F.from_json("text", schema).alias("report"))
+    valid = F.col("report.run_id").isNotNull()
+    note = F.when(F.col("text").isNull(), f"run {run} has no report").when(~valid, f"the report of run {run} can't be read")
+    return report.select(F.lit(run).alias("cloud_run"), F.when(valid, F.col("report")).alias("report"), note.alias("note"))
+
+
 def write_report(clusters: DataFrame, path: str) -> None:
     """Clusters as JSON lines, one file a task."""
     clusters.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
