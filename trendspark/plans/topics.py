@@ -105,10 +105,9 @@ def _cluster_velocity(s: SparkSession, d: str) -> DataFrame:
 
 
 def _near_groups(s: SparkSession, d: str) -> DataFrame:
-    """Titles of each run: as many items in a row as the caps of all sources let through are one."""
-    run = F.floor((F.col("item_id") - 1) / (I.SOURCE_CAP * len(L.SOURCES)))
-    keys = I.items(s, d).groupBy(run.alias("run_id"), X.dedupe_key(F.col("title")).alias("title_key")).agg(F.min("item_id").alias("first_id"), F.count("*").alias("items"))
-    return G.near_groups(keys).select("run_id", "first_id", "title_key", "items", "root_id")
+    """Titles of the whole table as one run."""
+    keys = I.items(s, d).groupBy(X.dedupe_key(F.col("title")).alias("title_key")).agg(F.min("item_id").alias("first_id"), F.count("*").alias("items"))
+    return G.near_groups(keys.withColumn("run_id", F.lit(0))).select("first_id", "title_key", "items", "root_id")
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
