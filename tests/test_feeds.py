@@ -44,6 +44,18 @@ def test_listing_in_both_forms(payload):
     assert found(feeds.reddit_rss(payload(atom, feed=["x"])), "title", "raw_score", "url", "subreddit", "metrics_verified") == [("T", None, "https://r/1", "news", False)]
 
 
+def test_a_feed_comes_again_in_a_later_run(spark):
+    post = lambda t: json.dumps({"data": {"children": [{"data": {"title": t, "score": 5}}]}})
+    later = NOW + dt.timedelta(hours=1)
+    listings = [("news", 0, 200, post("first"), NOW), ("news", 0, 200, post("second"), later), ("tech", 1, 429, "", later)]
+    atom = "<feed><entry><title>from rss</title></entry></feed>"
+    rss = spark.createDataFrame([("tech", atom, NOW), ("tech", atom, later)], "feed string, payload string, run_ts timestamp")
+    frame = spark.createDataFrame(listings, "feed string, place int, status int, payload string, run_ts timestamp")
+    got = feeds.reddit_feeds(frame, rss)
+    assert "_run" not in got.columns
+    assert sorted(found(got, "title", "feed", "nth")) == [("first", "news", 1), ("from rss", "tech", 2), ("second", "news", 1)]
+
+
 def test_trends_and_news(payload):
     trends = '<rss xmlns:ht="x"><channel><item><title>packers</title><ht:approx_traffic>500K+</ht:approx_traffic><ht:news_item><ht:news_item_title>Win</ht:news_item_title><ht:news_item_url>https://n/1</ht:news_item_url></ht:news_item></item><item><title>a b</title></item></channel></rss>'
     assert found(feeds.google_trends(payload(trends)), "title", "raw_score", "url", "description") == [("packers", 500000.0, "https://n/1", "Win"), ("a b", None, "https://www.google.com/search?q=a+b", None)]

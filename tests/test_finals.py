@@ -1,9 +1,12 @@
 """Merging to the end, every reason of the chain, a run written twice, and where tables are written."""
 
+import random
+
 import pytest
 
 from trendspark import session
 from trendspark.operators import finals as Z
+from trendspark.operators import merging as M
 from trendspark.plans import finals as Q
 from trendspark.sources import store as S
 
@@ -27,8 +30,8 @@ def slow_merge(drafts, linked):
 
     while at := pair():
         a, b = (drafts[k] for k in at)
-        first, second = sorted((a, b), key=lambda d: (-d["members"], -d["relevance"], min(d["of"])))
-        names = list(dict.fromkeys([*first["entities"], *second["entities"]]))[: Z.ENTITIES]
+        first, second = sorted((a, b), key=lambda d: (-d["members"], -d["relevance"]))
+        names = list(dict.fromkeys([*first["entities"], *second["entities"]]))[: M.ENTITIES]
         one = dict(first, of=a["of"] | b["of"], members=a["members"] + b["members"], relevance=max(a["relevance"], b["relevance"]), entities=names)
         drafts = [d for k, d in enumerate(drafts) if k not in at] + [one]
     return sorted((sorted(d["of"]), d["members"], d["relevance"], d["headline"], d["entities"]) for d in drafts)
@@ -48,13 +51,59 @@ def test_drafts_merge_until_none_do(spark):
     df = spark.createDataFrame(rows, "run_id long, draft_id long, members long, relevance int, category string, headline string, entities array<string>")
     for linked in (set(), {(4, 5)}):
         links = spark.createDataFrame(sorted(linked), "left_id long, right_id long")
-        now, home = Z.merged(df, links)
+        now, home = M.merged(df, links)
         of = {}
         for r in home.collect():
             of.setdefault(r["root"], []).append(r["draft_id"])
         got = sorted((sorted(of[r["draft_id"]]), r["members"], r["relevance"], r["headline"], r["entities"]) for r in now.collect())
         assert got == slow_merge([dict(zip(names, r, strict=True)) for r in rows], linked)
-    assert Z.merged(df.where("false"))[0].collect() == []
+    assert M.merged(df.where("false"))[0].collect() == []
+
+
+NAMES = ["run_id", "draft_id", "members", "relevance", "category", "headline", "entities"]
+DRAFTS = "run_id long, draft_id long, members long, relevance int, category string, headline string, entities array<string>"
+
+
+def merged_as_sets(now, home):
+    of = {}
+    for r in home.collect():
+        of.setdefault(r["root"], []).append(r["draft_id"])
+    return sorted((sorted(of[r["draft_id"]]), r["members"], r["relevance"], r["headline"], r["entities"]) for r in now.collect())
+
+
+def test_a_chain_does_not_merge_through_its_middle(spark):
+    rows = [(1, 1, 3, 5, "News", "A", ["one", "two", "three"]), (1, 2, 2, 5, "News", "B", ["two", "three", "four"]), (1, 3, 2, 5, "News", "C", ["three", "four", "five"])]
+    now, home = M.merged(spark.createDataFrame(rows, DRAFTS))
+    assert merged_as_sets(now, home) == [([1, 2], 5, 5, "A", ["one", "two", "three", "four"]), ([3], 2, 5, "C", ["three", "four", "five"])]
+    assert [r["place"] for r in now.orderBy("draft_id").collect()] == [1, 0]  # the merged draft is the last of the list
+
+
+def test_random_runs_merge_as_pair_by_pair(spark):
+    rng = random.Random(5)
+    rows, links = [], set()
+    for run in range(200):
+        own = list(range(run * 100, run * 100 + rng.randint(1, 9)))
+        rows += [(run, k, rng.randint(1, 4), rng.randint(1, 4), "News", f"Headline {rng.randint(0, 6)}", rng.sample("alpha beta gamma delta epsilon zeta eta2 theta".split(), rng.randint(0, 4))) for k in own]
+        links |= {tuple(sorted(rng.sample(own, 2))) for _ in range(rng.randint(0, 6)) if len(own) > 1}
+    frame = spark.createDataFrame(sorted(links), "left_id long, right_id long")
+    got = merged_as_sets(*M.merged(spark.createDataFrame(rows, DRAFTS), frame))
+    want = sorted(x for run in range(200) for x in slow_merge([dict(zip(NAMES, r, strict=True)) for r in rows if r[0] == run], links))
+    assert got == want
+    assert any(len(of) > 2 for of, *_ in want)
+
+
+def test_odd_drafts_merge_with_nothing(spark):
+    rows = [(1, 1, None, None, None, None, None), (1, 2, 1, 1, None, "", []), (1, 3, 1, 1, "News", "the", ["", "a", None]), (None, 4, 1, 1, "News", "x", ["abc"])]
+    now, home = M.merged(spark.createDataFrame(rows, DRAFTS), spark.createDataFrame([(1, 2)], "left_id long, right_id long"))
+    assert sorted(r["draft_id"] for r in now.collect()) == [1, 2, 3, 4]
+    assert all(r["draft_id"] == r["root"] for r in home.collect())
+    M.LARGEST_RUN, was = 1, M.LARGEST_RUN
+    same = [(1, 1, 1, 1, "News", "Rain", []), (1, 2, 1, 1, "News", "Rain", [])]
+    try:
+        with pytest.raises(ValueError):
+            M.merged(spark.createDataFrame(same, DRAFTS))
+    finally:
+        M.LARGEST_RUN = was
 
 
 def test_every_reason_of_the_chain_fires(spark):

@@ -1,4 +1,4 @@
-"""Drafts become clusters: heuristic labels, merging, dropping, clusters of one id, scores with history, the ledger of a run."""
+"""Drafts become clusters: heuristic labels, dropping, clusters of one id, scores with history, the ledger of a run."""
 
 from __future__ import annotations
 
@@ -11,89 +11,6 @@ from trendspark.functions import normalize as N
 from trendspark.functions import prose as P
 from trendspark.functions import text as X
 from trendspark.operators.drafts import LEAST_RELEVANCE, URLS
-from trendspark.operators.graph import connected_components
-from trendspark.session import materialize
-
-ENTITIES, LEAST_KEY = 6, 3
-
-
-def entity_keys(entities: Column) -> Column:
-    keys = F.transform(entities, X.dedupe_key)
-    return F.array_distinct(F.filter(keys, lambda k: F.length(k) >= LEAST_KEY))
-
-
-def mergeable(drafts: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(left_id, right_id): drafts (run_id, draft_id, headline, entities) of one run that tell one story.
-
-    They have the same headline key, or half of all their entity keys in common, or two and all of one side's. Of these pairs
-    only those count that `links` (left_id, right_id) joins, or whose keys are the same, or two and half of all. Drafts
-    meet by key within a run, whose budget bounds them.
-    """
-    keyed = drafts.select("run_id", "draft_id", X.dedupe_key(F.col("headline")).alias("head"), entity_keys(F.col("entities")).alias("keys"))
-    each = keyed.select("run_id", "draft_id", F.size("keys").alias("size"), F.explode("keys").alias("key"))
-    a, b = each.alias("a"), each.alias("b")
-    on = (F.col("a.run_id") == F.col("b.run_id")) & (F.col("a.draft_id") < F.col("b.draft_id"))
-    pair = [F.col("a.draft_id").alias("left_id"), F.col("b.draft_id").alias("right_id")]
-    shared = a.join(b, on & (F.col("a.key") == F.col("b.key"))).groupBy(*pair)
-    shared = shared.agg(F.count("*").alias("shared"), F.first("a.size").alias("sa"), F.first("b.size").alias("sb"))
-    a, b = keyed.where("head <> ''").alias("a"), keyed.alias("b")
-    same = a.join(b, on & (F.col("a.head") == F.col("b.head"))).select(*pair, F.lit(True).alias("same"))
-    both = shared.join(same, ["left_id", "right_id"], "full")
-    n, total = F.coalesce("shared", F.lit(0)), F.coalesce(F.col("sa") + F.col("sb") - F.col("shared"), F.lit(1))
-    half = n * 2 >= total
-    alike = F.coalesce("same", F.lit(False)) | half | ((n >= 2) & (n == F.least("sa", "sb")))
-    both = both.where(alike).withColumn("strict", F.coalesce((n == F.col("sa")) & (n == F.col("sb")), F.lit(False)) | (half & (n >= 2)))
-    if links is not None:
-        ends = links.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")).distinct()
-        both = both.join(ends.withColumn("linked", F.lit(True)), ["left_id", "right_id"], "left").where(F.col("strict") | F.coalesce("linked", F.lit(False)))
-    return both.select("left_id", "right_id")
-
-
-def merge_groups(drafts: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(draft_id, root): the smallest draft that each one merges with, by pairs and pairs of pairs; itself if with none."""
-    found = connected_components(mergeable(drafts, links), "left_id", "right_id").withColumnRenamed("node", "draft_id")
-    return drafts.select("draft_id").join(found, "draft_id", "left").select("draft_id", F.coalesce("component", "draft_id").alias("root"))
-
-
-def merge_drafts(drafts: DataFrame, groups: DataFrame) -> DataFrame:
-    """The drafts (run_id, draft_id, members, relevance, category, headline, entities) of a root as one, named by it.
-
-    What is said of it is the draft's with most members (then relevance, then the first); the category that most members
-    have; the first ENTITIES distinct entities in that order; the greatest relevance.
-    """
-    order = F.struct(-F.col("members"), -F.col("relevance"), F.col("draft_id"))
-    d = drafts.join(groups, "draft_id").withColumn("nth", order)
-    plain = d.groupBy("run_id", "root").agg(F.sum("members").alias("members"), F.max("relevance").alias("relevance"), F.min_by("headline", "nth").alias("headline"))
-    votes = d.groupBy("root", "category").agg(F.sum("members").alias("n"), F.min("nth").alias("first"))
-    category = votes.groupBy("root").agg(F.min_by("category", F.struct(-F.col("n"), F.col("first"))).alias("category"))
-    named = d.select("root", "nth", F.posexplode("entities").alias("pos", "entity")).withColumn("key", X.dedupe_key(F.col("entity"))).where("key <> ''")
-    named = named.groupBy("root", "key").agg(F.min(F.struct("nth", "pos", "entity")).alias("first"))
-    nth = F.row_number().over(W.partitionBy("root").orderBy("first"))
-    named = named.withColumn("place", nth).where(F.col("place") <= ENTITIES)
-    entities = named.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "first.entity"))), lambda s: s["entity"]).alias("entities"))
-    out = plain.join(category, "root").join(entities, "root", "left").withColumnRenamed("root", "draft_id")
-    return out.withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
-
-
-def merged(drafts: DataFrame, links: DataFrame | None = None, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """The drafts merged until none merge any more, and (draft_id, root) of all that came in.
-
-    All pairs of a round merge at once, so a group of three and more is named by its largest draft; merged one after the
-    other, the pair formed first would name it if the two have more members together.
-    """
-    now, home = materialize(drafts, "drafts"), drafts.select("draft_id", F.col("draft_id").alias("root"))
-    for _ in range(rounds):
-        groups = materialize(merge_groups(now, links), "draft-groups")
-        if groups.where("draft_id <> root").isEmpty():
-            break
-        now = materialize(merge_drafts(now, groups), "drafts")
-        step = groups.select(F.col("draft_id").alias("was"), F.col("root").alias("new"))
-        home = materialize(home.join(step, F.col("root") == F.col("was")).select("draft_id", F.col("new").alias("root")), "draft-homes")
-        if links is not None:
-            ends = links.join(step, F.col("left_id") == F.col("was")).select(F.col("new").alias("left_id"), "right_id")
-            links = ends.join(step, F.col("right_id") == F.col("was")).select("left_id", F.col("new").alias("right_id")).where("left_id <> right_id").distinct()
-    return now, home
-
 
 def heuristic_relevance(members: DataFrame) -> DataFrame:
     """(draft_id, relevance): 1 to 10 from the mean score of the members and the number of their sources."""

@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendspark.session import materialize
 
 
+#: Up to so many edges one task links; rounds of joins cost more than that.
+SMALL = 100_000
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges of the one partition, by pointers to smaller nodes that are halved until they rest."""
+    some = [b for b in batches if b.num_rows]
+    if not some:
+        return
+    t = pa.Table.from_batches(some)
+    nodes, ends = np.unique(np.concatenate([t["u"].to_numpy(), t["v"].to_numpy()]), return_inverse=True)
+    a, b = ends[: t.num_rows], ends[t.num_rows :]
+    root = np.arange(len(nodes))
+    while len(a):
+        high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while not np.array_equal(root, up := root[root]):
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[root], pa.int64())], names=["node", "component"])
+
+
 def _mins(edges: DataFrame) -> DataFrame:
     # Written out, so that the join below shuffles both sides by itself and AQE may split a hub's rows.
     return materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-min")
@@ -33,11 +60,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component) for every node that an edge names; component is the smallest node reached.
 
     Self loops and rows with a null end join nothing and yield no row. Repeated edges count once.
-    Edges stay distributed; each round costs two joins on the node, and rounds grow with the log of the diameter.
+    Up to SMALL edges are linked in one task; more stay distributed: each round costs two joins on the node, and rounds grow with the log of the diameter.
     """
     now = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v").distinct()
     now = materialize(now, "cc-edges")
     before = _state(now)
+    if 0 < before[0] <= SMALL:
+        return materialize(now.coalesce(1).mapInArrow(_linked, "node long, component long"), "cc-small-graph")
     for _ in range(max_rounds):
         if not before[0]:
             break

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trendspark.functions import text as X
 from trendspark.functions.lexicon import DEFAULT_WEIGHT, SOCIAL, SOURCE_WEIGHTS, SOURCES
+from trendspark.operators.links import meetings, shares
 from trendspark.session import materialize, table
 
 SOURCE_CAP, BUDGET, FLOOR = 40, 150, 6
@@ -96,13 +97,12 @@ def select_budget(df: DataFrame, cap: int = BUDGET, floor: int = FLOOR) -> DataF
 def link_pairs(df: DataFrame) -> DataFrame:
     """Pairs of items that share at least two tokens which at most the cap of items have, with jaccard of 0.25 or more.
 
-    The cap bounds the pairs of a token; the sides of a pair meet by token, never all with all.
+    The cap is a tenth of the items, 12 at least; the sides of a pair meet by token, never all with all.
     """
-    words = df.select("item_id", F.explode("tokens").alias("token"), F.size("tokens").alias("size"))
-    rare = words.groupBy("token").count().where("count <= 12").select("token")
-    kept = words.join(rare, "token")
-    a, b = kept.alias("a"), kept.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.item_id") < F.col("b.item_id")))
-    shared = pairs.groupBy(F.col("a.item_id").alias("left_id"), F.col("b.item_id").alias("right_id")).agg(F.count("*").alias("shared"), F.first("a.size").alias("sa"), F.first("b.size").alias("sb"))
+    words = materialize(df.select("item_id", F.explode("tokens").alias("token"), F.size("tokens").alias("size")), "item-tokens")
+    cap = df.agg(shares(F.count("*"))[2].alias("cap"))
+    rare = words.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(cap)).where("df <= cap").drop("cap")  # one row
+    met = meetings(words.join(rare, "token"), ["token"], ["size"])
+    shared = met.groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), F.first("left_size").alias("sa"), F.first("right_size").alias("sb"))
     jaccard = F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))
     return shared.where((F.col("shared") >= 2) & (jaccard >= 0.25)).select("left_id", "right_id", "shared", F.round(jaccard, 6).alias("jaccard"))

@@ -95,7 +95,7 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "token_link_pairs": (
             lambda s, d: I.link_pairs(I.exact_groups(I.items(s, d)).select("item_id", sig().alias("tokens"))),
             f"""WITH {_GROUPS}, t AS (SELECT item_id, {_SIG} AS tokens FROM grouped), words AS (SELECT item_id, unnest(tokens) AS token, len(tokens) AS size FROM t),
-            rare AS (SELECT token FROM words GROUP BY 1 HAVING count(*) <= 12), kept AS (SELECT * FROM words JOIN rare USING (token))
+            rare AS (SELECT token FROM words GROUP BY 1 HAVING count(*) <= (SELECT greatest(12, floor(0.10e0 * count(*))) FROM grouped)), kept AS (SELECT * FROM words JOIN rare USING (token))
             SELECT a.item_id AS left_id, b.item_id AS right_id, count(*) AS shared, round(count(*) / CAST(any_value(a.size) + any_value(b.size) - count(*) AS DOUBLE), 6) AS jaccard
             FROM kept a JOIN kept b ON a.token = b.token AND a.item_id < b.item_id GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) / CAST(any_value(a.size) + any_value(b.size) - count(*) AS DOUBLE) >= 0.25""",
         ),

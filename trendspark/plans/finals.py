@@ -14,9 +14,10 @@ from trendspark.operators import drafts as D
 from trendspark.operators import finals as Z
 from trendspark.operators import history as H
 from trendspark.operators import labels as V
+from trendspark.operators import merging as M
 from trendspark.plans.catalogue import _COUNTS, _KEY, _MOMENTUM, _NEAR, _SIG, _list
 from trendspark.plans.clusters import _DRAFTS, _MEMBERS, _ROLLUP, _normal, _q
-from trendspark.session import table
+from trendspark.session import materialize, table
 
 #: Titles that set off one rule of the chain each, in its order, some that set off none, and the feed of each.
 PLANTED = [
@@ -67,23 +68,38 @@ hints AS (SELECT draft_id, coalesce(hint, 'News') AS category, count(*) AS n, mi
 modes AS (SELECT draft_id, category FROM hints QUALIFY row_number() OVER (PARTITION BY draft_id ORDER BY n DESC, first) = 1),
 dr AS (SELECT draft_id, o_custkey AS run_id, 'Orders of ' || strftime(o_orderdate, '%Y-%m') || ' by ' || o_orderpriority AS headline, members, llm_relevance AS relevance, raw_items, best_score, sources, entities, category
   FROM rollup JOIN named USING (draft_id) JOIN modes USING (draft_id) JOIN orders ON o_orderkey = draft_id)"""
-_MERGE = f"""{_BRANDED}, keyed AS (SELECT run_id, draft_id, {_KEY.replace('title', 'headline')} AS head, list_distinct(list_filter(list_transform(entities, lambda e: {_KEY.replace('title', 'e')}), lambda k: length(k) >= {Z.LEAST_KEY})) AS keys FROM dr),
-linked AS (SELECT DISTINCT a.l_orderkey AS l, b.l_orderkey AS r FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey AND a.l_orderkey < b.l_orderkey JOIN orders x ON x.o_orderkey = a.l_orderkey JOIN orders y ON y.o_orderkey = b.l_orderkey WHERE x.o_custkey = y.o_custkey),
-pairs AS (SELECT a.draft_id AS l, b.draft_id AS r, a.head = b.head AND a.head <> '' AS same, len(list_intersect(a.keys, b.keys)) AS n, len(a.keys) AS sa, len(b.keys) AS sb FROM keyed a JOIN keyed b ON a.run_id = b.run_id AND a.draft_id < b.draft_id),
-edges AS (SELECT l, r FROM pairs LEFT JOIN (SELECT l, r, true AS linked FROM linked) USING (l, r)
-  WHERE (same OR n > 0 AND 2 * n >= sa + sb - n OR n >= 2 AND n = least(sa, sb)) AND (linked OR sa > 0 AND n = sa AND n = sb OR n >= 2 AND 2 * n >= sa + sb - n)),
-sym AS (SELECT l AS a, r AS b FROM edges UNION SELECT r, l FROM edges), reach AS (SELECT draft_id AS draft, draft_id AS root FROM dr UNION SELECT b, root FROM reach JOIN sym ON a = draft WHERE root < b),
-grouped AS (SELECT draft AS draft_id, min(root) AS root FROM reach GROUP BY 1)"""
-
-
-def _groups(s: SparkSession, d: str) -> DataFrame:
-    return Z.merge_groups(drafts(s, d), links(s, d))
+_TEXT_KEY = _KEY.replace("title", "e")
+#: The list of each run after every step: a run's first pair that merges leaves it, and the merged draft comes to its end.
+_MERGE = f"""{_BRANDED}, linked AS (SELECT DISTINCT a.l_orderkey AS l, b.l_orderkey AS r FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey AND a.l_orderkey <> b.l_orderkey
+  JOIN orders x ON x.o_orderkey = a.l_orderkey JOIN orders y ON y.o_orderkey = b.l_orderkey WHERE x.o_custkey = y.o_custkey),
+near AS (SELECT l AS draft_id, list(r) AS near FROM linked GROUP BY 1),
+state AS (
+  SELECT run_id, 0 AS step, row_number() OVER (PARTITION BY run_id ORDER BY draft_id) AS place, [draft_id] AS parts, coalesce(near, []) AS near, members, relevance, category, headline,
+    {_KEY.replace("title", "headline")} AS head, list_transform(entities, lambda e: {{'e': e, 'k': {_TEXT_KEY}}}) AS named FROM dr LEFT JOIN near USING (draft_id)
+  UNION ALL
+  SELECT * FROM (
+    WITH keyed AS (SELECT *, list_distinct(list_filter(list_transform(named, lambda n: n.k), lambda k: length(k) >= {M.LEAST_KEY})) AS keys, max(place) OVER (PARTITION BY run_id) + 1 AS last FROM state),
+    met AS (SELECT a.run_id, a.place AS i, b.place AS j, a.head = b.head AND a.head <> '' AS same, len(list_intersect(a.keys, b.keys)) AS n, len(a.keys) AS sa, len(b.keys) AS sb, list_has_any(a.near, b.parts) AS linked
+      FROM keyed a JOIN keyed b ON a.run_id = b.run_id AND a.place < b.place),
+    first AS (SELECT run_id, i, j FROM met WHERE (same OR n > 0 AND 2 * n >= sa + sb - n OR n >= 2 AND n = least(sa, sb)) AND (linked OR sa > 0 AND n = sa AND n = sb OR n >= 2 AND 2 * n >= sa + sb - n)
+      QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY i, j) = 1),
+    two AS (SELECT a AS a, b AS b, (b.members, b.relevance) > (a.members, a.relevance) AS turned FROM first f JOIN keyed a ON a.run_id = f.run_id AND a.place = i JOIN keyed b ON b.run_id = f.run_id AND b.place = j),
+    led AS (SELECT CASE WHEN turned THEN b ELSE a END AS x, CASE WHEN turned THEN a ELSE b END AS y FROM two)
+    SELECT k.run_id, step + 1, place, parts, near, members, relevance, category, headline, head, named FROM keyed k JOIN first f ON k.run_id = f.run_id AND place <> i AND place <> j
+    UNION ALL
+    SELECT x.run_id, x.step + 1, x.last, list_concat(x.parts, y.parts), list_concat(x.near, y.near), x.members + y.members, greatest(x.relevance, y.relevance), x.category, x.headline, x.head,
+      list_filter(list_concat(x.named, y.named), lambda n, nth: n.k <> '' AND list_position(list_transform(list_concat(x.named, y.named), lambda m: m.k), n.k) = nth)[1:{M.ENTITIES}] FROM led)),
+done AS (SELECT * FROM state QUALIFY step = max(step) OVER (PARTITION BY run_id))"""
+
+
+def merging(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Drafts of orders and the drafts that their links lead to; both are written once, for they are read several times."""
+    return M.merged(materialize(drafts(s, d), "order-drafts"), materialize(links(s, d), "order-links"))
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:
-    df = drafts(s, d)
-    out = Z.merge_drafts(df, Z.merge_groups(df, links(s, d)))
-    return out.select("run_id", "draft_id", "members", "relevance", "category", "headline", F.array_join("entities", ",").alias("entities"))
+    now, _ = merging(s, d)
+    return now.select("run_id", "draft_id", "members", "relevance", "category", "headline", F.array_join("entities", ",").alias("entities"))
 
 
 def _clusters(s: SparkSession, d: str) -> DataFrame:
@@ -194,19 +210,13 @@ def _chain_sql() -> str:
 
 
 def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
-    order = "d.members DESC, d.relevance DESC, d.draft_id"
     momentum = _MOMENTUM.replace("velocity", "shown")
     return {
-        "draft_merge_groups": (_groups, f"WITH RECURSIVE {_MERGE} SELECT draft_id, root FROM grouped"),
+        "draft_merge_groups": (lambda s, d: merging(s, d)[1], f"WITH RECURSIVE {_MERGE} SELECT unnest(parts) AS draft_id, list_min(parts) AS root FROM done"),
         "merged_drafts": (
             _merged,
-            f"""WITH RECURSIVE {_MERGE}, d AS (SELECT * FROM dr JOIN grouped USING (draft_id)), votes AS (SELECT root, category, sum(members) AS n, min(place) AS first FROM (SELECT d.*, row_number() OVER (PARTITION BY root ORDER BY {order}) AS place FROM d) GROUP BY 1, 2),
-            cat AS (SELECT root, category FROM votes QUALIFY row_number() OVER (PARTITION BY root ORDER BY n DESC, first) = 1),
-            said AS (SELECT root, entity, {_KEY.replace('title', 'entity')} AS key, place, pos FROM (SELECT root, row_number() OVER (PARTITION BY root ORDER BY {order}) AS place, unnest(entities) AS entity, generate_subscripts(entities, 1) AS pos FROM d)),
-            met AS (SELECT * FROM said WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY root, key ORDER BY place, pos) = 1),
-            ents AS (SELECT root, string_agg(entity, ',' ORDER BY place, pos) AS entities FROM (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY root ORDER BY place, pos) <= {Z.ENTITIES}) GROUP BY 1)
-            SELECT min(run_id) AS run_id, root AS draft_id, CAST(sum(members) AS BIGINT) AS members, max(relevance) AS relevance, any_value(cat.category) AS category, first(headline ORDER BY {order}) AS headline, any_value(ents.entities) AS entities
-            FROM d JOIN cat USING (root) JOIN ents USING (root) GROUP BY root""",
+            f"""WITH RECURSIVE {_MERGE} SELECT run_id, list_min(parts) AS draft_id, CAST(members AS BIGINT) AS members, relevance, category, headline,
+            array_to_string(list_transform(named, lambda n: n.e), ',') AS entities FROM done""",
         ),
         "final_clusters": (
             _clusters,

@@ -25,15 +25,15 @@ REPORT = "run_id string, started_at double, headlines array<string>"
 
 
 def reddit_fallback(s: SparkSession, d: str) -> DataFrame:
-    """Orders as posts of feeds, five feeds a run: some refused, some out of order."""
+    """Orders as posts of feeds: the same five feeds in every run, some refused, some out of order."""
     no, k = F.col("no"), F.col("k")
     entry = {"title": _text("Post ", k), "score": F.col("price"), "created_utc": F.col("secs").cast("double")}
     data = lambda es: F.struct(F.struct(F.transform(es, lambda e: F.struct(e.alias("data"))).alias("children")).alias("data"))
     at = F.timestamp_seconds(F.floor(no / FEEDS) + START)
     status = F.when(no % 7 == 3, 429).when(no % 11 == 4, 500).otherwise(200)
-    listings = _json(_orders(s, d), entry, data).select(no.cast("string").alias("feed"), (no % FEEDS).alias("place"), status.alias("status"), "payload", at.alias("run_ts"))
+    listings = _json(_orders(s, d), entry, data).select((no % FEEDS).cast("string").alias("feed"), (no % FEEDS).alias("place"), status.alias("status"), "payload", at.alias("run_ts"))
     atom = _text("<entry><title>Post ", k, '</title><link href="https://www.reddit.com/', k, '"/><updated>', F.col("iso"), "</updated></entry>")
-    rss = _xml(_orders(s, d), atom, "<feed>", "</feed>").select(no.cast("string").alias("feed"), "payload", at.alias("run_ts"))
+    rss = _xml(_orders(s, d), atom, "<feed>", "</feed>").select((no % FEEDS).cast("string").alias("feed"), "payload", at.alias("run_ts"))
     return feeds.reddit_feeds(listings, rss).select("title", "raw_score", "metrics_verified", "feed", "nth")
 
 
@@ -131,7 +131,7 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]
             reddit_fallback,
             f"""WITH {_ORDERS}, f AS (SELECT DISTINCT no, no // {FEEDS} AS run, no % {FEEDS} AS spot, CASE WHEN no % 7 = 3 THEN 429 WHEN no % 11 = 4 THEN 500 ELSE 200 END AS status FROM o),
             g AS (SELECT *, status = 200 AND coalesce(spot < min(spot) FILTER (status = 429) OVER (PARTITION BY run), true) AS opened FROM f)
-            SELECT 'Post ' || k AS title, CASE WHEN opened THEN price END AS raw_score, opened AS metrics_verified, CAST(no AS VARCHAR) AS feed,
+            SELECT 'Post ' || k AS title, CASE WHEN opened THEN price END AS raw_score, opened AS metrics_verified, CAST(no % {FEEDS} AS VARCHAR) AS feed,
               CAST(row_number() OVER (PARTITION BY run ORDER BY opened DESC, CASE WHEN opened THEN price ELSE 0 END DESC, CASE WHEN opened THEN 999 ELSE place END, spot, place) AS INT) AS nth FROM o JOIN g USING (no)""",
         ),
         "feed_tiktok": (

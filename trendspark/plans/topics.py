@@ -26,7 +26,7 @@ DRAFT, PATTERNS = 8, {"Sports": r"\bth[a-z]*", "Tech": r"\b(?:in|on)[a-z]+", "Ne
 _D = f"""{_ITEMS}, clean AS (SELECT item_id, source, raw_score AS score, {_normal('title')} AS title, (item_id - 1) // {DRAFT} AS draft_id FROM items),
 mem AS (SELECT *, {_KEY} AS text_key, {_SIG} AS tokens FROM clean)"""
 _TOK = f"""{_D}, words AS (SELECT item_id, draft_id, len(tokens) AS size, unnest(tokens) AS token FROM mem),
-caps AS (SELECT greatest(4, floor(0.06e0 * n)) AS rare_cap, greatest(6, floor(0.10e0 * n)) AS short_cap FROM (SELECT least(count(*), {K.SHARE_STOPS}) AS n FROM mem)),
+caps AS (SELECT greatest(4, floor(0.06e0 * n)) AS rare_cap, greatest(6, floor(0.10e0 * n)) AS short_cap FROM (SELECT count(*) AS n FROM mem)),
 dfs AS (SELECT token, count(*) AS df FROM words GROUP BY 1), tok AS (SELECT w.*, df, rare_cap, short_cap, greatest(short_cap, 12) AS join_cap FROM words w JOIN dfs USING (token) CROSS JOIN caps)"""
 
 

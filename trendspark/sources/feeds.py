@@ -48,15 +48,19 @@ def _entries(df: DataFrame, column: Column) -> DataFrame:
     return df.withColumn("entries", column).select("*", F.posexplode("entries").alias("pos", "e")).withColumn("rank", F.col("pos") + 1).withColumn("n", F.size("entries")).drop("entries", "payload")
 
 
+def _run(name: str | None) -> dict[str, Column]:
+    return {name: F.col("run_ts")} if name else {}
+
+
 def _by_place() -> Column:
     return F.col("n") - F.col("rank") + 1
 
 
 def hacker_news(df: DataFrame) -> DataFrame:
-    """Hits of search responses (query_no, payload, run_ts): one row for each objectID, of the first query that has it."""
+    """Hits of search responses (query_no, payload, run_ts): one row for each objectID of a run, of the first query that has it."""
     schema = "hits array<struct<objectID:string,title:string,story_title:string,url:string,points:double,num_comments:long,created_at_i:long>>"
     hits = _entries(df, F.from_json("payload", schema)["hits"]).where("e.objectID <> ''")
-    first = hits.withColumn("nth", F.row_number().over(W.partitionBy("e.objectID").orderBy("query_no", "rank"))).where("nth = 1")
+    first = hits.withColumn("nth", F.row_number().over(W.partitionBy("run_ts", "e.objectID").orderBy("query_no", "rank"))).where("nth = 1")
     e = lambda f: F.col(f"e.{f}")
     page = F.concat(F.lit("https://news.ycombinator.com/item?id="), e("objectID"))
     return _items(first, "hackernews", F.coalesce(F.nullif(e("title"), F.lit("")), e("story_title")), F.coalesce(e("points"), F.lit(0.0)), F.coalesce(F.nullif(e("url"), F.lit("")), page), F.timestamp_seconds(e("created_at_i")), F.coalesce(e("num_comments"), F.lit(0)))
@@ -73,23 +77,26 @@ def wikipedia_top(df: DataFrame, lang: str = "en", cap: int = 40) -> DataFrame:
     return _items(seen, "wikipedia", F.replace(F.col("e.article"), F.lit("_"), F.lit(" ")), F.coalesce("e.views", F.lit(0.0)), url, closing)
 
 
-def reddit_listing(df: DataFrame, limit: int = 40) -> DataFrame:
-    """Posts of listings (feed, payload, run_ts) but stickied, adult and promoted ones; the first `limit` of a feed."""
+def reddit_listing(df: DataFrame, limit: int = 40, run: str | None = None) -> DataFrame:
+    """Posts of listings (feed, payload, run_ts) but stickied, adult and promoted ones; the first `limit` of a feed in a run.
+
+    run: a column that names the payload's run, beside the times of the posts.
+    """
     post = "struct<title:string,score:double,num_comments:long,permalink:string,created_utc:double,selftext:string,subreddit:string,stickied:boolean,over_18:boolean,promoted:boolean,is_self:boolean,url_overridden_by_dest:string>"
     posts = _entries(df, F.from_json("payload", f"data struct<children:array<struct<data:{post}>>>")["data"]["children"])
     d = lambda f: F.col(f"e.data.{f}")
     flag = lambda f: F.coalesce(d(f), F.lit(False))
     kept = posts.where(~flag("stickied") & ~flag("over_18") & ~flag("promoted") & (F.trim(d("title")) != ""))
-    kept = kept.withColumn("nth", F.row_number().over(W.partitionBy("feed").orderBy("rank"))).where(F.col("nth") <= limit)
+    kept = kept.withColumn("nth", F.row_number().over(W.partitionBy("run_ts", "feed").orderBy("rank"))).where(F.col("nth") <= limit)
     when = F.when(d("created_utc") != 0, F.timestamp_seconds(d("created_utc")))
-    more = {"subreddit": F.coalesce(d("subreddit"), F.col("feed")), "metrics_verified": F.lit(True), "external_url": d("url_overridden_by_dest"), "feed": F.col("feed")}
+    more = {"subreddit": F.coalesce(d("subreddit"), F.col("feed")), "metrics_verified": F.lit(True), "external_url": d("url_overridden_by_dest"), "feed": F.col("feed")} | _run(run)
     return _items(kept, "reddit", d("title"), F.coalesce(d("score"), F.lit(0.0)), F.concat(F.lit("https://www.reddit.com"), F.coalesce(d("permalink"), F.lit(""))), when, F.coalesce(d("num_comments"), F.lit(0)), F.nullif(F.substring(d("selftext"), 1, 500), F.lit("")), more)
 
 
-def reddit_rss(df: DataFrame) -> DataFrame:
+def reddit_rss(df: DataFrame, run: str | None = None) -> DataFrame:
     """Entries of the Atom form of a listing (feed, payload, run_ts): no score, metrics not verified."""
     seen = _entries(df, F.from_xml("payload", f"entry array<struct<title:string,link:{_LINKS},category:struct<_term:string>,updated:string>>", _LENIENT)["entry"])
-    more = {"subreddit": F.coalesce("e.category._term", "feed"), "metrics_verified": F.lit(False), "external_url": F.lit(None).cast("string"), "feed": F.col("feed")}
+    more = {"subreddit": F.coalesce("e.category._term", "feed"), "metrics_verified": F.lit(False), "external_url": F.lit(None).cast("string"), "feed": F.col("feed")} | _run(run)
     return _items(seen, "reddit", F.col("e.title"), F.lit(None), F.get(F.col("e.link"), F.lit(0))["_href"], N.parse_datetime(F.col("e.updated"), F.col("run_ts")), more=more)
 
 
@@ -102,12 +109,11 @@ def reddit_feeds(listings: DataFrame, rss: DataFrame, limit: int = 40) -> DataFr
     """
     refused = F.min(F.when(F.col("status").isin(*BLOCKED), F.col("place"))).over(W.partitionBy("run_ts"))
     asked = listings.withColumn("_open", (F.col("status") == 200) & F.coalesce(F.col("place") < refused, F.lit(True)))
-    places = asked.select("run_ts", "feed", F.col("place").alias("_place"), "_open")
-    by_rss = rss.join(places.where(~F.col("_open")).select("run_ts", "feed"), ["run_ts", "feed"], "left_semi")
-    posts = reddit_listing(asked.where("_open").select("feed", "payload", "run_ts"), limit).withColumn("_rank", F.lit(999))
-    entries = reddit_rss(by_rss).where(F.col("rank") <= limit).withColumn("_rank", F.col("rank"))
-    # Items carry times of their own: the run comes back by its feed.
-    found = posts.unionByName(entries).join(places.select("feed", "_place", F.col("run_ts").alias("_run")), "feed")
+    places = asked.select(F.col("run_ts").alias("_run"), "feed", F.col("place").alias("_place"), "_open")
+    closed = places.where(~F.col("_open")).select(F.col("_run").alias("run_ts"), "feed")
+    posts = reddit_listing(asked.where("_open").select("feed", "payload", "run_ts"), limit, "_run").withColumn("_rank", F.lit(999))
+    entries = reddit_rss(rss.join(closed, ["run_ts", "feed"], "left_semi"), "_run").where(F.col("rank") <= limit).withColumn("_rank", F.col("rank"))
+    found = posts.unionByName(entries).join(places.drop("_open"), ["_run", "feed"])  # a feed comes again in every run
     best = W.partitionBy("_run").orderBy(F.desc("metrics_verified"), F.desc(F.coalesce("raw_score", F.lit(0.0))), "_rank", "_place", "rank")
     return found.withColumn("nth", F.row_number().over(best)).drop("_run", "_place", "_rank")
 
