@@ -126,9 +126,6 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "lexical_components": (lambda s, d: K.lexical_groups(members(s, d)), f"WITH RECURSIVE {_TOK}, {_pairs('AND a.df <= a.join_cap', _LEXICAL)}, {_REACH} SELECT item AS item_id, min(root) AS group_id FROM reach GROUP BY 1"),
         "linked_pairs_in_drafts": (lambda s, d: K.linked(K.shared_tokens(members(s, d), within="draft_id")).select("left_id", "right_id"), f"WITH {_TOK}, {_pairs('AND a.draft_id = b.draft_id', _LINKED)} SELECT l AS left_id, r AS right_id FROM edges"),
         "near_duplicate_groups": (_near_groups, None),
-        "density_groups": (lambda s, d: G.vector_groups(table(s, d, "embeddings"), "label"), None),
-        "threshold_groups": (lambda s, d: G.vector_groups(table(s, d, "embeddings"), "label", "threshold"), None),
-        "cosine_gate_iterative": (lambda s, d: G.vector_groups(table(s, d, "embeddings"), "label", "given", 0.1), None),
         "draft_names": (lambda s, d: V.draft_entities(members(s, d)), f"WITH {_D}, {_NAMES} SELECT draft_id, entity, n, nth FROM names"),
         "entity_mentions": (lambda s, d: K.mentions(members(s, d), entities(members(s, d))), f"WITH {_D}, {_NAMES} SELECT item_id, entity_key FROM mentions"),
         "entity_cooccurrence": (lambda s, d: K.cooccurring(K.mentions(members(s, d), entities(members(s, d))), entities(members(s, d))), f"WITH {_D}, {_NAMES} SELECT draft_id, left_key, right_key FROM together"),
