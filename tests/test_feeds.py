@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendspark.functions import normalize as N
-from trendspark.sources import feeds
+from trendspark.sources import feeds, ingest
 
 NOW = dt.datetime(2026, 9, 25, 12)
 
@@ -97,3 +97,33 @@ def test_normal_forms(spark):
     df = spark.createDataFrame([(" – Café &amp; bar!!!! https://a.b/c x… ", "#JordanLove", "#GBvsATL", "Thu, 24 Sep 2026 10:00:00 +0000", ["1", "#2", "x"], "7.5")], ["t", "h", "g", "d", "i", "r"])
     got = df.select(N.normalize_text(F.col("t")), N.split_hashtag(F.col("h")), N.split_hashtag(F.col("g")), N.parse_datetime(F.col("d"), F.lit(NOW)), N.coerce_ids(F.col("i")), N.relevance(F.col("r")), N.relevance(F.lit("much"))).first()
     assert tuple(got) == ("Cafe & bar! x.", "Jordan Love", "GB vs ATL", dt.datetime(2026, 9, 24, 10), [1, 2], 8, 5)
+
+
+PAYLOADS = "run_id long, source string, place int, part string, form string, status int, error string, payload string, run_ts timestamp"
+
+
+def test_sources_that_fail_have_a_row_of_their_own(spark):
+    news = lambda t: f"<?xml version='1.0'?><rss><channel><item><title>{t}</title></item></channel></rss>"
+    hits = lambda *ks: json.dumps({"hits": [{"objectID": k, "title": f"story {k}", "points": 1} for k in ks]})
+    post = json.dumps({"data": {"children": [{"data": {"title": "post", "score": 3}}]}})
+    later = NOW + dt.timedelta(hours=1)
+    rows = [
+        (1, "google_news", 0, None, None, 200, None, news("a"), NOW), (1, "google_news", 1, None, None, 200, None, "<rss><channel>", NOW), (2, "google_news", 0, None, None, 200, None, news("b"), later),
+        (1, "hackernews", 0, "0", None, 200, None, "nothing", NOW), (1, "hackernews", 1, "1", None, 200, None, hits("x", "y", "z"), NOW), (2, "hackernews", 0, "0", None, 503, None, hits("x"), later), (2, "hackernews", 1, "1", None, 200, "timed out", None, later),
+        (1, "wikipedia", 0, "2024-01-02", None, 404, None, None, NOW), (1, "wikipedia", 1, "2024-01-01", None, 200, None, '{"items": []}', NOW), (1, "github", 0, None, None, 200, None, "<html></html>", NOW),
+        (1, "reddit", 0, "news", "json", 429, None, "", NOW), (1, "reddit", 0, "news", "rss", 200, None, "<feed><entry><title>from rss</title></entry></feed>", NOW), (2, "reddit", 0, "news", "json", 200, None, post, later),
+        (1, "other", 0, None, None, 200, None, "x", NOW),
+    ]
+    df = spark.createDataFrame(rows, PAYLOADS)
+    items, stats = ingest.ingest(df, cap=2)
+    assert {(r["run_id"], r["source"]): (r["ok"], r["item_count"], r["error"]) for r in stats.collect()} == {
+        (1, "google_news"): (False, 0, "invalid XML"), (2, "google_news"): (True, 1, None), (1, "hackernews"): (True, 2, None), (2, "hackernews"): (False, 0, "0: HTTP 503; 1: timed out"), (1, "wikipedia"): (True, 0, None),
+        (1, "github"): (False, 0, "no items"), (1, "reddit"): (True, 1, None), (2, "reddit"): (True, 1, None),
+    }
+    got = [(r["run_id"], r["source"], r["title"]) for r in items.orderBy("run_id", "source_no", "nth").collect()]
+    assert got == [(1, "reddit", "from rss"), (1, "hackernews", "story x"), (1, "hackernews", "story y"), (2, "reddit", "post"), (2, "google_news", "b")]
+    assert [r["source"] for r in ingest.ingest(df, ["github"])[1].collect()] == ["github"]
+    with pytest.raises(ValueError, match="nobody"):
+        ingest.ingest(df, ["nobody"])
+    nothing = ingest.ingest(df.where("false"))
+    assert nothing[0].collect() == nothing[1].collect() == []

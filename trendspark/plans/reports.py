@@ -15,7 +15,7 @@ from trendspark.plans import topics
 from trendspark.plans.payloads import _ORDERS, SIZE, _json, _orders, _responses, _text, _xml
 from trendspark.plans.topics import members
 from trendspark.session import scratch_path, table
-from trendspark.sources import feeds
+from trendspark.sources import feeds, ingest
 from trendspark.sources import store as S
 
 START, NOW = 1_704_067_200, 850_000_000
@@ -37,6 +37,25 @@ def reddit_fallback(s: SparkSession, d: str) -> DataFrame:
     return feeds.reddit_feeds(listings, rss).select("title", "raw_score", "metrics_verified", "feed", "nth")
 
 
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Payloads of four sources in three runs: a search with broken answers, news that is cut in one run, a list of which the
+    first good day counts, and papers that were never fetched."""
+    no, k = F.col("no"), F.col("k")
+    run = no % 3
+    row = lambda df, source, part, status, error, payload: df.select(run.alias("run_id"), F.lit(source).alias("source"), no.cast("int").alias("place"), part.cast("string").alias("part"), F.lit(None).cast("string").alias("form"), status.alias("status"), error.cast("string").alias("error"), payload.alias("payload"), F.timestamp_seconds(START + run).alias("run_ts"))
+    fine, none = F.lit(200), F.lit(None)
+    hits = _json(_orders(s, d), {"objectID": k.cast("string"), "title": _text("Story ", k), "points": F.col("price")}, lambda es: F.struct(es.alias("hits")))
+    news = _xml(_orders(s, d), _text("<item><title>News ", k, "</title><link>https://n/", k, "</link></item>"), "<rss><channel>", "</channel></rss>")
+    pages = _json(_orders(s, d), {"article": _text("Page_", k), "views": F.col("price")}, lambda es: F.struct(F.array(F.struct(es.alias("articles"))).alias("items")))
+    papers = _xml(_orders(s, d), _text("<entry><id>", k, "</id><title>Paper</title></entry>"), "<feed>", "</feed>")
+    return (
+        row(hits, "hackernews", no, fine, none, F.when(no % 7 == 3, "{oops").otherwise(F.col("payload")))
+        .unionByName(row(news, "google_news", no, fine, none, F.when(no == 1, F.substring(F.col("payload"), 1, 60)).otherwise(F.col("payload"))))
+        .unionByName(row(pages, "wikipedia", F.lit("2024-01-01"), F.when(no < 4, 404).otherwise(200), none, F.col("payload")))
+        .unionByName(row(papers, "arxiv", no, fine, F.when(run == 2, "timed out"), F.col("payload")))
+    )
+
+
 def tiktok(s: SparkSession, d: str) -> DataFrame:
     """Orders as hashtags: in JSON, in spans alone, or in JSON that can't be read."""
     no, k = F.col("no"), F.col("k")
@@ -134,6 +153,14 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]
             SELECT 'Post ' || k AS title, CASE WHEN opened THEN price END AS raw_score, opened AS metrics_verified, CAST(no % {FEEDS} AS VARCHAR) AS feed,
               CAST(row_number() OVER (PARTITION BY run ORDER BY opened DESC, CASE WHEN opened THEN price ELSE 0 END DESC, CASE WHEN opened THEN 999 ELSE place END, spot, place) AS INT) AS nth FROM o JOIN g USING (no)""",
         ),
+        "feeds_stats": (
+            lambda s, d: ingest.ingest(_stored(s, d), ["arxiv", "google_news", "hackernews", "wikipedia"], 1_000_000)[1],
+            f"""WITH {_ORDERS}, r AS (SELECT *, no % 3 AS run_id FROM o), days AS (SELECT run_id, min(no) AS no FROM r WHERE no >= 4 GROUP BY 1)
+            SELECT run_id, 'hackernews' AS source, true AS ok, count(*) FILTER (no % 7 <> 3) AS item_count, CAST(NULL AS VARCHAR) AS error FROM r GROUP BY 1
+            UNION ALL SELECT run_id, 'google_news', run_id <> 1, CASE WHEN run_id <> 1 THEN count(*) ELSE 0 END, CASE WHEN run_id = 1 THEN 'invalid XML' END FROM r GROUP BY 1
+            UNION ALL SELECT run_id, 'wikipedia', true, least(40, count(*)), NULL FROM r JOIN days USING (run_id, no) GROUP BY 1
+            UNION ALL SELECT run_id, 'arxiv', run_id <> 2, CASE WHEN run_id <> 2 THEN count(*) ELSE 0 END, CASE WHEN run_id = 2 THEN 'timed out' END FROM r GROUP BY 1""",
+        ),
         "feed_tiktok": (
             tiktok,
             f"""WITH {_ORDERS}, p AS (SELECT *, no % 3 = 2 AS spans, CASE WHEN no % 3 = 2 OR k % 4 = 0 THEN 'Tag' ELSE 'tag' END || k % {TAGS} AS name FROM o WHERE no % 3 = 2 OR no % 7 <> 6),

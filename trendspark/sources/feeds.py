@@ -34,12 +34,13 @@ _LINKS = "array<struct<_VALUE:string,_href:string,_rel:string>>"
 
 
 def _items(df: DataFrame, source: str, title: Column, score: Column, url: Column, ts: Column | None = None, comments: Column | None = None, description: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
-    """Rows that every decoder yields; blank titles go."""
+    """Rows that every decoder yields; blank titles go. A column `_run` of the payloads, which names their run, comes along."""
     nothing = F.lit(None)
+    more = (more or {}) | ({"_run": F.col("_run")} if "_run" in df.columns else {})
     out = df.select(
         F.lit(source).alias("source"), F.trim(title).alias("title"), score.cast("double").alias("raw_score"), (nothing if comments is None else comments).cast("long").alias("comment_count"), url.alias("url"),
         (F.col("run_ts") if ts is None else F.coalesce(ts, F.col("run_ts"))).alias("ts"), (nothing if description is None else description).cast("string").alias("description"), F.col("rank").cast("int").alias("rank"),
-        *[c.alias(k) for k, c in (more or {}).items()],
+        *[c.alias(k) for k, c in more.items()],
     )
     return out.where(F.length("title") > 0)
 
@@ -48,10 +49,6 @@ def _entries(df: DataFrame, column: Column) -> DataFrame:
     return df.withColumn("entries", column).select("*", F.posexplode("entries").alias("pos", "e")).withColumn("rank", F.col("pos") + 1).withColumn("n", F.size("entries")).drop("entries", "payload")
 
 
-def _run(name: str | None) -> dict[str, Column]:
-    return {name: F.col("run_ts")} if name else {}
-
-
 def _by_place() -> Column:
     return F.col("n") - F.col("rank") + 1
 
@@ -71,17 +68,14 @@ def wikipedia_top(df: DataFrame, lang: str = "en", cap: int = 40) -> DataFrame:
     schema = "items array<struct<articles:array<struct<article:string,views:double,rank:int>>>>"
     seen = _entries(df, F.get(F.from_json("payload", schema)["items"], F.lit(0))["articles"])
     seen = seen.where((F.col("e.article") != "") & ~F.col("e.article").rlike(NO_TOPIC))
-    seen = seen.withColumn("nth", F.row_number().over(W.partitionBy("day").orderBy("rank"))).where(F.col("nth") <= cap)
+    seen = seen.withColumn("nth", F.row_number().over(W.partitionBy("run_ts", "day").orderBy("rank"))).where(F.col("nth") <= cap)
     closing = (F.col("day").cast("timestamp") + F.expr("INTERVAL '23:59' HOUR TO MINUTE"))
     url = F.concat(F.lit(f"https://{lang}.wikipedia.org/wiki/"), F.replace(F.url_encode("e.article"), F.lit("+"), F.lit("%20")))
     return _items(seen, "wikipedia", F.replace(F.col("e.article"), F.lit("_"), F.lit(" ")), F.coalesce("e.views", F.lit(0.0)), url, closing)
 
 
-def reddit_listing(df: DataFrame, limit: int = 40, run: str | None = None) -> DataFrame:
-    """Posts of listings (feed, payload, run_ts) but stickied, adult and promoted ones; the first `limit` of a feed in a run.
-
-    run: a column that names the payload's run, beside the times of the posts.
-    """
+def reddit_listing(df: DataFrame, limit: int = 40) -> DataFrame:
+    """Posts of listings (feed, payload, run_ts) but stickied, adult and promoted ones; the first `limit` of a feed in a run."""
     post = "struct<title:string,score:double,num_comments:long,permalink:string,created_utc:double,selftext:string,subreddit:string,stickied:boolean,over_18:boolean,promoted:boolean,is_self:boolean,url_overridden_by_dest:string>"
     posts = _entries(df, F.from_json("payload", f"data struct<children:array<struct<data:{post}>>>")["data"]["children"])
     d = lambda f: F.col(f"e.data.{f}")
@@ -89,18 +83,18 @@ def reddit_listing(df: DataFrame, limit: int = 40, run: str | None = None) -> Da
     kept = posts.where(~flag("stickied") & ~flag("over_18") & ~flag("promoted") & (F.trim(d("title")) != ""))
     kept = kept.withColumn("nth", F.row_number().over(W.partitionBy("run_ts", "feed").orderBy("rank"))).where(F.col("nth") <= limit)
     when = F.when(d("created_utc") != 0, F.timestamp_seconds(d("created_utc")))
-    more = {"subreddit": F.coalesce(d("subreddit"), F.col("feed")), "metrics_verified": F.lit(True), "external_url": d("url_overridden_by_dest"), "feed": F.col("feed")} | _run(run)
+    more = {"subreddit": F.coalesce(d("subreddit"), F.col("feed")), "metrics_verified": F.lit(True), "external_url": d("url_overridden_by_dest"), "feed": F.col("feed")}
     return _items(kept, "reddit", d("title"), F.coalesce(d("score"), F.lit(0.0)), F.concat(F.lit("https://www.reddit.com"), F.coalesce(d("permalink"), F.lit(""))), when, F.coalesce(d("num_comments"), F.lit(0)), F.nullif(F.substring(d("selftext"), 1, 500), F.lit("")), more)
 
 
-def reddit_rss(df: DataFrame, run: str | None = None) -> DataFrame:
+def reddit_rss(df: DataFrame) -> DataFrame:
     """Entries of the Atom form of a listing (feed, payload, run_ts): no score, metrics not verified."""
     seen = _entries(df, F.from_xml("payload", f"entry array<struct<title:string,link:{_LINKS},category:struct<_term:string>,updated:string>>", _LENIENT)["entry"])
-    more = {"subreddit": F.coalesce("e.category._term", "feed"), "metrics_verified": F.lit(False), "external_url": F.lit(None).cast("string"), "feed": F.col("feed")} | _run(run)
+    more = {"subreddit": F.coalesce("e.category._term", "feed"), "metrics_verified": F.lit(False), "external_url": F.lit(None).cast("string"), "feed": F.col("feed")}
     return _items(seen, "reddit", F.col("e.title"), F.lit(None), F.get(F.col("e.link"), F.lit(0))["_href"], N.parse_datetime(F.col("e.updated"), F.col("run_ts")), more=more)
 
 
-def reddit_feeds(listings: DataFrame, rss: DataFrame, limit: int = 40) -> DataFrame:
+def reddit_feeds(listings: DataFrame, rss: DataFrame, limit: int = 40, keep_run: bool = False) -> DataFrame:
     """Posts of the feeds of a run, with `nth`, their place: listings first, by score, then entries of the Atom form, by rank.
 
     listings has a row (feed, place, status, payload, run_ts) for each feed asked, rss a row (feed, payload, run_ts). A listing
@@ -111,11 +105,12 @@ def reddit_feeds(listings: DataFrame, rss: DataFrame, limit: int = 40) -> DataFr
     asked = listings.withColumn("_open", (F.col("status") == 200) & F.coalesce(F.col("place") < refused, F.lit(True)))
     places = asked.select(F.col("run_ts").alias("_run"), "feed", F.col("place").alias("_place"), "_open")
     closed = places.where(~F.col("_open")).select(F.col("_run").alias("run_ts"), "feed")
-    posts = reddit_listing(asked.where("_open").select("feed", "payload", "run_ts"), limit, "_run").withColumn("_rank", F.lit(999))
-    entries = reddit_rss(rss.join(closed, ["run_ts", "feed"], "left_semi"), "_run").where(F.col("rank") <= limit).withColumn("_rank", F.col("rank"))
+    run = F.col("run_ts").alias("_run")
+    posts = reddit_listing(asked.where("_open").select("feed", "payload", "run_ts", run), limit).withColumn("_rank", F.lit(999))
+    entries = reddit_rss(rss.join(closed, ["run_ts", "feed"], "left_semi").select("feed", "payload", "run_ts", run)).where(F.col("rank") <= limit).withColumn("_rank", F.col("rank"))
     found = posts.unionByName(entries).join(places.drop("_open"), ["_run", "feed"])  # a feed comes again in every run
     best = W.partitionBy("_run").orderBy(F.desc("metrics_verified"), F.desc(F.coalesce("raw_score", F.lit(0.0))), "_rank", "_place", "rank")
-    return found.withColumn("nth", F.row_number().over(best)).drop("_run", "_place", "_rank")
+    return found.withColumn("nth", F.row_number().over(best)).drop("_place", "_rank", *([] if keep_run else ["_run"]))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -155,7 +150,7 @@ def tiktok_hashtags(df: DataFrame) -> DataFrame:
     seen = seen.withColumn("r", F.from_json("e", schema))
     said = lambda k: F.when(~F.col(f"r.{k}").isin("", "0", "0.0", "false"), F.col(f"r.{k}"))
     name = F.ltrim(F.trim(F.coalesce(*map(said, HASHTAG_KEYS))), F.lit("#"))
-    first = W.partitionBy("page", F.lower("name")).orderBy("rank")
+    first = W.partitionBy("run_ts", "page", F.lower("name")).orderBy("rank")
     kept = seen.withColumn("name", name).where("name <> ''").withColumn("nth", F.row_number().over(first)).where("nth = 1")
     promoted = F.coalesce(said("isPromoted"), said("is_promoted")).isNotNull()
     views = F.coalesce(said("videoViews"), said("video_views"), said("publishCnt"), F.col("r.publish_cnt")).try_cast("double")
