@@ -1,9 +1,15 @@
 """Run history written, read, purged and reported."""
 
+import html
 import json
+import re
+import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
+from trendspark.functions import plain
+from trendspark.sources import snapshots as Q
 from trendspark.sources import store as S
 
 DAY = 86_400.0
@@ -43,3 +49,60 @@ def test_ages_and_report(spark, tmp_path):
     S.write_report(spark.createDataFrame([(1, None)], "rank int, headline string"), str(tmp_path / "report"))
     (text,) = [p.read_text() for p in (tmp_path / "report").glob("*.json") if p.stat().st_size]
     assert json.loads(text) == {"rank": 1, "headline": None}
+
+
+def test_snapshots_keep_one_row_and_the_first_label(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    frame = lambda *rows: spark.createDataFrame(rows, Q.ROWS)
+    key = lambda r: (r["run_id"], r["entity_key"])
+    said = lambda: {key(r): (r["entity_label"], r["frequency"], r["rate"], r["captured_at"]) for r in Q.read(spark, path).collect()}
+    assert said() == {} and Q.compact(spark, path, "1970-01-02") == 0
+    Q.save(path, frame(("r1", "york", "York", 3, 1.5, DAY), ("r1", "rain", "Rain", 1, 0.5, DAY), ("r2", "york", "York", 9, 9.0, 2 * DAY)))
+    Q.save(path, frame(("r1", "york", "YORK", 2, 2.5, DAY + 60)), 1)
+    Q.save(path, frame(("r1", "york", "YORK", 2, 2.5, DAY + 60)), 1)
+    want = {("r1", "york"): ("York", 3, 2.5, DAY), ("r1", "rain"): ("Rain", 1, 0.5, DAY), ("r2", "york"): ("York", 9, 9.0, 2 * DAY)}
+    assert said() == want
+    assert Q.compact(spark, path, "1970-01-02") == 3 and said() == want
+    assert Q.compact(spark, path, "1970-01-02") == 0 and Q.compact(spark, path, "1970-01-03") == 0
+    Q.save(path, frame(("r1", "rain", "rain", 7, 0.1, 2 * DAY)), 2)  # late, in another day
+    assert said() == want | {("r1", "rain"): ("Rain", 7, 0.5, DAY)}
+    assert Q.compact(spark, path, "1970-01-03") == 2
+    assert said() == want | {("r1", "rain"): ("Rain", 7, 0.5, DAY)}
+
+
+def test_a_compaction_that_stops_is_not_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "snapshots")
+    for k in (1, 2):
+        Q.save(path, spark.createDataFrame([("r1", "york", f"York {k}", k, float(k), DAY)], Q.ROWS), k)
+    want = Q.read(spark, path).collect()
+
+    def stop(*_):
+        raise OSError
+
+    monkeypatch.setattr(Q, "_commit", stop)
+    with pytest.raises(OSError):
+        Q.compact(spark, path, "1970-01-02")
+    assert Q.read(spark, path).collect() == want and want[0]["entity_label"] == "York 1" and want[0]["frequency"] == 2
+
+
+def test_snapshot_of_a_run_takes_the_first_of_equals(spark):
+    rows = [("r", "york", 2, "YORK", 5, 1.23456), ("r", "york", 1, "York", 5, 9.0), ("r", "york", 3, "york", 4, 1.0), ("r", "none", 1, "None", 0, 0.0), ("r", "", 1, "", 3, 1.0), ("q", "york", 1, "york", 1, 0.00004)]
+    df = spark.createDataFrame(rows, "run_id string, entity_key string, ord int, label string, freq long, rate double")
+    assert sorted(map(tuple, Q.of_run(df).collect())) == [("q", "york", "york", 1, 0.0), ("r", "york", "York", 5, 9.0)]
+
+
+def test_plain_texts(spark):
+    texts = ["&eacute;&#8217;&amp;amp; &notanentity; &#0; &#x110000;", "’‘“” – — …", "ﬁ ﬂ Ⅸ ½ ℌ ＦＵＬＬ", "日本 Ω ß æ ø", "a\tb\x00c\x7fd", "Wow!!!! No.... https://x.y/z?q=1 www.a.b end -|:", "&lt;b&gt; &copy &nbsp;x", "", None, " - ", "x" * 100_000]
+
+    def want(t):
+        t = html.unescape(t or "")
+        for sign, say in (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", " - "), ("…", "...")):
+            t = t.replace(sign, say)
+        t = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+        t = re.sub(r"(?i)https?://\S+|www\.\S+", " ", t)
+        t = re.sub(r"([!?.])\1{2,}", r"\1", "".join(c if c.isprintable() else " " for c in t))
+        return re.sub(r"\s+", " ", t).strip(" -|:;,")
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["n"] for r in df.select("i", plain.normalized(F.col("t")).alias("n")).collect()}
+    assert got == {i: want(t) for i, t in enumerate(texts)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trendspark.functions import text as X
 from trendspark.functions.lexicon import CATEGORIES, CATEGORY_ALIASES, CATEGORY_PREFIX, GENERIC_HEADLINE_WORDS, SOURCE_DISPLAY
 
+# Signs, patterns and edges.
 #: Entities and signs with what stands for them, in order.
 SIGNS = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"), ("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", " - "), ("…", "...")]
 _FOLDED = {c: b for c in map(chr, range(0xC0, 0x180)) if len(b := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) == 1}
@@ -28,7 +29,12 @@ def normalize_text(text: Column) -> Column:
     out = F.coalesce(text, F.lit(""))
     for sign, plain in SIGNS:
         out = F.replace(out, F.lit(sign), F.lit(plain))
-    out = F.translate(out, LATIN, PLAIN)
+    return cleaned(F.translate(out, LATIN, PLAIN))
+
+
+def cleaned(text: Column) -> Column:
+    """The text without other than ASCII, URLs, control characters and runs of `!?.` or spaces, its edges trimmed."""
+    out = text
     for pattern, plain in CLEAN:
         out = F.regexp_replace(out, pattern, plain)
     return F.btrim(out, F.lit(EDGES))

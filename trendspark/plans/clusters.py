@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trendspark.functions import lexicon as L
 from trendspark.functions import normalize as N
+from trendspark.functions import plain
 from trendspark.functions import text as X
 from trendspark.operators import drafts as D
 from trendspark.operators import history as H
@@ -33,6 +34,15 @@ def _normal(text: str) -> str:
     return f"trim({out}, {_q(N.EDGES)})"
 
 
+#: Texts with entities and compatible characters, and what they say in plain ASCII.
+ENTITLED = [("&eacute;t&eacute;", "ete"), ("Tom&#8217;s", "Tom's"), ("\ufb01re \ufb02ood", "fire flood"), ("\uff26\uff35\uff2c\uff2c width", "FULL width"), ("1&frac12; cups", "112 cups"), ("&#x1F600; grin", "grin"), ("R&D &copy", "R&D"), ("\u2168 \u210c", "IX H")]
+
+
+def _entitled(items: DataFrame) -> DataFrame:
+    shown = F.element_at(F.array(*[F.lit(t) for t, _ in ENTITLED]), (F.col("item_id") % len(ENTITLED) + 1).cast("int"))
+    return items.withColumn("title", F.concat_ws(" ", shown, "title"))
+
+
 def _alias_case() -> str:
     alias = {a: c for c, names in L.CATEGORY_ALIASES.items() for a in names}
     exact = "".join(f" WHEN key = {_q(a)} THEN {_q(c)}" for a, c in (alias | {c.lower(): c for c in L.CATEGORIES}).items())
@@ -94,6 +104,10 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
     head = f"{_ITEMS}, heads AS (SELECT item_id, array_to_string(string_split(title, ' ')[1:3], ' ') AS title FROM items)"
     return {
         "normalized_title": (lambda s, d: I.items(s, d).select("item_id", N.normalize_text(F.col("title")).alias("clean_title")), f"WITH {_CLEAN} SELECT item_id, clean_title FROM clean"),
+        "unescaped_title": (
+            lambda s, d: _entitled(I.items(s, d)).select("item_id", plain.normalized(F.col("title")).alias("clean_title")),
+            f"WITH {_ITEMS}, v AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_q(p)})' for i, (_, p) in enumerate(ENTITLED))}) v(nth, plain)), t AS (SELECT item_id, plain || ' ' || title AS title FROM items JOIN v ON nth = item_id % {len(ENTITLED)}) SELECT item_id, {_normal('title')} AS clean_title FROM t",
+        ),
         "title_reason": (lambda s, d: T.title_reason(I.items(s, d)).select("item_id", "title_reason"), f"WITH {_CLEAN} SELECT item_id, {reasons} AS title_reason FROM clean"),
         "coerced_category": (lambda s, d: headline(s, d).select("item_id", N.coerce_category(F.col("title")).alias("category")), f"WITH {head}, keyed AS (SELECT item_id, title, lower({_normal('title')}) AS key FROM heads) SELECT item_id, {_alias_case()} AS category FROM keyed"),
         "generic_headline": (
