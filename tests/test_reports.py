@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from trendspark.operators import chat as C
 from trendspark.operators import groups as G
 from trendspark.operators import labels as V
 from trendspark.operators import pages as P
@@ -89,3 +90,19 @@ def test_empty_reports(spark):
     assert payload["trends"] == [] == payload["source_stats"] and payload["age_hours"] == 0.5 and payload["llm_mode"] is None
     odd = spark.createDataFrame([("r", 1, None, None, None, None, None, None, None, None, None, None, None)], trend)
     assert "#1 [" in R.grounding(runs, odd, none(stat), none(was)).first().text
+
+
+def test_turns_of_a_chat(spark):
+    said = [(1, 0, "user", "What of the bridge toll in York?"), (1, 1, "assistant", "It rose."), (1, 2, "user", "And #2, #9?"), (2, 0, "user", "Hello"), (2, 1, "assistant", "Hi."), (3, 0, "system", "x"), (3, 1, "user", "  "), (4, 0, "user", "bridge toll"), (5, 0, "user", "no such thing"), (5, 1, "assistant", None)]
+    trends = [(1, "Bridge toll rises", ["York"], ["https://news.google.com/a", "https://a/1", "https://a/2", "https://a/3"]), (2, "Quake", ["Lima"], None)]
+    args = (
+        spark.createDataFrame(said, "conv_id long, turn int, role string, text string"), spark.createDataFrame(trends, "rank int, headline string, entities array<string>, source_urls array<string>"),
+        spark.createDataFrame([("https://a/1", "The toll rose."), ("https://a/9", "other")], "url string, text string"), spark.createDataFrame([("REPORT",)], "text string"),
+    )
+    got = {r["conv_id"]: r for r in C.turns(*args, rules="RULES").collect()}
+    assert {k: (r["outcome"], r["question"], r["ranks"], r["to_read"]) for k, r in got.items()} == {
+        1: ("ask", "And #2, #9?", [2], []), 2: ("no question", None, None, None), 4: ("ask", "bridge toll", [1], ["https://a/2"]), 5: ("ask", "no such thing", [], []),
+    }
+    assert got[4]["told"] == "RULES\n\nREPORT\n\nEXCERPTS:\n[#1] https://a/1\nThe toll rose." and got[5]["told"] == "RULES\n\nREPORT"
+    assert [tuple(m) for m in got[1]["messages"]] == [("user", "What of the bridge toll in York?"), ("assistant", "It rose."), ("user", "And #2, #9?")]
+    assert C.turns(args[0].where("false"), *args[1:]).collect() == []

@@ -104,7 +104,8 @@ def _merged(s: SparkSession, d: str) -> DataFrame:
 
 def _clusters(s: SparkSession, d: str) -> DataFrame:
     """Drafts with a relevance of 7 or more as clusters; those with the same brands are one."""
-    return Z.clusters_of(drafts(s, d).where("relevance >= 7"), D.members(s, d))
+    kept = materialize(drafts(s, d).where("relevance >= 7"), "order-drafts")
+    return Z.clusters_of(kept, materialize(D.members(s, d), "order-members"))
 
 
 def _members_of(s: SparkSession, d: str) -> DataFrame:
@@ -138,11 +139,12 @@ def _summaries(s: SparkSession, d: str) -> DataFrame:
 
 def _history(s: SparkSession, d: str) -> DataFrame:
     """Drafts scored with the velocity of two entities each, event types, in the newest finished run."""
-    past = H.velocity(H.entity_counts(s, d), H.nearest_runs(H.runs(s, d), H.windows(s)))
-    newest = F.broadcast(H.runs(s, d).where("finished").agg(F.max("run_id").alias("run_id")))
+    runs = materialize(H.runs(s, d), "runs")
+    past = materialize(H.velocity(materialize(H.entity_counts(s, d), "counts"), H.nearest_runs(runs, H.windows(s))), "velocities")
+    newest = F.broadcast(runs.where("finished").agg(F.max("run_id").alias("run_id")))
     past = past.join(newest, "run_id").select(F.col("entity").alias("entity_key"), "freq", "velocity", (F.col("momentum") == "NEW").alias("is_new"))
     types = table(s, d, "events").select("event_type").distinct().withColumn("nth", F.row_number().over(W.orderBy("event_type")) - 1)  # a few types
-    scored = D.scored(D.rollup(D.members(s, d))).select(F.col("draft_id").alias("cluster_id"), "relevance", "velocity")
+    scored = materialize(D.scored(D.rollup(D.members(s, d))).select(F.col("draft_id").alias("cluster_id"), "relevance", "velocity"), "scored-drafts")
     wanted = scored.where("cluster_id % 4 <> 0").select("cluster_id", F.posexplode(F.array(F.col("cluster_id") % 5, F.col("cluster_id") % 3)).alias("ord", "nth"))
     named = wanted.join(F.broadcast(types), "nth").join(F.broadcast(past), F.col("event_type") == F.col("entity_key"))
     return Z.scored_with_history(scored, V.cluster_velocity(named))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trendspark.operators import chat as C
 from trendspark.operators import groups as G
 from trendspark.operators import pages as P
 from trendspark.operators import reports as R
@@ -121,6 +122,18 @@ def _report(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, D
     return runs, clusters, good.unionByName(bad), earlier
 
 
+def _turns(s: SparkSession, d: str) -> DataFrame:
+    """Conversations about the fifteen best-scored titles, with addresses of the table of pages, two thirds of them read before."""
+    top = members(s, d).orderBy(F.desc("score"), "item_id").limit(15)
+    trends = top.select(F.row_number().over(W.orderBy(F.desc("score"), "item_id")).alias("rank"), F.col("title").alias("headline"), F.slice(F.split("text_key", " "), 1, 2).alias("entities"))
+    pages = table(s, d, "pages").select("page_id", "url")
+    of = pages.withColumn("rank", (F.col("page_id") % 15 + 1).cast("int")).groupBy("rank").agg(F.concat(F.array(F.lit("https://news.google.com/x")), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda p: p["url"]), 1, 3)).alias("source_urls"))
+    cache = pages.where("page_id % 3 <> 0").select("url", F.when(F.col("page_id") % 2 == 0, "").otherwise(_text("Page ", F.col("page_id"))).alias("text"))
+    said = table(s, d, "conversations").select("conv_id", "turn", "role", "text")
+    got = C.turns(said, trends.join(of, "rank", "left"), cache, s.range(1).select(F.lit("REPORT").alias("text")), "RULES")
+    return got.select("conv_id", "outcome", "question", F.array_join("ranks", ",").alias("ranks"), F.array_join("to_read", " ").alias("to_read"), "told", F.size("messages").cast("long").alias("n_messages"))
+
+
 def projection(s: SparkSession, d: str) -> DataFrame:
     """The JSON of each run read back."""
     trend = "rank int, headline string, relevance long, velocity double, entities array<string>, urls array<string>, items long"
@@ -153,6 +166,26 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]
             SELECT 'Post ' || k AS title, CASE WHEN opened THEN price END AS raw_score, opened AS metrics_verified, CAST(no % {FEEDS} AS VARCHAR) AS feed,
               CAST(row_number() OVER (PARTITION BY run ORDER BY opened DESC, CASE WHEN opened THEN price ELSE 0 END DESC, CASE WHEN opened THEN 999 ELSE place END, spot, place) AS INT) AS nth FROM o JOIN g USING (no)""",
         ),
+        "chat_turns": (
+            _turns,
+            f"""WITH {topics._D}, trends AS (SELECT row_number() OVER (ORDER BY score DESC, item_id) AS rank, tokens, string_split(text_key, ' ')[1:2] AS entities FROM mem QUALIFY rank <= 15),
+            tail AS (SELECT *, substr(text, 1, 4000) AS said FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5),
+            convs AS (SELECT conv_id, arg_max(role, turn) = 'user' AS asks, arg_max(said, turn) AS question, count(*) AS n_messages FROM tail GROUP BY 1),
+            q AS (SELECT conv_id AS question_id, lower(question) AS title FROM convs WHERE asks),
+            r AS (SELECT question_id, title, list_filter(list_transform(regexp_extract_all(title, {topics._q(topics.L.TREND_REF)}, 1), lambda x: CAST(x AS INT)), lambda x: x BETWEEN 1 AND n) AS refs FROM q CROSS JOIN (SELECT count(*) AS n FROM trends)),
+            direct AS (SELECT question_id, rank, min(pos) AS pos FROM (SELECT question_id, unnest(refs) AS rank, generate_subscripts(refs, 1) AS pos FROM r) GROUP BY 1, 2),
+            met AS (SELECT question_id, rank, len(list_intersect({topics._SIG}, tokens)) AS overlap, len(list_filter(entities, lambda e: length(e) >= 3 AND contains(title, e))) > 0 AS named FROM r CROSS JOIN trends WHERE len(refs) = 0),
+            ranked AS (SELECT question_id, rank, row_number() OVER (PARTITION BY question_id ORDER BY pos) AS nth FROM direct UNION ALL
+              SELECT question_id, rank, row_number() OVER (PARTITION BY question_id ORDER BY overlap + CASE WHEN named THEN 2 ELSE 0 END DESC, rank DESC) FROM met WHERE overlap >= 2 OR named),
+            found AS (SELECT * FROM ranked WHERE nth <= {C.TRENDS}),
+            urls AS (SELECT page_id % 15 + 1 AS rank, page_id, url, row_number() OVER (PARTITION BY page_id % 15 ORDER BY page_id) AS place FROM pages QUALIFY place <= least(3, {P.SHOWN})),
+            asked AS (SELECT question_id, nth, place, rank, url, CASE WHEN page_id % 3 <> 0 THEN CASE WHEN page_id % 2 = 0 THEN '' ELSE 'Page ' || page_id END END AS text FROM found JOIN urls USING (rank)),
+            p AS (SELECT question_id, string_agg(url, ' ' ORDER BY nth, place) FILTER (text IS NULL) AS to_read, string_agg('[#' || rank || '] ' || url || chr(10) || text, chr(10) ORDER BY nth, place) FILTER (text <> '') AS read FROM asked GROUP BY 1),
+            f AS (SELECT question_id, string_agg(rank, ',' ORDER BY nth) AS ranks FROM found GROUP BY 1)
+            SELECT conv_id, CASE WHEN asks THEN 'ask' ELSE 'no question' END AS outcome, CASE WHEN asks THEN question END AS question, CASE WHEN asks THEN coalesce(ranks, '') END AS ranks, CASE WHEN asks THEN coalesce(to_read, '') END AS to_read,
+              CASE WHEN asks THEN 'RULES' || chr(10) || chr(10) || 'REPORT' || coalesce(chr(10) || chr(10) || 'EXCERPTS:' || chr(10) || read, '') END AS told, n_messages
+            FROM convs LEFT JOIN f ON f.question_id = conv_id LEFT JOIN p ON p.question_id = conv_id""",
+        ),
         "feeds_stats": (
             lambda s, d: ingest.ingest(_stored(s, d), ["arxiv", "google_news", "hackernews", "wikipedia"], 1_000_000)[1],
             f"""WITH {_ORDERS}, r AS (SELECT *, no % 3 AS run_id FROM o), days AS (SELECT run_id, min(no) AS no FROM r WHERE no >= 4 GROUP BY 1)

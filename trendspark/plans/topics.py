@@ -18,7 +18,7 @@ from trendspark.operators import labels as V
 from trendspark.operators import links as K
 from trendspark.plans.catalogue import _COUNTS, _ITEMS, _KEY, _MOMENTUM, _NEAR, _SIG, _list
 from trendspark.plans.clusters import _normal, _q
-from trendspark.session import table
+from trendspark.session import materialize, table
 
 #: Items in a row that make a draft, and a word list for the invented prose of the test tables.
 DRAFT, PATTERNS = 8, {"Sports": r"\bth[a-z]*", "Tech": r"\b(?:in|on)[a-z]+", "News": r"\b(?:der|les?)\b", "Science & AI": r"\b[a-z]+tion\b"}
@@ -76,14 +76,15 @@ def entities(m: DataFrame) -> DataFrame:
 
 
 def _coherence(s: SparkSession, d: str) -> DataFrame:
-    m = members(s, d)
-    return K.coherence(K.draft_components(m, entities(m)))
+    m = materialize(members(s, d), "titles")
+    return K.coherence(materialize(K.draft_components(m, materialize(entities(m), "names")), "components"))
 
 
 def _rehomed(s: SparkSession, d: str) -> DataFrame:
     """Items of sources that only show bare names, as orphans among the drafts of all items."""
-    m = members(s, d)
-    return K.rehomed(m.where(F.col("source").isin(*L.SOCIAL)), K.grounded(m, entities(m)))
+    m = materialize(members(s, d), "titles")
+    named = materialize(K.grounded(m, materialize(entities(m), "names")), "grounded")
+    return K.rehomed(m.where(F.col("source").isin(*L.SOCIAL)), named)
 
 
 def _voted(s: SparkSession, d: str) -> DataFrame:
