@@ -167,7 +167,7 @@ def test_a_whole_run_balances_and_goes_on(spark, tmp_path, monkeypatch):
     call, made = ST.Stages.__call__, []
 
     def some(self, stage, make):
-        if len(self.made) >= 11:
+        if len(self.made) >= 7:
             raise Stopped
         made.append(stage)
         return call(self, stage, make)
