@@ -71,3 +71,13 @@ def test_texts_for_models(spark):
 def test_answers(spark):
     texts = ['```json\n{"a": 1}\n```', 'so: {"a": 1} ok', '{"a": [1, 2,],}', '[{"a": 1}]', "none", "7", None]
     assert each(spark, lambda t: F.to_json(P.extract_json(t)), texts) == ['{"a":1}', '{"a":1}', '{"a":[1,2]}', '{"clusters":[{"a":1}]}', None, None, None]
+
+
+def test_prose_in_json_is_its_strings(spark):
+    texts = {
+        '{"a": 123456789, "b": "hi", "c": {"text": "much longer than hi"}, "d": ["no", "no, not this"], "e": true}': "hi", '{"summary": 12, "text": "told", "a": "longer than told"}': "told", '{"a": "one", "b": "two", "c": "three"}': "three",
+        '["one", 2, "three", ["four"], null]': "one three", '{"a": {"b": "deep"}}': "", "[]": "", "{}": "", '{"broken": ': '{"broken": ', "7": "7", '"quoted"': '"quoted"', "plain": "plain", ' {"headline": "H"} ': "H", "": "",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["p"] for r in df.select("t", P.json_prose(F.col("t")).alias("p")).collect()} == texts
+    assert spark.range(1).select(P.json_prose(F.lit(None).cast("string"))).first()[0] is None

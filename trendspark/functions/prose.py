@@ -65,14 +65,22 @@ def sanitize_headline(text: Column, max_words: int = 10) -> Column:
     return F.btrim(F.array_join(F.transform(words, lambda w, i: _title_word(w, starts(w, i))), " "), F.lit(" .,;:-"))
 
 
+def _is_string(v: Column) -> Column:
+    return F.schema_of_variant(v) == "STRING"
+
+
 def json_prose(text: Column) -> Column:
-    """The prose in a leaked JSON value: a known key's, else the longest string; strings of a list joined; else the text."""
+    """The prose in a leaked JSON value: a known key's string, else the longest of its strings; strings of a list joined; else the text.
+
+    Values that are no strings (numbers, flags, nested objects and lists) don't count; an object without a string gives none.
+    """
     bare = F.trim(text)
     whole = F.try_parse_json(bare)
-    of_key = F.coalesce(*[F.try_variant_get(whole, f"$.{k}", "string") for k in PROSE_KEYS])
-    values = F.map_values(F.from_json(bare, "map<string,string>"))
-    longest = F.aggregate(values, F.lit(""), lambda a, v: F.when(F.length(v) > F.length(a), v).otherwise(a))
-    listed = F.array_join(F.from_json(bare, "array<string>"), " ")
+    said = lambda v: F.when(_is_string(v), F.try_variant_get(v, "$", "string"))
+    of_key = F.coalesce(*[said(F.try_variant_get(whole, f"$.{k}", "variant")) for k in PROSE_KEYS])
+    strings = lambda values: F.filter(F.transform(values, said), lambda v: v.isNotNull())
+    longest = F.aggregate(strings(F.map_values(F.from_json(bare, "map<string,variant>"))), F.lit(""), lambda a, v: F.when(F.length(v) > F.length(a), v).otherwise(a))
+    listed = F.array_join(strings(F.from_json(bare, "array<variant>")), " ")
     return F.when(whole.isNull(), text).when(F.startswith(bare, F.lit("{")), F.coalesce(of_key, longest, F.lit(""))).when(F.startswith(bare, F.lit("[")), listed).otherwise(text)
 
 
