@@ -11,6 +11,10 @@ one value for each n-gram in it, and values come by one join: no table of all wo
 with at least CORE of all tokens (at most 1 / CORE) and an n-gram with at least COMMON of them has its value broadcast too,
 the same value, so that no hot key is shuffled. n-grams are named by 64-bit hashes; tokens are compared as they are.
 
+The n-grams of each order are counted, and asked for, in ROUNDS by their names, and what a round shuffled is removed before
+the next one begins, so that the disk holds a share of the places at a time; each round reads all texts. A task packs its
+n-grams by bucket of names, some BUCKET places in each, which meet in a task that adds up their counts or looks up their values.
+
 A caller who wants a bounded model gives `common`: n-grams of core words with that share of all tokens become an automaton
 with a state for each context that some n-gram continues, an arc for each n-gram, which carries its log-probability and
 the next state, and a failure arc from each context to the next shorter one, which carries the backoff weight.
@@ -20,16 +24,18 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendspark.llm.common import as_batch, bounded_batches, crc_bucket, text_bytes
-from trendspark.session import materialize
+from trendspark.session import drop, materialize, short_shuffles
 
 CORE, COMMON, ORDER = 2e-6, 1e-5, 3
 DISCOUNT, LEAST = 0.75, 2
@@ -37,7 +43,9 @@ DISCOUNT, LEAST = 0.75, 2
 SEED = 42
 #: No word is a line end, so it can stand for the end of a text.
 END = b"\n"
-HELD_TYPES, HELD_CODES, HELD_GRAMS, HELD_ASKED, BLOCK = 400_000, 4 << 20, 3 << 20, 1 << 20, 256
+HELD_TYPES, HELD_CODES, HELD_GRAMS, HELD_ASKED, BLOCK = 400_000, 4 << 20, 2 << 20, 1 << 20, 256
+#: Rounds for each order; places in a bucket; buckets of a round at least; rows that two bytes number.
+ROUNDS, BUCKET, BUCKETS, MOST_ROWS = 2, 1 << 18, 64, 1 << 16
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -45,19 +53,19 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """(token, c) over a one-column frame of texts; each task holds HELD_TYPES types at most and adds up before the shuffle."""
+    """(token, c) over a one-column frame of texts; each task adds up, and passes on what it holds beyond HELD_TYPES types."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         for b in batches:
-            for t in text_bytes(b.column(0)):
-                held.update(tokens(t))
-                if len(held) > HELD_TYPES:
-                    yield as_batch({"token": pa.array(list(held), pa.binary()), "c": pa.array(list(held.values()), pa.int64())})
-                    held = Counter()
+            codes, _, words = coded(b.column(0))
+            held.update(dict(zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
+            if len(held) > HELD_TYPES:
+                yield as_batch({"token": pa.array(list(held), pa.binary()), "c": pa.array(list(held.values()), pa.int64())})
+                held = Counter()
         yield as_batch({"token": pa.array(list(held), pa.binary()), "c": pa.array(list(held.values()), pa.int64())})
 
-    return texts.mapInArrow(work, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(work, "token binary, c long").where("c > 0").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def word_ids(texts: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -68,90 +76,155 @@ def word_ids(texts: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray,
     return flat, np.array([len(w) for w in words], dtype=np.int64), words
 
 
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Names of the n-grams of the hash a followed by the word b."""
-    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.view(np.uint64) ^ (b.view(np.uint64) >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Codes of all tokens one after the other, the number of tokens of each text, and the distinct tokens by code."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat = words.flatten()
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    told, of = flat.filter(pa.array(full)).dictionary_encode(), of[full]
+    sizes = np.bincount(of, minlength=len(texts)) + 1
+    codes = np.full(int(sizes.sum()), len(told.dictionary), dtype=np.int64)
+    codes[np.arange(len(of)) + of] = told.indices.to_numpy(zero_copy_only=False)
+    return codes, sizes, [*told.dictionary.cast(pa.binary()).to_pylist(), END]
+
+
+#: Odd factors of names, and their inverses modulo 2 ** 64.
+HEAD, TAIL, MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
+OF_TAIL, OF_MIX = pow(TAIL, -1, 1 << 64), pow(MIX, -1, 1 << 64)
+
+
+def pair(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Names of the n-grams whose first words are named `head` and whose last words `tail`, each without one word."""
+    x = head.view(np.uint64) * np.uint64(HEAD) + tail.view(np.uint64) * np.uint64(TAIL)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(MIX)
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def hashed(ids: np.ndarray, words: list[list[bytes]], core: np.ndarray) -> np.ndarray:
-    """Hashes of all tokens one after the other; core: those of the core words."""
-    out = core[ids] if len(core) else np.zeros(len(ids), dtype=np.int64)
-    rest = np.flatnonzero(ids < 0)
-    flat = [w for ws in words for w in ws]
-    out[rest] = np.fromiter((xxhash.xxh64_intdigest(flat[i], SEED) for i in rest.tolist()), dtype=np.uint64, count=len(rest)).view(np.int64)
-    return out
+def tail_of(gram: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The tails of which `pair` made these names with these heads."""
+    x = gram.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(OF_MIX)
+    x = x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))
+    return ((x - head.view(np.uint64) * np.uint64(HEAD)) * np.uint64(OF_TAIL)).view(np.int64)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
-def grams_of(h: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 2: the positions where an n-gram ends, its name, and those of it without its last and its first word."""
+def grams_of(h: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 2: the positions where an n-gram ends, its name, and that of it without its last word."""
     nth = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     now = h
     for n in range(2, order + 1):
         at = np.flatnonzero(nth >= n - 1)
         longer = np.zeros(len(h), dtype=np.int64)
-        longer[at] = pair(now[at - 1], h[at])
-        yield at, longer[at], now[at - 1], now[at]
+        longer[at] = pair(now[at - 1], now[at])
+        yield at, longer[at], now[at - 1]
         now = longer
 
 
-def count_all_grams(texts: DataFrame, number: dict[bytes, int], core: np.ndarray, order: int) -> DataFrame:
-    """(gram, head, tail, n, c): the n-grams of orders 2 to `order` that occur LEAST times, those one shorter, and counts."""
-    shared = texts.sparkSession.sparkContext.broadcast((number, core))
+def bucket_bits(places: int) -> int:
+    """First bits of a name that are its bucket; a round has the buckets that leave its number when divided by ROUNDS."""
+    return max(places // BUCKET, ROUNDS * BUCKETS).bit_length()
+
+
+def bucket_of(gram: np.ndarray, bits: int) -> np.ndarray:
+    return (gram.view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def packs(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The buckets, which come in order, and for each of the columns its bytes in each bucket."""
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket))
+    return bucket[cuts[:-1]], [packed(x, cuts) for x in columns]
+
+
+def packed(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of x[cuts[i]:cuts[i + 1]]."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((x.itemsize * cuts).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+
+
+def gram_round(texts: pa.Array, order: int, bits: int, nth_round: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the places of n-grams of an order whose buckets are in this round: the texts, the names, and those without the last word."""
+    codes, sizes, words = coded(texts)
+    *_, (at, gram, head) = grams_of(hash_words(words)[codes], sizes, order)
+    now = np.flatnonzero(bucket_of(gram, bits) % ROUNDS == nth_round)
+    return np.repeat(np.arange(len(sizes)), sizes)[at[now]], gram[now], head[now]
+
+
+def ordered(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the names, as unsigned numbers, and where in it another name begins."""
+    by = np.argsort(gram.view(np.uint64))
+    x = gram[by]
+    return by, np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+
+
+def count_all_grams(texts: DataFrame, order: int, bits: int, nth_round: int) -> DataFrame:
+    """(gram, head, tail, c): the n-grams of an order and a round that occur LEAST times, those one shorter, and counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, core = shared.value
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def add_up() -> pa.RecordBatch:
-            gram, head, tail, n = (np.concatenate([np.zeros(0, dtype=np.int64), *(x[k] for x in held)]) for k in range(4))
-            gram, at, c = np.unique(gram, return_index=True, return_counts=True)
-            return as_batch({"gram": gram, "head": head[at], "tail": tail[at], "n": n[at].astype(np.int32), "c": c.astype(np.int64)})
+            gram, head = (np.concatenate(x) for x in zip(*held, strict=True))
+            by, first = ordered(gram)
+            gram, head, c = gram[by[first]], head[by[first]], np.diff(np.append(first, len(by))).astype(np.int32)
+            buckets, columns = packs(bucket_of(gram, bits), gram, head, c)
+            return as_batch(dict(zip(("bucket", "gram", "head", "c"), (buckets, *columns), strict=True)))
 
         for b in batches:
-            ids, sizes, words = word_ids(text_bytes(b.column(0)), number)
-            for n, (at, gram, head, tail) in enumerate(grams_of(hashed(ids, words, core), sizes, order), 2):
-                held.append((gram, head, tail, np.full(len(at), n, dtype=np.int8)))
-                size += len(at)
+            _, gram, head = gram_round(b.column(0), order, bits, nth_round)
+            held.append((gram, head))
+            size += len(gram)
             if size > HELD_GRAMS:
                 yield add_up()
                 held, size = [], 0
-        yield add_up()
+        if size:
+            yield add_up()
+
+    def total(t: pa.Table) -> pa.Table:
+        gram, head, c = (np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in t[k]]) for k, kind in (("gram", np.int64), ("head", np.int64), ("c", np.int32)))
+        by, first = ordered(gram)
+        c = np.add.reduceat(c[by].astype(np.int64), first)
+        kept = by[first[c >= LEAST]]
+        return pa.table({"gram": gram[kept], "head": head[kept], "tail": tail_of(gram[kept], head[kept]), "c": c[c >= LEAST]})
 
-    found = texts.mapInArrow(work, "gram long, head long, tail long, n int, c long").groupBy("gram")
-    return found.agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.first("n").alias("n"), F.sum("c").alias("c")).where(F.col("c") >= LEAST)
+    found = texts.mapInArrow(work, "bucket long, gram binary, head binary, c binary").groupBy("bucket")
+    return found.applyInArrow(total, "gram long, head long, tail long, c long")
 
 
-def gram_values(counts: DataFrame, grams: DataFrame, total: int, d1: float, order: int) -> tuple[DataFrame, DataFrame]:
-    """(token, c, gram, value) of all tokens and (gram, c, value) of all n-grams; values as the module says, a token's without its own."""
+def gram_values(texts: DataFrame, counts: DataFrame, total: int, d1: float, order: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(token, c, value) of all tokens and (gram, c, value) of all n-grams; values as the module says, a token's without its own.
+
+    Each table is removed, `counts` too, when it isn't needed any more.
+    """
     words = counts.withColumn("gram", F.xxhash64("token"))
     # A context's words have counts of at least LEAST; two tokens of one hash would count as one context.
     lower = materialize(words.where(F.col("c") >= LEAST).groupBy("gram").agg(F.sum("c").alias("c"), F.sum((F.col("c") - d1) / max(1, total)).alias("p")).withColumn("above", F.lit(0.0)), "lm-lower")
     levels = []
     for n in range(2, order + 1):
-        own = grams.where(F.col("n") == n).select("gram", "head", "tail", "c")
-        own = materialize(own.join(lower.select(F.col("gram").alias("tail"), F.col("p").alias("low")), "tail"), "lm-own")
+        grams = reduce(DataFrame.union, [materialize(count_all_grams(texts, n, bits, k), "lm-grams") for k in range(ROUNDS)])
+        own = grams.select("gram", "head", "tail", "c").join(lower.select(F.col("gram").alias("tail"), F.col("p").alias("low")), "tail")
+        own = materialize(own.select("gram", "head", "c", "low"), "lm-own")
+        drop(grams)
         left = own.groupBy("head").agg(F.sum(F.col("c") - DISCOUNT).alias("taken"), F.sum("low").alias("low_taken"))
         left = left.join(lower.select(F.col("gram").alias("head"), F.col("c").alias("of")), "head")
         back = F.log10(F.greatest(1 - F.col("taken") / F.col("of"), F.lit(1e-12)) / F.greatest(1 - F.col("low_taken"), F.lit(1e-12)))
         left = materialize(left.select("head", "of", back.alias("back")), "lm-contexts")
-        levels.append(lower.join(left.select(F.col("head").alias("gram"), "back"), "gram", "left").select("gram", "c", (F.col("above") + F.coalesce("back", F.lit(0.0))).alias("value")))
+        levels.append(materialize(lower.join(left.select(F.col("head").alias("gram"), "back"), "gram", "left").select("gram", "c", (F.col("above") + F.coalesce("back", F.lit(0.0))).alias("value")), "lm-level"))
+        drop(lower)
         p = (F.col("c") - DISCOUNT) / F.col("of")
-        lower = own.join(left, "head").select("gram", "c", p.alias("p"), (F.log10(p) - F.col("back") - F.log10("low")).alias("above"))
-        if n < order:
-            lower = materialize(lower, "lm-lower")
-    levels.append(lower.select("gram", "c", F.col("above").alias("value")))
-    first, *rest = levels
-    table = rest[0]
-    for x in rest[1:]:
-        table = table.union(x)
-    return words.join(first.select("gram", "value"), "gram", "left").select("token", "c", "gram", F.coalesce("value", F.lit(0.0)).alias("value")), table
+        lower = materialize(own.join(left, "head").select("gram", "c", p.alias("p"), (F.log10(p) - F.col("back") - F.log10("low")).alias("above")), "lm-lower")
+        drop(own)
+        drop(left)
+    first, *rest = [*levels, lower.select("gram", "c", F.col("above").alias("value"))]
+    valued = words.join(first.select("gram", "value"), "gram", "left").select("token", "c", F.coalesce("value", F.lit(0.0)).alias("value"))
+    valued = materialize(valued, "lm-values")
+    drop(counts)
+    drop(first)
+    return valued, reduce(DataFrame.union, rest)
 
 
 def grams_at(ids: np.ndarray, sizes: np.ndarray, kept: list[np.ndarray], base: int) -> np.ndarray:
@@ -297,7 +370,9 @@ def fit(texts: DataFrame, core: float = CORE, common: float | None = None, order
 
     Without `common` the model holds all n-grams as a table; with it those of core words with that share, as an automaton.
     """
-    counts = materialize(count_tokens(texts), "lm-counts")
+    texts = texts.select(F.col(texts.columns[0]).cast("string").alias("text"))
+    with short_shuffles(texts.sparkSession):
+        counts = materialize(count_tokens(texts), "lm-counts")
     total, types, n1, n2 = (x or 0 for x in counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
     d1 = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
     rows = counts.where(F.col("c") >= core * total).collect()  # at most 1 / core
@@ -307,13 +382,14 @@ def fit(texts: DataFrame, core: float = CORE, common: float | None = None, order
     unseen = float(np.log10(d1 * types / total)) if total and types else 0.0
     model = {"core": core * total, "number": number, "c": c, "total": total, "types": types, "d1": d1, "unseen": unseen, "order": order}
     if common is None:
-        names = hash_words([w for w, _ in words])
-        grams = materialize(count_all_grams(texts, number, names, order), "lm-grams")
-        valued, table = (materialize(x, "lm-values") for x in gram_values(counts, grams, total, d1, order))
+        bits = bucket_bits(total)
+        with short_shuffles(counts.sparkSession):
+            valued, table = gram_values(texts, counts, total, d1, order, bits)
+        counts = valued.select("token", "c", F.xxhash64("token").alias("gram"), "value")
         value = {bytes(r["token"]): r["value"] for r in valued.where(F.col("c") >= core * total).collect()}
         hot = sorted((r["gram"], r["value"]) for r in table.where(F.col("c") >= max(LEAST, COMMON * total)).collect()) if COMMON * total >= LEAST else []  # at most 1 / COMMON of an order
-        local = {"names": names, "after": np.array([value[w] for w, _ in words]), "hot": np.array([g for g, _ in hot], dtype=np.int64), "hot_value": np.array([v for _, v in hot])}
-        return valued, model | {"table": table, "local": local}
+        local = {"after": np.array([value[w] for w, _ in words]), "hot": np.array([g for g, _ in hot], dtype=np.int64), "hot_value": np.array([v for _, v in hot])}
+        return counts, model | {"table": table, "local": local, "bits": bits}
     least = max(2.0, common * total)
     base = max(1, int((c >= least).sum()))
     grams: list[dict[int, int]] = []
@@ -326,16 +402,39 @@ def fit(texts: DataFrame, core: float = CORE, common: float | None = None, order
     return counts, model | {"automaton": Backoff(c, total, types, d1, base, grams)}
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, counts: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score): one row for each row of docs.
 
     A null text is empty: the end alone. Rows that repeat id and text come back as often. With nothing learned both scores
-    are 0 for each token. Other columns don't matter. Rows are numbered by partition and place, so docs must come in the
-    same order if a task is repeated, as a table does. A batch asks once for each token and n-gram and names the rows it is in.
+    are 0 for each token. Other columns don't matter. Rows are numbered by partition and place, and each round reads them anew,
+    so they are written first, unless docs is `stored`: files as they are read, which come in the same order each time.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast({k: v for k, v in model.items() if k != "table"})  # bounded by 1 / CORE words and 1 / COMMON n-grams of an order
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with short_shuffles(spark):
+        rows = rows if stored else materialize(rows, "lm-texts")
+        sums = [materialize(score_tokens(rows, counts, model), "lm-sums")]
+        if "table" in model:
+            hot = spark.sparkContext.broadcast(model["local"]["hot"])  # at most 1 / COMMON of an order
+            cold = model["table"].where(F.col("c") < max(LEAST, COMMON * model["total"])) if COMMON * model["total"] >= LEAST else model["table"]
+            for n in range(2, model["order"] + 1):
+                sums += [materialize(score_grams(rows, cold, hot, n, model["bits"], k), "lm-sums") for k in range(ROUNDS)]
+        if not stored:
+            drop(rows)
+    first, *rest = sums
+    for x in rest:
+        first = first.unionByName(x, allowMissingColumns=True)
+    found = first.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    return found.select("doc_id", "n_tokens", "n_known", "base_score", "score")
+
+
+def score_tokens(docs: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
+    """(row, doc_id, n, known, base, score): sums over the tokens of each row, and over the n-grams that all tasks know.
+
+    A batch asks once for each token that not all tasks know, and names the rows it is in.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "table"})  # bounded by 1 / CORE words and 1 / COMMON n-grams of an order
     total, types, d1 = model["total"], model["types"], model["d1"]
     log_all = float(np.log10(total + 0.1 * (types + 1)))
 
@@ -343,71 +442,104 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: dict, id_col: str = "
         m = shared.value
         number, automaton, local = m["number"], m.get("automaton"), m.get("local")
         base = np.append(np.log10(m["c"] + 0.1) - log_all, 0.0)
-        nth = 0
-        if local:
-            own = np.append(np.log10(np.maximum(m["c"] - d1, 1e-300) / max(1, total)) + local["after"], 0.0)
+        own = np.append(np.log10(np.maximum(m["c"] - d1, 1e-300) / max(1, total)) + local["after"], 0.0) if local else base
+        start = TaskContext.get().partitionId() << 40
         for b in batches:
-            texts = text_bytes(b.column(1))
-            ids, sizes, words = word_ids(texts, number)
-            of = np.repeat(np.arange(len(texts)), sizes)
-            core = np.bincount(of, ids >= 0, minlength=len(texts)).astype(np.int64)
-            sums = np.bincount(of, base[ids], minlength=len(texts))
-            asked: list[tuple[np.ndarray, np.ndarray]] = []
+            codes, sizes, words = coded(b.column(1))
+            ids = np.fromiter((number.get(w, -1) for w in words), dtype=np.int64, count=len(words))[codes]
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            core = np.bincount(of, ids >= 0, minlength=len(sizes)).astype(np.int64)
+            sums = np.bincount(of, base[ids], minlength=len(sizes))
             if local:
-                score = np.bincount(of, own[ids], minlength=len(texts))
-                for at, gram, _, _ in grams_of(hashed(ids, words, local["names"]), sizes, m["order"]):
-                    if len(local["hot"]):
-                        k = np.minimum(np.searchsorted(local["hot"], gram), len(local["hot"]) - 1)
-                        hit = local["hot"][k] == gram
-                        score += np.bincount(of[at[hit]], local["hot_value"][k[hit]], minlength=len(texts))
-                        at, gram = at[~hit], gram[~hit]
-                    asked.append((of[at], gram))
+                score = np.bincount(of, own[ids], minlength=len(sizes))
+                if len(local["hot"]):
+                    for at, gram, _ in grams_of(hash_words(words)[codes], sizes, m["order"]):
+                        k = known_at(local["hot"], gram)
+                        score += np.bincount(of[at[k >= 0]], local["hot_value"][k[k >= 0]], minlength=len(sizes))
             else:
                 score = automaton.score(ids, sizes)
-            tag = (TaskContext.get().partitionId() << 40) + (nth << 16)
-            nth += 1
             # The rows of the texts themselves: their token is no word (it is a space), so the join finds nothing; hashes spread them.
-            spread = np.array([xxhash.xxh64_intdigest(t) for t in texts], dtype=np.uint64).view(np.int64)
-            yield as_batch({"tag": np.full(len(texts), tag), "gram": spread, "token": pa.array([b" "] * len(texts), pa.binary()), "at": places(np.arange(len(texts)), np.arange(len(texts) + 1)), "doc_id": b.column(0), "n": sizes, "known": core, "base": sums, "score": score})
-
-            def rows(gram: np.ndarray, token: pa.Array, at: pa.Array) -> pa.RecordBatch:
-                none, zero = np.zeros(len(gram), dtype=np.int64), np.zeros(len(gram))
-                return as_batch({"tag": np.full(len(gram), tag), "gram": gram, "token": token, "at": at, "doc_id": pa.nulls(len(gram), pa.int64()), "n": none, "known": none, "base": zero, "score": zero})
-
+            spread = hash_words([i.to_bytes(8) for i in range(start, start + len(sizes))])
+            yield as_batch({"tag": np.full(len(sizes), start), "gram": spread, "token": pa.array([b" "] * len(sizes), pa.binary()), "at": packed(np.arange(len(sizes)).astype(np.uint16), np.arange(len(sizes) + 1)), "doc_id": b.column(0), "n": sizes, "known": core, "base": sums, "score": score})
             rest = np.flatnonzero(ids < 0)
             if len(rest):
-                flat = [w for ws in words for w in ws]
-                codes: dict[bytes, int] = {}
-                which = np.fromiter((codes.setdefault(flat[i], len(codes)) for i in rest.tolist()), dtype=np.int64, count=len(rest))
-                by = np.argsort(which, kind="stable")
-                yield rows(hash_words(list(codes)), pa.array(list(codes), pa.binary()), places(of[rest[by]], np.searchsorted(which[by], np.arange(len(codes) + 1))))
-            for at, gram in asked:
-                by = np.argsort(gram, kind="stable")
-                at, gram = at[by], gram[by]
-                new = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
-                yield rows(gram[new], pa.nulls(len(new), pa.binary()), places(at, np.append(new, len(at))))
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.mapInArrow(work, "tag long, gram long, token binary, at binary, doc_id long, n long, known long, base double, score double")
-    told = counts.where(F.col("c") < model["core"]).select("gram", F.col("token").alias("word"), "c", "value")
-    if "table" in model:
-        cold = model["table"].where(F.col("c") < max(LEAST, COMMON * total)) if COMMON * total >= LEAST else model["table"]
-        told = told.union(cold.select("gram", F.lit(None).cast("binary"), F.lit(None).cast("long"), "value"))
-    joined = rows.join(told, (rows["gram"] == told["gram"]) & F.col("token").eqNullSafe(F.col("word")), "left")
-    joined = joined.where(F.col("token").isNotNull() | F.col("value").isNotNull())
-    seen, asks = F.col("c").isNotNull(), F.col("token").isNotNull() & (F.col("n") == 0)
+                by = rest[np.argsort(codes[rest], kind="stable")]
+                x = codes[by]
+                new = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+                told = [words[i] for i in x[new].tolist()]
+                none, zero = np.zeros(len(told), dtype=np.int64), np.zeros(len(told))
+                yield as_batch({"tag": np.full(len(told), start), "gram": hash_words(told), "token": pa.array(told, pa.binary()), "at": packed(of[by].astype(np.uint16), np.append(new, len(by))), "doc_id": pa.nulls(len(told), pa.int64()), "n": none, "known": none, "base": zero, "score": zero})
+            start += len(sizes)
+
+    rows = docs.mapInArrow(work, "tag long, gram long, token binary, at binary, doc_id long, n long, known long, base double, score double")
+    told = counts.where(F.col("c") < model["core"]).select(F.col("gram").alias("name"), F.col("token").alias("word"), "c", "value")
+    joined = rows.join(told, (F.col("gram") == F.col("name")) & (F.col("token") == F.col("word")), "left")
+    seen, asks = F.col("c").isNotNull(), F.col("n") == 0
     known = F.col("known") + F.when(seen, 1).otherwise(0)
     base = F.col("base") + F.when(asks, F.log10(F.coalesce("c", F.lit(0)) + 0.1) - log_all).otherwise(0.0)
     own = F.when(seen, F.log10((F.col("c") - d1) / max(1, total))).when(asks, model["unseen"]).otherwise(0.0)
     each = joined.select("tag", "at", "doc_id", "n", known.alias("known"), base.alias("base"), (F.col("score") + own + F.coalesce("value", F.lit(0.0))).alias("score"))
     sums = each.mapInArrow(add_places, "row long, doc_id long, n long, known long, base double, score double").groupBy("row")
-    sums = sums.agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return sums.select("doc_id", "n_tokens", "n_known", "base_score", "score")
+    return sums.agg(F.max("doc_id").alias("doc_id"), *(F.sum(k).alias(k) for k in ("n", "known", "base", "score")))
+
+
+def known_at(names: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """For each of gram its place in the sorted names, or -1."""
+    if not len(names):
+        return np.full(len(gram), -1)
+    k = np.minimum(np.searchsorted(names, gram), len(names) - 1)
+    return np.where(names[k] == gram, k, -1)
 
 
-def places(at: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """at[cuts[i]:cuts[i + 1]] as two bytes each; a batch has fewer rows than 65,536."""
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((2 * cuts).astype(np.int32).tobytes()), pa.py_buffer(at.astype(np.uint16).tobytes())])
+def score_grams(docs: DataFrame, table: DataFrame, hot: Broadcast, order: int, bits: int, nth_round: int) -> DataFrame:
+    """(row, score): sums over the n-grams of an order and a round, but for the hot ones, of the rows that hold a kept one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = rows = 0
+        start = TaskContext.get().partitionId() << 40
+
+        def ask() -> pa.RecordBatch:
+            of, gram = (np.concatenate(x) for x in zip(*held, strict=True))
+            by, first = ordered(gram)
+            names = gram[by[first]]
+            unknown = known_at(hot.value, names) < 0
+            often = np.diff(np.append(first, len(by)))
+            by, names, often = by[np.repeat(unknown, often)], names[unknown], often[unknown]
+            bucket = bucket_of(names, bits)
+            buckets, (gram, n) = packs(bucket, names, often.astype(np.int32))
+            _, (at,) = packs(np.repeat(bucket, often), of[by].astype(np.uint16))
+            return as_batch({"bucket": buckets, "start": np.full(len(buckets), start), "gram": gram, "n": n, "at": at})
+
+        for b in batches:
+            if held and (size > HELD_GRAMS or rows + b.num_rows > MOST_ROWS):
+                yield ask()
+                held, size, rows, start = [], 0, 0, start + rows
+            of, gram, _ = gram_round(b.column(1), order, bits, nth_round)
+            held.append((of + rows, gram))
+            size += len(gram)
+            rows += b.num_rows
+        if held:
+            yield ask()
+
+    def answer(asked: pa.Table, told: pa.Table) -> pa.Table:
+        names, values = told["gram"].to_numpy(), told["value"].to_numpy()
+        by = np.argsort(names)
+        names, values = names[by], values[by]
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))]
+        for i in range(asked.num_rows if len(names) else 0):
+            gram, n, at = (np.frombuffer(asked[k][i].as_buffer(), dtype=kind) for k, kind in (("gram", np.int64), ("n", np.int32), ("at", np.uint16)))
+            k = known_at(names, gram)
+            at, k = at[np.repeat(k >= 0, n)], np.repeat(k[k >= 0], n[k >= 0])
+            here = np.flatnonzero(np.bincount(at, minlength=1))
+            found.append((asked["start"][i].as_py() + here, np.bincount(at, values[k], minlength=1)[here]))
+        row, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"row": row, "score": score})
+
+    asked = docs.mapInArrow(work, "bucket long, start long, gram binary, n binary, at binary").groupBy("bucket")
+    bucket = F.shiftrightunsigned("gram", 64 - bits)
+    told = table.withColumn("bucket", bucket).where(F.col("bucket") % ROUNDS == nth_round).select("bucket", "gram", "value").groupBy("bucket")
+    return asked.cogroup(told).applyInArrow(answer, "row long, score double").groupBy("row").agg(F.sum("score").alias("score"))
 
 
 def add_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,5 +580,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bounded_batches(spark)
     counts, model = fit(docs.where(crc_bucket(F.col("doc_id"), 10) != 0).select("text"))
-    found = score_texts(docs, counts, model)
+    found = score_texts(docs, counts, model, stored=True)
+    drop(counts)
+    drop(model["table"])
     return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(int(model["total"])).cast("long").alias("train_tokens"), "base_score", "score")
