@@ -4,6 +4,7 @@ import glob
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def test_rounds_count_every_gram_and_leave_no_tables(spark):
     said = [[*t.encode().lower().split(), b"\n"] for t in texts]
     for n in (2, 3):
         want = Counter(tuple(ws[i : i + n]) for ws in said for i in range(len(ws) - n + 1))
-        found = [r for k in range(lm_scoring.ROUNDS) for r in lm_scoring.count_all_grams(frame, n, lm_scoring.bucket_bits(1), k).collect()]
+        found = [r for k in range(lm_scoring.rounds(n)) for r in lm_scoring.count_all_grams(frame, n, lm_scoring.bucket_bits(1), k).collect()]
         assert len({r["gram"] for r in found}) == len(found)
         assert sorted(r["c"] for r in found) == sorted(c for c in want.values() if c >= lm_scoring.LEAST)
     top = shared_dir(spark).split(":", 1)[-1]
@@ -67,3 +68,16 @@ def test_rows_of_a_shuffle_keep_their_sums(spark):
     assert np.allclose([g[3:] for g in got], [w[3:] for w in want])
     empty = lm_scoring.fit(docs.select("text").limit(0))
     assert {r["score"] for r in lm_scoring.score_texts(docs, *empty).collect()} == {0.0}
+
+
+def test_names_follow_the_tokens():
+    texts = [None, "", " a  B\tÉé a\x0bb ", "x" * 3000, "\n", "b", "c d"]
+    said = [[*(t or "").encode().lower().split(), b"\n"] for t in texts]
+    flat = [w for ws in said for w in ws]
+    for skip in (0, 2):
+        h, sizes = lm_scoring.named(pa.array(texts).slice(skip))
+        codes, same, words = lm_scoring.coded(pa.array(texts).slice(skip))
+        want = [w for ws in said[skip:] for w in ws]
+        assert sizes.tolist() == same.tolist() == [len(ws) for ws in said[skip:]]
+        assert h.tolist() == lm_scoring.name_words(want).tolist() and [words[k] for k in codes] == want
+    assert len(set(lm_scoring.name_words(flat).tolist())) == len(set(flat))

@@ -9,7 +9,7 @@ The log-probability of a word after its context is a sum over the n-grams that e
 the weight of backing off from it, and for each kept n-gram what it has above backing off. So a text's score is the sum of
 one value for each n-gram in it, and values come by one join: no table of all words or n-grams is in one place. A token
 with at least CORE of all tokens (at most 1 / CORE) and an n-gram with at least COMMON of them has its value broadcast too,
-the same value, so that no hot key is shuffled. n-grams are named by 64-bit hashes; tokens are compared as they are.
+the same value, so that no hot key is shuffled. n-grams are named by 64-bit hashes; the counts of tokens go by the tokens themselves.
 
 The n-grams of each order are counted, and asked for, in ROUNDS by their names, and what a round shuffled is removed before
 the next one begins, so that the disk holds a share of the places at a time; each round reads all texts. A task packs its
@@ -29,7 +29,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +38,10 @@ from trendspark.session import drop, materialize, short_shuffles
 
 CORE, COMMON, ORDER = 2e-6, 1e-5, 3
 DISCOUNT, LEAST = 0.75, 2
-#: The seed of Spark's xxhash64.
-SEED = 42
 #: No word is a line end, so it can stand for the end of a text.
 END = b"\n"
-HELD_TYPES, HELD_CODES, HELD_GRAMS, HELD_ASKED, BLOCK = 400_000, 4 << 20, 2 << 20, 1 << 20, 256
-#: Rounds for each order; places in a bucket; buckets of a round at least; rows that two bytes number.
+HELD_TYPES, HELD_CODES, HELD_GRAMS, BLOCK = 400_000, 4 << 20, 2 << 20, 256
+#: Rounds of an order beyond 2; places in a bucket; buckets of a round at least; rows that two bytes number.
 ROUNDS, BUCKET, BUCKETS, MOST_ROWS = 2, 1 << 18, 64, 1 << 16
 
 
@@ -53,7 +50,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """(token, c) over a one-column frame of texts; each task adds up, and passes on what it holds beyond HELD_TYPES types."""
+    """(token, gram, c) with the tokens' names over a one-column frame of texts; each task adds up, and passes on what it holds beyond HELD_TYPES types."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -61,11 +58,11 @@ def count_tokens(texts: DataFrame) -> DataFrame:
             codes, _, words = coded(b.column(0))
             held.update(dict(zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
             if len(held) > HELD_TYPES:
-                yield as_batch({"token": pa.array(list(held), pa.binary()), "c": pa.array(list(held.values()), pa.int64())})
+                yield as_batch({"token": pa.array(list(held), pa.binary()), "gram": name_words(list(held)), "c": pa.array(list(held.values()), pa.int64())})
                 held = Counter()
-        yield as_batch({"token": pa.array(list(held), pa.binary()), "c": pa.array(list(held.values()), pa.int64())})
+        yield as_batch({"token": pa.array(list(held), pa.binary()), "gram": name_words(list(held)), "c": pa.array(list(held.values()), pa.int64())})
 
-    return texts.mapInArrow(work, "token binary, c long").where("c > 0").groupBy("token").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(work, "token binary, gram long, c long").where("c > 0").groupBy("token", "gram").agg(F.sum("c").alias("c"))
 
 
 def word_ids(texts: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -109,24 +106,74 @@ def tail_of(gram: np.ndarray, head: np.ndarray) -> np.ndarray:
     return ((x - head.view(np.uint64) * np.uint64(HEAD)) * np.uint64(OF_TAIL)).view(np.int64)
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
+def stirred(x: np.ndarray) -> np.ndarray:
+    """A number that looks random for each 64-bit number, another one for another."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Bytes that end a word; a random factor for each byte, capitals as small letters.
+SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", dtype=np.uint8))
+BYTE = stirred(np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8).astype(np.uint64) * np.uint64(HEAD) + np.uint64(TAIL))
+
+
+def names_of(text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Names of the words whose bytes begin at `first`: sums of products of a factor for each byte and one for its place."""
+    out = np.zeros(len(first), dtype=np.uint64)
+    cuts = np.append(first, len(text))
+    factor = stirred(np.arange(1, int(np.diff(cuts).max(initial=0)) + 1, dtype=np.uint64) * np.uint64(HEAD))
+    for i in range(0, len(first), BLOCK * 16):  # a part that stays in a core's cache
+        part = cuts[i : i + BLOCK * 16 + 1]
+        begin = part[:-1] - part[0]
+        place = np.arange(part[-1] - part[0]) - np.repeat(begin, np.diff(part))
+        out[i : i + BLOCK * 16] = np.add.reduceat(BYTE[text[part[0] : part[-1]]] * factor[place], begin)
+    return stirred(out).view(np.int64)
+
+
+def name_words(words: list[bytes]) -> np.ndarray:
+    """Names of words, none of them empty."""
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    return names_of(np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(size) - size)
+
+
+def named(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all tokens one after the other, and the number of tokens of each text."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    cuts = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int32)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[cuts[0] : cuts[-1]]
+    cuts = (cuts - cuts[0]).astype(np.int64)
+    word = ~SPACE[data]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    inner = cuts[:-1][cuts[:-1] < len(data)]
+    begins[inner] = word[inner]
+    at = np.flatnonzero(begins)
+    names = names_of(data[word], np.flatnonzero(begins[word]))
+    n = np.diff(np.searchsorted(at, cuts))
+    of, sizes = np.repeat(np.arange(len(texts)), n), n + 1
+    out = np.full(int(sizes.sum()), name_words([END])[0])
+    out[np.arange(len(of)) + of] = names
+    return out, sizes
 
 
 def grams_of(h: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 2: the positions where an n-gram ends, its name, and that of it without its last word."""
+    """For each order from 2: which positions end an n-gram, their names, and those of them without the last word."""
     nth = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     now = h
     for n in range(2, order + 1):
-        at = np.flatnonzero(nth >= n - 1)
-        longer = np.zeros(len(h), dtype=np.int64)
-        longer[at] = pair(now[at - 1], now[at])
-        yield at, longer[at], now[at - 1]
-        now = longer
+        before = np.append(now[:1], now[:-1])
+        now = pair(before, now)
+        yield nth >= n - 1, now, before
+
+
+def rounds(order: int) -> int:
+    """Fewer pairs than longer n-grams are distinct."""
+    return 1 if order == 2 else ROUNDS
 
 
 def bucket_bits(places: int) -> int:
-    """First bits of a name that are its bucket; a round has the buckets that leave its number when divided by ROUNDS."""
+    """First bits of a name that are its bucket; a round has the buckets that leave its number when divided by the rounds."""
     return max(places // BUCKET, ROUNDS * BUCKETS).bit_length()
 
 
@@ -147,10 +194,11 @@ def packed(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 def gram_round(texts: pa.Array, order: int, bits: int, nth_round: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the places of n-grams of an order whose buckets are in this round: the texts, the names, and those without the last word."""
-    codes, sizes, words = coded(texts)
-    *_, (at, gram, head) = grams_of(hash_words(words)[codes], sizes, order)
-    now = np.flatnonzero(bucket_of(gram, bits) % ROUNDS == nth_round)
-    return np.repeat(np.arange(len(sizes)), sizes)[at[now]], gram[now], head[now]
+    h, sizes = named(texts)
+    *_, (ends, gram, head) = grams_of(h, sizes, order)
+    if rounds(order) > 1:
+        ends &= bucket_of(gram, bits) % rounds(order) == nth_round
+    return np.repeat(np.arange(len(sizes)), sizes)[ends], gram[ends], head[ends]
 
 
 def ordered(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,16 +244,15 @@ def count_all_grams(texts: DataFrame, order: int, bits: int, nth_round: int) ->
 
 
 def gram_values(texts: DataFrame, counts: DataFrame, total: int, d1: float, order: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(token, c, value) of all tokens and (gram, c, value) of all n-grams; values as the module says, a token's without its own.
+    """(token, c, value) of all tokens and (gram, c, value, n) of all n-grams of n words; values as the module says, a token's without its own.
 
     Each table is removed, `counts` too, when it isn't needed any more.
     """
-    words = counts.withColumn("gram", F.xxhash64("token"))
     # A context's words have counts of at least LEAST; two tokens of one hash would count as one context.
-    lower = materialize(words.where(F.col("c") >= LEAST).groupBy("gram").agg(F.sum("c").alias("c"), F.sum((F.col("c") - d1) / max(1, total)).alias("p")).withColumn("above", F.lit(0.0)), "lm-lower")
+    lower = materialize(counts.where(F.col("c") >= LEAST).groupBy("gram").agg(F.sum("c").alias("c"), F.sum((F.col("c") - d1) / max(1, total)).alias("p")).withColumn("above", F.lit(0.0)), "lm-lower")
     levels = []
     for n in range(2, order + 1):
-        grams = reduce(DataFrame.union, [materialize(count_all_grams(texts, n, bits, k), "lm-grams") for k in range(ROUNDS)])
+        grams = reduce(DataFrame.union, [materialize(count_all_grams(texts, n, bits, k), "lm-grams") for k in range(rounds(n))])
         own = grams.select("gram", "head", "tail", "c").join(lower.select(F.col("gram").alias("tail"), F.col("p").alias("low")), "tail")
         own = materialize(own.select("gram", "head", "c", "low"), "lm-own")
         drop(grams)
@@ -213,14 +260,14 @@ def gram_values(texts: DataFrame, counts: DataFrame, total: int, d1: float, orde
         left = left.join(lower.select(F.col("gram").alias("head"), F.col("c").alias("of")), "head")
         back = F.log10(F.greatest(1 - F.col("taken") / F.col("of"), F.lit(1e-12)) / F.greatest(1 - F.col("low_taken"), F.lit(1e-12)))
         left = materialize(left.select("head", "of", back.alias("back")), "lm-contexts")
-        levels.append(materialize(lower.join(left.select(F.col("head").alias("gram"), "back"), "gram", "left").select("gram", "c", (F.col("above") + F.coalesce("back", F.lit(0.0))).alias("value")), "lm-level"))
+        levels.append(materialize(lower.join(left.select(F.col("head").alias("gram"), "back"), "gram", "left").select("gram", "c", (F.col("above") + F.coalesce("back", F.lit(0.0))).alias("value"), F.lit(n - 1).alias("n")), "lm-level"))
         drop(lower)
         p = (F.col("c") - DISCOUNT) / F.col("of")
         lower = materialize(own.join(left, "head").select("gram", "c", p.alias("p"), (F.log10(p) - F.col("back") - F.log10("low")).alias("above")), "lm-lower")
         drop(own)
         drop(left)
-    first, *rest = [*levels, lower.select("gram", "c", F.col("above").alias("value"))]
-    valued = words.join(first.select("gram", "value"), "gram", "left").select("token", "c", F.coalesce("value", F.lit(0.0)).alias("value"))
+    first, *rest = [*levels, lower.select("gram", "c", F.col("above").alias("value"), F.lit(order).alias("n"))]
+    valued = counts.join(first.select("gram", "value"), "gram", "left").select("token", "c", F.coalesce("value", F.lit(0.0)).alias("value"))
     valued = materialize(valued, "lm-values")
     drop(counts)
     drop(first)
@@ -366,7 +413,7 @@ class Backoff:
 
 
 def fit(texts: DataFrame, core: float = CORE, common: float | None = None, order: int = ORDER) -> tuple[DataFrame, dict]:
-    """The counts of all tokens (token, c, gram, value), written out, and the model.
+    """The counts of all tokens (token, c, value), written out, and the model.
 
     Without `common` the model holds all n-grams as a table; with it those of core words with that share, as an automaton.
     """
@@ -384,9 +431,8 @@ def fit(texts: DataFrame, core: float = CORE, common: float | None = None, order
     if common is None:
         bits = bucket_bits(total)
         with short_shuffles(counts.sparkSession):
-            valued, table = gram_values(texts, counts, total, d1, order, bits)
-        counts = valued.select("token", "c", F.xxhash64("token").alias("gram"), "value")
-        value = {bytes(r["token"]): r["value"] for r in valued.where(F.col("c") >= core * total).collect()}
+            counts, table = gram_values(texts, counts, total, d1, order, bits)
+        value = {bytes(r["token"]): r["value"] for r in counts.where(F.col("c") >= core * total).collect()}
         hot = sorted((r["gram"], r["value"]) for r in table.where(F.col("c") >= max(LEAST, COMMON * total)).collect()) if COMMON * total >= LEAST else []  # at most 1 / COMMON of an order
         local = {"after": np.array([value[w] for w, _ in words]), "hot": np.array([g for g, _ in hot], dtype=np.int64), "hot_value": np.array([v for _, v in hot])}
         return counts, model | {"table": table, "local": local, "bits": bits}
@@ -398,7 +444,7 @@ def fit(texts: DataFrame, core: float = CORE, common: float | None = None, order
         if not found:
             break
         grams.append(found)
-    counts = counts.select("token", "c", F.xxhash64("token").alias("gram"), F.lit(0.0).alias("value"))
+    counts = counts.select("token", "c", F.lit(0.0).alias("value"))
     return counts, model | {"automaton": Backoff(c, total, types, d1, base, grams)}
 
 
@@ -419,7 +465,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: dict, id_col: str = "
             hot = spark.sparkContext.broadcast(model["local"]["hot"])  # at most 1 / COMMON of an order
             cold = model["table"].where(F.col("c") < max(LEAST, COMMON * model["total"])) if COMMON * model["total"] >= LEAST else model["table"]
             for n in range(2, model["order"] + 1):
-                sums += [materialize(score_grams(rows, cold, hot, n, model["bits"], k), "lm-sums") for k in range(ROUNDS)]
+                sums += [materialize(score_grams(rows, cold.where(F.col("n") == n), hot, n, model["bits"], k), "lm-sums") for k in range(rounds(n))]
         if not stored:
             drop(rows)
     first, *rest = sums
@@ -453,14 +499,14 @@ def score_tokens(docs: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
             if local:
                 score = np.bincount(of, own[ids], minlength=len(sizes))
                 if len(local["hot"]):
-                    for at, gram, _ in grams_of(hash_words(words)[codes], sizes, m["order"]):
-                        k = known_at(local["hot"], gram)
-                        score += np.bincount(of[at[k >= 0]], local["hot_value"][k[k >= 0]], minlength=len(sizes))
+                    for ends, gram, _ in grams_of(named(b.column(1))[0], sizes, m["order"]):
+                        k = np.where(ends, known_at(local["hot"], gram), -1)
+                        score += np.bincount(of[k >= 0], local["hot_value"][k[k >= 0]], minlength=len(sizes))
             else:
                 score = automaton.score(ids, sizes)
-            # The rows of the texts themselves: their token is no word (it is a space), so the join finds nothing; hashes spread them.
-            spread = hash_words([i.to_bytes(8) for i in range(start, start + len(sizes))])
-            yield as_batch({"tag": np.full(len(sizes), start), "gram": spread, "token": pa.array([b" "] * len(sizes), pa.binary()), "at": packed(np.arange(len(sizes)).astype(np.uint16), np.arange(len(sizes) + 1)), "doc_id": b.column(0), "n": sizes, "known": core, "base": sums, "score": score})
+            # The rows of the texts themselves: no word begins with a space, so the join finds nothing.
+            own_rows = pa.array([b" " + i.to_bytes(8) for i in range(start, start + len(sizes))], pa.binary())
+            yield as_batch({"tag": np.full(len(sizes), start), "token": own_rows, "at": packed(np.arange(len(sizes)).astype(np.uint16), np.arange(len(sizes) + 1)), "doc_id": b.column(0), "n": sizes, "known": core, "base": sums, "score": score})
             rest = np.flatnonzero(ids < 0)
             if len(rest):
                 by = rest[np.argsort(codes[rest], kind="stable")]
@@ -468,12 +514,12 @@ def score_tokens(docs: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
                 new = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
                 told = [words[i] for i in x[new].tolist()]
                 none, zero = np.zeros(len(told), dtype=np.int64), np.zeros(len(told))
-                yield as_batch({"tag": np.full(len(told), start), "gram": hash_words(told), "token": pa.array(told, pa.binary()), "at": packed(of[by].astype(np.uint16), np.append(new, len(by))), "doc_id": pa.nulls(len(told), pa.int64()), "n": none, "known": none, "base": zero, "score": zero})
+                yield as_batch({"tag": np.full(len(told), start), "token": pa.array(told, pa.binary()), "at": packed(of[by].astype(np.uint16), np.append(new, len(by))), "doc_id": pa.nulls(len(told), pa.int64()), "n": none, "known": none, "base": zero, "score": zero})
             start += len(sizes)
 
-    rows = docs.mapInArrow(work, "tag long, gram long, token binary, at binary, doc_id long, n long, known long, base double, score double")
-    told = counts.where(F.col("c") < model["core"]).select(F.col("gram").alias("name"), F.col("token").alias("word"), "c", "value")
-    joined = rows.join(told, (F.col("gram") == F.col("name")) & (F.col("token") == F.col("word")), "left")
+    rows = docs.mapInArrow(work, "tag long, token binary, at binary, doc_id long, n long, known long, base double, score double")
+    told = counts.where(F.col("c") < model["core"]).select("token", "c", "value")
+    joined = rows.join(told, "token", "left")
     seen, asks = F.col("c").isNotNull(), F.col("n") == 0
     known = F.col("known") + F.when(seen, 1).otherwise(0)
     base = F.col("base") + F.when(asks, F.log10(F.coalesce("c", F.lit(0)) + 0.1) - log_all).otherwise(0.0)
@@ -538,38 +584,19 @@ def score_grams(docs: DataFrame, table: DataFrame, hot: Broadcast, order: int, b
 
     asked = docs.mapInArrow(work, "bucket long, start long, gram binary, n binary, at binary").groupBy("bucket")
     bucket = F.shiftrightunsigned("gram", 64 - bits)
-    told = table.withColumn("bucket", bucket).where(F.col("bucket") % ROUNDS == nth_round).select("bucket", "gram", "value").groupBy("bucket")
+    told = table.withColumn("bucket", bucket).where(F.col("bucket") % rounds(order) == nth_round).select("bucket", "gram", "value").groupBy("bucket")
     return asked.cogroup(told).applyInArrow(answer, "row long, score double").groupBy("row").agg(F.sum("score").alias("score"))
 
 
 def add_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over the rows that `at` names, of HELD_ASKED places at a time."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-
-    def add_up() -> pa.RecordBatch:
-        row, doc, has, n, known, base, score = (np.concatenate(x) for x in zip(*held, strict=True))
-        own, of = np.unique(row, return_inverse=True)
-        ids, there = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=bool)
-        ids[of[has]], there[of[has]] = doc[has], True
-        total = [np.bincount(of, x, minlength=len(own)) for x in (n, known, base, score)]
-        return as_batch({"row": own, "doc_id": pa.array(ids, mask=~there), "n": total[0].astype(np.int64), "known": total[1].astype(np.int64), "base": total[2], "score": total[3]})
-
+    """A row for each place that `at` names."""
     for b in batches:
         at = b.column(1).cast(pa.binary())
-        said = [np.frombuffer(x, dtype=np.uint16) for x in at.to_pylist()]
-        if not said:
-            continue
-        k = np.array([len(x) for x in said])
-        doc = b.column(2)
-        cols = [doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_valid().to_numpy(zero_copy_only=False), *(b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6))]
-        held.append((np.repeat(b.column(0).to_numpy(), k) + np.concatenate(said), *(np.repeat(c, k) for c in cols)))
-        size += int(k.sum())
-        if size > HELD_ASKED:
-            yield add_up()
-            held, size = [], 0
-    if held:
-        yield add_up()
+        k = np.frombuffer(pc.binary_length(at).cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes(), dtype=np.int64) // 2
+        place = np.frombuffer(b"".join(at.to_pylist()), dtype=np.uint16)
+        of = np.repeat(np.arange(len(k)), k)
+        told = pa.array(of)
+        yield as_batch({"row": b.column(0).to_numpy()[of] + place, **{name: b.column(i).take(told) for i, name in enumerate(("doc_id", "n", "known", "base", "score"), 2)}})
 
 
 def held_out() -> Column:
