@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trendspark.functions import text as X
 from trendspark.operators import graph
+from trendspark.operators import items as I
 from trendspark.operators import links as K
 from trendspark.operators import overlaps as O
 
@@ -55,3 +56,28 @@ def test_groups_stay_inside_runs(spark):
     runs = spark.createDataFrame([(i, t, "a") for i, t in some] + [(i, t, "b") for i, t in more], "item_id long, title string, run string")
     alone = {r["item_id"]: r["group_id"] for r in K.lexical_groups(runs.where("run = 'a'")).collect()}
     assert {r["item_id"]: r["group_id"] for r in K.lexical_groups(runs, run="run").collect()} == alone | {10_000 + i: 10_000 + g for i, g in alone.items()}
+
+
+@pytest.mark.parametrize("tile", [8192, 11])
+def test_link_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(O, "TILE", tile)
+    items = spark.createDataFrame(titles(5), "item_id long, title string")
+    tokens = of(items)
+    df = Counter(t for ts in tokens.values() for t in ts)
+    rare = {t for t, n in df.items() if n <= max(12, len(tokens) // 10)}
+    want = {}
+    for a, b in combinations(sorted(tokens), 2):
+        n = len(tokens[a] & tokens[b] & rare)
+        if n >= 2 and n / (len(tokens[a]) + len(tokens[b]) - n) >= 0.25:
+            want[a, b] = n
+    got = I.link_pairs(items.select("item_id", X.significant_tokens(F.col("title")).alias("tokens"))).collect()
+    assert want and len(got) == len(want) and {(r["left_id"], r["right_id"]): r["shared"] for r in got} == want
+
+
+def test_no_pair_is_shuffled(spark):
+    """400 items with one token in common: 79,800 pairs, none of which leaves its task; before, each was a row of a shuffle."""
+    items = spark.range(4000).select("id", F.when(F.col("id") < 400, F.array(F.lit("hot"), F.concat(F.lit("t"), "id"))).otherwise(F.array(F.concat(F.lit("t"), "id"), F.concat(F.lit("u"), "id"))).alias("tokens"))
+    found = I.link_pairs(items.withColumnRenamed("id", "item_id"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and found.count() == 0

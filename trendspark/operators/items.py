@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from trendspark.functions import text as X
 from trendspark.functions.lexicon import DEFAULT_WEIGHT, SOCIAL, SOURCE_WEIGHTS, SOURCES
-from trendspark.operators.links import meetings, shares
-from trendspark.session import materialize, table
+from trendspark.operators.links import shares
+from trendspark.operators.overlaps import alike, numbered
+from trendspark.session import drop, materialize, short_shuffles, table
 
 SOURCE_CAP, BUDGET, FLOOR = 40, 150, 6
 
@@ -97,12 +98,16 @@ def select_budget(df: DataFrame, cap: int = BUDGET, floor: int = FLOOR) -> DataF
 def link_pairs(df: DataFrame) -> DataFrame:
     """Pairs of items that share at least two tokens which at most the cap of items have, with jaccard of 0.25 or more.
 
-    The cap is a tenth of the items, 12 at least; the sides of a pair meet by token, never all with all.
+    The cap is a tenth of the items, 12 at least. Pairs are counted over tiles of items and judged there, so none is shuffled.
     """
-    words = materialize(df.select("item_id", F.explode("tokens").alias("token"), F.size("tokens").alias("size")), "item-tokens")
-    cap = df.agg(shares(F.count("*"))[2].alias("cap"))
-    rare = words.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(cap)).where("df <= cap").drop("cap")  # one row
-    met = meetings(words.join(rare, "token"), ["token"], ["size"])
-    shared = met.groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), F.first("left_size").alias("sa"), F.first("right_size").alias("sb"))
-    jaccard = F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))
-    return shared.where((F.col("shared") >= 2) & (jaccard >= 0.25)).select("left_id", "right_id", "shared", F.round(jaccard, 6).alias("jaccard"))
+    with short_shuffles(df.sparkSession):
+        df = materialize(df.select(F.col("item_id").cast("long").alias("item_id"), "tokens"), "item-tokens")
+        words = df.select("item_id", F.explode("tokens").alias("token"), F.size("tokens").cast("long").alias("size"))
+        cap = df.agg(shares(F.count("*"))[2].alias("cap"))
+        rare = numbered(words.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(cap)).where("df <= cap").select("token"), [])  # one row
+        sets = words.join(rare, "token").groupBy("item_id").agg(F.first("size").alias("size"), F.collect_list("number").alias("tokens")).where(F.size("tokens") > 1)
+        sets = materialize(sets.withColumn("node", F.col("item_id")), "token-sets")
+        drop(df)
+        drop(rare)
+    pairs = alike(sets, lambda shared, _, left, right: (shared >= 2) & (shared / (left + right - shared) >= 0.25))
+    return pairs.select("left_id", "right_id", "shared", F.round(F.col("shared") / (F.col("left_size") + F.col("right_size") - F.col("shared")), 6).alias("jaccard"))
