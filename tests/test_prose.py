@@ -81,3 +81,16 @@ def test_prose_in_json_is_its_strings(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r["t"]: r["p"] for r in df.select("t", P.json_prose(F.col("t")).alias("p")).collect()} == texts
     assert spark.range(1).select(P.json_prose(F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_columns_are_worked_out_once(spark):
+    """A column that is written several times, or in a lambda, is evaluated as often; before, two_sentences wrote its summary 450 times."""
+    df = spark.createDataFrame([("a", ["b"])], "told string, names array<string>")
+    made = {
+        "two": P.two_sentences(F.col("told"), F.col("names"), F.lit("x")), "headline": P.sanitize_headline(F.col("told")), "summary": P.sanitize_summary(F.col("told")),
+        "entities": P.clean_entities(F.col("names")), "answer": P.extract_json(F.col("told")).cast("string"),
+    }
+    for name, column in made.items():
+        plan = df.select(column.alias("made"))._jdf.queryExecution().analyzed().expressions().mkString()
+        used = "names#" if name == "entities" else "told#"
+        assert plan.count(used) <= 1, name
