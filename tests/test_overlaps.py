@@ -81,3 +81,18 @@ def test_no_pair_is_shuffled(spark):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange") == 1 and found.count() == 0
+
+
+def test_proposals_meet_names_of_their_own_draft(spark):
+    """Items and drafts of one name never meet all with all; before, each of 60 items met each of 60 drafts of its name."""
+    n = 60
+    proposed = spark.createDataFrame([(i, 1000 + (i * 7) % 90) for i in range(n)] + [(i, 1000 + i) for i in range(n)], "item_id long, draft_id long")
+    names = spark.createDataFrame([(1000 + i, "oak" if i % 2 else "elm") for i in range(n)], "draft_id long, entity_key string")
+    named = spark.createDataFrame([(i, "oak") for i in range(n)] + [(i, "ash") for i in range(n)], "item_id long, entity_key string")
+    links = spark.createDataFrame([(0, 500), (501, 2)], "left_id long, right_id long")
+    members = spark.createDataFrame([(500, 1000), (501, 1014)], "item_id long, draft_id long")
+    found = K.supported(proposed, links, members, names, named)
+    want = {(i, d) for i, d in map(tuple, proposed.collect()) if d < 1000 + n and d % 2 or (i, d) in {(0, 1000), (2, 1014)}}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "entity_key" in line]
+    assert joins and all("draft_id" in line for line in joins)
