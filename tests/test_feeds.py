@@ -127,3 +127,12 @@ def test_sources_that_fail_have_a_row_of_their_own(spark):
         ingest.ingest(df, ["nobody"])
     nothing = ingest.ingest(df.where("false"))
     assert nothing[0].collect() == nothing[1].collect() == []
+
+
+def test_all_items_count_without_a_cap(spark):
+    """The query of statistics had a cap of 1,000,000 items, which large tables exceed."""
+    hits = json.dumps({"hits": [{"objectID": str(k), "title": f"story {k}", "points": 1} for k in range(3 * ingest.CAP)]})
+    df = spark.createDataFrame([(1, "hackernews", 0, "0", None, 200, None, hits, NOW)], PAYLOADS)
+    items, stats = ingest.ingest(df, ["hackernews"], None)
+    assert [r["item_count"] for r in stats.collect()] == [items.count()] == [3 * ingest.CAP]
+    assert [r["item_count"] for r in ingest.ingest(df, ["hackernews"])[1].collect()] == [ingest.CAP]

@@ -187,7 +187,7 @@ def _queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]
             FROM convs LEFT JOIN f ON f.question_id = conv_id LEFT JOIN p ON p.question_id = conv_id""",
         ),
         "feeds_stats": (
-            lambda s, d: ingest.ingest(_stored(s, d), ["arxiv", "google_news", "hackernews", "wikipedia"], 1_000_000)[1],
+            lambda s, d: ingest.ingest(_stored(s, d), ["arxiv", "google_news", "hackernews", "wikipedia"], None)[1],
             f"""WITH {_ORDERS}, r AS (SELECT *, no % 3 AS run_id FROM o), days AS (SELECT run_id, min(no) AS no FROM r WHERE no >= 4 GROUP BY 1)
             SELECT run_id, 'hackernews' AS source, true AS ok, count(*) FILTER (no % 7 <> 3) AS item_count, CAST(NULL AS VARCHAR) AS error FROM r GROUP BY 1
             UNION ALL SELECT run_id, 'google_news', run_id <> 1, CASE WHEN run_id <> 1 THEN count(*) ELSE 0 END, CASE WHEN run_id = 1 THEN 'invalid XML' END FROM r GROUP BY 1

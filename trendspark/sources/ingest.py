@@ -72,11 +72,11 @@ def fault(kind: str) -> Column:
     return F.coalesce("error", status, broken)
 
 
-def ingest(payloads: DataFrame, names: list[str] | None = None, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+def ingest(payloads: DataFrame, names: list[str] | None = None, cap: int | None = CAP) -> tuple[DataFrame, DataFrame]:
     """(items, stats) of the sources named, all of the registry without names; an unknown name is an error.
 
     items: run_id, source_no (the source's place in the registry), nth, and the columns of feeds.ITEM; `cap` of a source at
-    most. stats: run_id, source, ok, item_count and error (of at most ERROR_CHARS characters), a row for each source and
+    most, all without a cap. stats: run_id, source, ok, item_count and error (of at most ERROR_CHARS characters), a row for each source and
     run of which there is a payload. A source that failed has no items. Payloads of other sources are left alone.
     """
     if unknown := sorted(set(names or ()) - REGISTRY.keys()):
@@ -107,7 +107,8 @@ def ingest(payloads: DataFrame, names: list[str] | None = None, cap: int = CAP)
         else:
             got = got.select("_run.run_id", *feeds.ITEM, "_run.place", F.col("rank").alias("nth"))
         nth = F.row_number().over(W.partitionBy("run_id").orderBy("place", "nth", "title", "url"))
-        got = materialize(got.withColumn("nth", nth).where(F.col("nth") <= cap).select("run_id", F.lit(no).alias("source_no"), "nth", *feeds.ITEM), f"{name}-items")
+        got = got.withColumn("nth", nth)
+        got = materialize((got if cap is None else got.where(F.col("nth") <= cap)).select("run_id", F.lit(no).alias("source_no"), "nth", *feeds.ITEM), f"{name}-items")
         n = got.groupBy("run_id").agg(F.count("*").alias("n"))
         told = told.join(n, "run_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         broken = (F.col("bad") > 0) if source.rule == "all" else (F.col("good") == 0) if source.rule == "first" else F.lit(False)
